@@ -17,20 +17,42 @@ ZERO = 0.0
 LOGIT_MARGIN = 1e-8
 
 
-def zero_if_missing(value: Column) -> Column:
-    return F.coalesce(value.cast("double"), F.lit(ZERO))
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+# Wide tables have hundreds of sums.  These builders return SQL text, so that a
+# whole panel becomes a handful of parsed expressions instead of thousands of
+# Column calls on the driver.
 
-def row_total(columns: Iterable[str | Column]) -> Column:
+def row_total_sql(columns: Iterable[str]) -> str:
     """Sum across a row, missing counted as zero; no column gives zero."""
-    terms = [zero_if_missing(F.col(_quoted(c)) if isinstance(c, str) else c) for c in columns]
-    return reduce(add, terms) if terms else F.lit(ZERO)
+    terms = [f"coalesce(cast({quoted(c)} as double), 0D)" for c in columns]
+    return "(" + " + ".join(terms) + ")" if terms else "0D"
+
+
+def residual_sql(whole: str, *parts: str) -> str:
+    """What the parts leave of the whole, never below zero; NULL stays NULL."""
+    left = f"({whole} - {' - '.join(parts)})"
+    return f"CASE WHEN {left} < 0 THEN 0D ELSE {left} END"
+
 
+def ratio_sql(numerator: str, denominator: str) -> str:
+    return f"CASE WHEN {denominator} > 0 THEN {numerator} / {denominator} END"
 
-def group_total(column: str | Column) -> Column:
+
+def row_total(columns: Iterable[str]) -> Column:
+    return F.expr(row_total_sql(columns))
+
+
+def group_total(column: str) -> Column:
     """Grouped sum, missing counted as zero; an all-missing group gives zero."""
-    col = F.col(_quoted(column)) if isinstance(column, str) else column
-    return F.coalesce(F.sum(col.cast("double")), F.lit(ZERO))
+    return F.expr(f"coalesce(sum(cast({quoted(column)} as double)), 0D)")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -91,10 +113,6 @@ def unknown() -> Column:
     return F.lit(None).cast("double")
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def field(name: str) -> Column:
     """Column by its exact name, whatever characters the name holds."""
-    return F.col(_quoted(name))
+    return F.col(quoted(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ _PYTHON_FOLD = str.maketrans({**_ACCENTS, **EXPANSIONS})
 _DROPPED = "[^a-z0-9_]"
 
 
+@lru_cache(maxsize=100_000)
 def fold_name(name: str) -> str:
     """Driver-side twin of :func:`folded`, for column names."""
     return re.sub(_DROPPED, "", name.translate(_PYTHON_FOLD).lower())

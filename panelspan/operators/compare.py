@@ -39,7 +39,7 @@ OUTCOMES = (
 )
 
 
-def _levels(names: Sequence[str], layout: Layout) -> dict[str, Column]:
+def _levels(names: Sequence[str], layout: Layout) -> dict[str, str]:
     context = layout.context(names)
     agriculture = layout.measures(names, layout.agriculture)
     manufacturing = layout.measures(names, layout.manufacturing)
@@ -61,7 +61,7 @@ def _levels(names: Sequence[str], layout: Layout) -> dict[str, Column]:
 
 def sector_accounts(df: DataFrame, key: str, layout: Layout, period: str) -> DataFrame:
     """Key plus the period's variables, each with the period as suffix."""
-    levels = df.select(key, *[c.alias(n) for n, c in _levels(df.columns, layout).items()])
+    levels = df.select(key, *[F.expr(sql).alias(n) for n, sql in _levels(df.columns, layout).items()])
     v = {name: F.col(name) for name in levels.columns}
     whole = v["occ_total"]
     levels = levels.withColumn("serv_total", residual(whole, v["agr_total"], v["mfg_total"]))

@@ -19,13 +19,21 @@ def explode_crosswalk(
     return raw.select(area, F.explode(items).alias(out)).withColumn(out, F.trim(out))
 
 
-def coded(df: DataFrame, identifier: str, code: str = "muni_code") -> DataFrame:
-    return df.withColumn(code, id_code(field(identifier)))
+def code_of(df: DataFrame, identifier: str, crosswalk: DataFrame, code: str = "muni_code") -> Column:
+    """The id in the crosswalk's own type: text codes need the id as text.
+
+    Where both already share a type the id is used as it is, so that an
+    existing partitioning on it serves the join.
+    """
+    if df.schema[identifier].dataType == crosswalk.schema[code].dataType:
+        return field(identifier)
+    return id_code(field(identifier))
 
 
 def unmatched(df: DataFrame, identifier: str, crosswalk: DataFrame, code: str = "muni_code") -> DataFrame:
     """Rows whose code the crosswalk does not know."""
-    return coded(df, identifier, code).join(crosswalk.select(code), code, "left_anti")
+    rows = df.withColumn(code, code_of(df, identifier, crosswalk, code))
+    return rows.join(crosswalk.select(code), code, "left_anti")
 
 
 def attach_geography(
@@ -55,7 +63,7 @@ def majority_parent(
     minimum of (-n, parent), an aggregate with map-side combine, so no window
     has to sort an area's members.
     """
-    members = df.select(id_code(field(identifier)).alias(code), parent.alias(out))
+    members = df.select(code_of(df, identifier, crosswalk, code).alias(code), parent.alias(out))
     counts = (
         members.groupBy(code, out).agg(F.count("*").alias("n"))
         .join(crosswalk.select(area, code), code)
@@ -97,7 +105,7 @@ def quality_report(
     for label, table, identifier in tables:
         # Count per code before the join: one row per code, however hot.
         rows = (
-            table.select(id_code(field(identifier)).alias(code))
+            table.select(code_of(table, identifier, crosswalk, code).alias(code))
             .groupBy(code).agg(F.count("*").alias("rows"))
             .join(per_code, code, "left")
         )

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspan.functions.guarded import row_total
+from panelspan.functions.guarded import row_total, row_total_sql
 from panelspan.functions.text import fold_name, folded
 
 
@@ -61,18 +61,25 @@ def starting_with(names: Iterable[str], stems: Iterable[str]) -> list[str]:
     return [n for n in names if n.startswith(heads)]
 
 
-def matched_total(names: Sequence[str], prefixes: Iterable[str], patterns: Iterable[str]) -> Column:
-    return row_total(matching(names, prefixes, patterns))
+def matched_total(names: Sequence[str], prefixes: Iterable[str], patterns: Iterable[str]) -> str:
+    """SQL sum over the matching columns."""
+    return row_total_sql(matching(names, prefixes, patterns))
 
 
-def exact_total(names: Sequence[str], wanted: Iterable[str]) -> Column:
-    return row_total(present(names, wanted))
+def exact_total(names: Sequence[str], wanted: Iterable[str]) -> str:
+    """SQL sum over exactly named columns."""
+    return row_total_sql(present(names, wanted))
 
 
 def non_empty(df: DataFrame, prefix: str) -> DataFrame:
-    """Keep rows whose columns under a prefix sum to more than zero (any case)."""
+    """Keep rows whose columns under a prefix sum to more than zero (any case).
+
+    Apply it where the columns are read, not above a projection that computes
+    them: the optimizer infers constraints from the sum, and their number grows
+    quickly with aliases of its terms.
+    """
     stem = prefix.lower()
-    return df.where(row_total(c for c in df.columns if c.lower().startswith(stem)) > 0)
+    return df.where(row_total([c for c in df.columns if c.lower().startswith(stem)]) > 0)
 
 
 def classify_values(

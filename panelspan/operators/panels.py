@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.functions.guarded import field as col
-from panelspan.functions.guarded import ratio, residual, unknown
+from panelspan.functions.guarded import quoted, ratio, residual_sql, text_literal, unknown
 from panelspan.operators.naming import exact_total, matched_total
 
 OCCUPATION, SECTOR = "Occupation", "Sector"
@@ -49,18 +49,17 @@ class GroupCounts:
     id: str
     label: str
     sector: str
-    counts: Mapping[str, Column]
+    counts: Mapping[str, str]
 
-    def as_struct(self) -> Column:
+    def as_struct(self) -> str:
         texts = {"group_type": self.kind, "group_id": self.id,
                  "group_label": self.label, "sector": self.sector}
-        return F.struct(
-            *[F.lit(value).alias(name) for name, value in texts.items()],
-            *[count.alias(name) for name, count in self.counts.items()],
-        )
+        fields = [f"'{name}', {text_literal(value)}" for name, value in texts.items()]
+        fields += [f"'{name}', {count}" for name, count in self.counts.items()]
+        return f"named_struct({', '.join(fields)})"
 
 
-def _sectors(*counts: Mapping[str, Column]) -> list[GroupCounts]:
+def _sectors(*counts: Mapping[str, str]) -> list[GroupCounts]:
     return [GroupCounts(SECTOR, s, s.capitalize(), s, c) for s, c in zip(SECTORS, counts)]
 
 
@@ -93,13 +92,13 @@ class PrefixLayout:
                  self.free, self.enslaved, self.total)
         return tuple(p for prefixes in every for p in prefixes)
 
-    def measures(self, names: Sequence[str], patterns: Sequence[str]) -> dict[str, Column]:
+    def measures(self, names: Sequence[str], patterns: Sequence[str]) -> dict[str, str]:
         """The seven counts of one group of patterns."""
         by_measure = (self.total, self.free, self.enslaved, self.male_free,
                       self.female_free, self.male_enslaved, self.female_enslaved)
         return {m: matched_total(names, p, patterns) for m, p in zip(COUNTS, by_measure)}
 
-    def context(self, names: Sequence[str]) -> dict[str, Column]:
+    def context(self, names: Sequence[str]) -> dict[str, str]:
         working = self.measures(names, self.working)
         return {
             "pop_total": exact_total(names, self.population["total"]),
@@ -109,8 +108,8 @@ class PrefixLayout:
             "occ_total": working["n_total"],
             "occ_free": working["n_free"],
             "occ_enslaved": working["n_enslaved"],
-            "occ_male": working["n_male_free"] + working["n_male_enslaved"],
-            "occ_female": working["n_female_free"] + working["n_female_enslaved"],
+            "occ_male": f"{working['n_male_free']} + {working['n_male_enslaved']}",
+            "occ_female": f"{working['n_female_free']} + {working['n_female_enslaved']}",
         }
 
     def occupation_groups(self, names: Sequence[str]) -> list[GroupCounts]:
@@ -125,11 +124,11 @@ class PrefixLayout:
         # The total and status residuals start from working groups, the sex
         # residuals from all broad groups; published figures depend on it.
         whole = self.measures(names, self.broad) | {
-            "n_total": F.col("occ_total"),
-            "n_free": F.col("occ_free"),
-            "n_enslaved": F.col("occ_enslaved"),
+            "n_total": "occ_total",
+            "n_free": "occ_free",
+            "n_enslaved": "occ_enslaved",
         }
-        services = {m: residual(whole[m], agriculture[m], manufacturing[m]) for m in COUNTS}
+        services = {m: residual_sql(whole[m], agriculture[m], manufacturing[m]) for m in COUNTS}
         return _sectors(agriculture, manufacturing, services)
 
 
@@ -145,17 +144,15 @@ class ExactLayout:
     agriculture: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # male / female
     manufacturing: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
-    def context(self, names: Sequence[str]) -> dict[str, Column]:
-        return {
-            "pop_total": col(self.population).cast("double"),
-            "pop_literate": col(self.literate).cast("double"),
-            "occ_total": col(self.occupied).cast("double"),
-            "occ_male": col(self.occupied_male).cast("double"),
-            "occ_female": col(self.occupied_female).cast("double"),
+    def context(self, names: Sequence[str]) -> dict[str, str]:
+        sources = {
+            "pop_total": self.population, "pop_literate": self.literate, "occ_total": self.occupied,
+            "occ_male": self.occupied_male, "occ_female": self.occupied_female,
         }
+        return {name: f"cast({quoted(column)} as double)" for name, column in sources.items()}
 
     @staticmethod
-    def measures(names: Sequence[str], by_sex: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    def measures(names: Sequence[str], by_sex: Mapping[str, Sequence[str]]) -> dict[str, str]:
         return {
             "n_total": exact_total(names, [*by_sex["male"], *by_sex["female"]]),
             "n_male": exact_total(names, by_sex["male"]),
@@ -165,8 +162,8 @@ class ExactLayout:
     def sector_groups(self, names: Sequence[str]) -> list[GroupCounts]:
         agriculture = self.measures(names, self.agriculture)
         manufacturing = self.measures(names, self.manufacturing)
-        whole = {"n_total": F.col("occ_total"), "n_male": F.col("occ_male"), "n_female": F.col("occ_female")}
-        services = {m: residual(whole[m], agriculture[m], manufacturing[m]) for m in whole}
+        whole = {"n_total": "occ_total", "n_male": "occ_male", "n_female": "occ_female"}
+        services = {m: residual_sql(whole[m], agriculture[m], manufacturing[m]) for m in whole}
         return _sectors(agriculture, manufacturing, services)
 
 
@@ -175,7 +172,7 @@ Layout = PrefixLayout | ExactLayout
 
 def denominators(df: DataFrame, layout: Layout) -> DataFrame:
     """Add population, literacy and occupation totals and the two rates."""
-    base = df.withColumns(layout.context(df.columns))
+    base = df.withColumns({n: F.expr(sql) for n, sql in layout.context(df.columns).items()})
     rates = {"literacy_rate_population": ratio(F.col("pop_literate"), F.col("pop_total"))}
     if isinstance(layout, PrefixLayout):
         rates["enslaved_rate_population"] = ratio(F.col("pop_enslaved"), F.col("pop_total"))
@@ -222,7 +219,7 @@ def group_panel(
     fanned = base.select(
         *[col(i) for i in ids],
         *[c for c in CONTEXT if c in base.columns],
-        F.inline(F.array(*[g.as_struct() for g in groups])),
+        F.expr(f"inline(array({', '.join(g.as_struct() for g in groups)}))"),
     )
     return _with_shares(fanned, isinstance(layout, PrefixLayout))
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspan.functions.guarded import field, ratio
+from panelspan.functions.guarded import field, quoted, ratio_sql, text_literal
 from panelspan.operators.panels import SECTOR, Layout, PrefixLayout, denominators, layout_groups
 
 WIDE_STATUS = (
@@ -37,12 +37,12 @@ def pivot_panel(
     (id, group) raise unless the check is turned off.
     """
     def cell(measure: str, group: str) -> Column:
-        here = F.col("group_id") == group
-        value = F.max(F.when(here, F.col(measure)))
+        here = f"group_id = {text_literal(group)}"
+        value = f"max(CASE WHEN {here} THEN {quoted(measure)} END)"
         if check_unique:
-            twice = F.raise_error(F.lit(f"group {group} occurs twice for one id")).cast("double")
-            value = F.when(F.count_if(here) > 1, twice).otherwise(value)
-        return value.alias(f"{measure}_{group}")
+            message = text_literal(f"group {group} occurs twice for one id")
+            value = f"CASE WHEN count_if({here}) > 1 THEN raise_error({message}) ELSE {value} END"
+        return F.expr(value).alias(f"{measure}_{group}")
 
     cells = [cell(m, g) for m in measures for g in groups]
     return panel.groupBy(*ids).agg(*[F.max(c).alias(c) for c in carried], *cells)
@@ -57,28 +57,23 @@ def wide_panel(
     status = isinstance(layout, PrefixLayout)
     measures = WIDE_STATUS if status else WIDE_PLAIN
     base = denominators(counts, layout)
-    listed = base.select(
-        *[field(i) for i in ids], LITERACY, "occ_total",
-        *[F.struct(*[c.alias(n) for n, c in g.counts.items()]).alias(g.id) for g in groups],
-    )
-
-    def parts(group: str) -> dict[str, Column]:
-        n = {m: F.col(f"{group}.{m}") for m in next(g.counts for g in groups if g.id == group)}
-        total = n["n_total"]
-        if status:
-            n["n_male"] = n["n_male_free"] + n["n_male_enslaved"]
-            n["n_female"] = n["n_female_free"] + n["n_female_enslaved"]
-        shares = {"n_total": total, "share_of_all_occupations": ratio(total, F.col("occ_total"))}
-        for who in ("free", "enslaved", "male", "female"):
-            if f"n_{who}" in n:
-                shares[f"share_{who}_within_group"] = ratio(n[f"n_{who}"], total)
-        return shares
-
-    built = {g.id: parts(g.id) for g in groups}
-    return listed.select(
-        *[field(i) for i in ids], LITERACY,
-        *[built[g.id][m].alias(f"{m}_{g.id}") for m in measures for g in groups],
-    )
+    kept = [field(i) for i in ids]
+    listed = base.select(*kept, LITERACY, "occ_total", *[F.expr(g.as_struct()).alias(g.id) for g in groups])
+
+    def value(group: str, measure: str) -> str:
+        def n(who: str) -> str:
+            if status and who in ("male", "female"):
+                return f"({quoted(group)}.n_{who}_free + {quoted(group)}.n_{who}_enslaved)"
+            return f"{quoted(group)}.n_{who}"
+
+        if measure == "n_total":
+            return n("total")
+        if measure == "share_of_all_occupations":
+            return ratio_sql(n("total"), "occ_total")
+        return ratio_sql(n(measure.split("_")[1]), n("total"))
+
+    cells = [F.expr(value(g.id, m)).alias(f"{m}_{g.id}") for m in measures for g in groups]
+    return listed.select(*kept, LITERACY, *cells)
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.functions.guarded import field, group_total, portion
-from panelspan.functions.text import id_code, id_prefix
+from panelspan.functions.text import id_prefix
+from panelspan.operators.crosswalk import code_of
 
 #: More groups than this and the totals are no longer treated as a dimension.
 BROADCAST_GROUPS = 10_000
@@ -40,7 +41,9 @@ def rollup_by_crosswalk(
     the join sees one row per code however hot a code is.  The join carries no
     hint: the crosswalk grows with the geographies, so its size decides.
     """
-    coded = df.select(id_code(field(identifier)).alias(code), *[field(c) for c in counts])
+    coded = df.select(
+        code_of(df, identifier, crosswalk, code).alias(code), *[field(c) for c in counts]
+    )
     if not unique_ids:
         coded = rollup(coded.where(F.col(code).isNotNull()), [code], counts)
     return rollup(coded.join(crosswalk.select(area, code), code), [area], counts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspan.functions.text import id_code, id_prefix
 from panelspan.operators import compare, crosswalk as xw, naming, panels, regression, reshape, rollup
 from panelspan.operators.panels import ExactLayout, Group, Level, PrefixLayout
-from panelspan.operators.serving import Contrast, Metric
+from panelspan.operators.serving import Contrast, Metric, quartile_comparison
 from panelspan.sources import export, store
 from panelspan.sources.tables import lookup_table
 
@@ -173,15 +173,16 @@ METRICS_1920 = {
     name: metric for name, metric in METRICS_1872.items()
     if "free" not in name and "enslaved" not in name
 }
-# Column, label, shown as percent, diverging scale.
-METRICS_CHANGE = {
-    row[0]: Metric(row[0], row[1], is_pct=row[2], diverging=row[3]) for row in (
-        ("mfg_share_1920", "Mfg share 1920 (level)", True, False),
-        ("agr_share_1920", "Agr share 1920 (level)", True, False),
-        ("non_agr_share_1920", "Non-agr share 1920 (level)", True, False),
-        ("mfg_agr_ratio_1920", "Mfg/agr ratio 1920", False, False),
-        ("literacy_rate_1920", "Literacy rate 1920", True, False),
-        ("mfg_percapita_1920", "Mfg per capita 1920", False, False),
+def change_registry(before: str = "1872", after: str = "1920") -> dict[str, Metric]:
+    """Metrics of the comparison for a pair of period suffixes."""
+    # Column, label, shown as percent, diverging scale.
+    rows = (
+        (f"mfg_share_{after}", f"Mfg share {after} (level)", True, False),
+        (f"agr_share_{after}", f"Agr share {after} (level)", True, False),
+        (f"non_agr_share_{after}", f"Non-agr share {after} (level)", True, False),
+        (f"mfg_agr_ratio_{after}", f"Mfg/agr ratio {after}", False, False),
+        (f"literacy_rate_{after}", f"Literacy rate {after}", True, False),
+        (f"mfg_percapita_{after}", f"Mfg per capita {after}", False, False),
         ("mfg_share_change_pp", "Mfg share change (pp)", True, True),
         ("mfg_share_log_ratio", "Mfg share log ratio", False, True),
         ("mfg_share_cagr", "Mfg share CAGR", False, True),
@@ -193,22 +194,36 @@ METRICS_CHANGE = {
         ("serv_share_change_pp", "Services share change (pp)", True, True),
         ("literacy_rate_change_pp", "Literacy rate change (pp)", True, True),
         ("pop_growth_rate", "Pop growth rate (annual)", False, False),
-        ("enslaved_share_1872", "Enslaved share 1872 (X)", True, False),
-        ("enslaved_mfg_share_1872", "Enslaved mfg share 1872 (X)", True, False),
-        ("enslaved_agr_share_1872", "Enslaved agr share 1872 (X)", True, False),
-        ("mfg_share_1872", "Mfg share 1872 (baseline)", True, False),
-        ("literacy_rate_1872", "Literacy rate 1872 (baseline)", True, False),
+        (f"enslaved_share_{before}", f"Enslaved share {before} (X)", True, False),
+        (f"enslaved_mfg_share_{before}", f"Enslaved mfg share {before} (X)", True, False),
+        (f"enslaved_agr_share_{before}", f"Enslaved agr share {before} (X)", True, False),
+        (f"mfg_share_{before}", f"Mfg share {before} (baseline)", True, False),
+        (f"literacy_rate_{before}", f"Literacy rate {before} (baseline)", True, False),
     )
-}
-# Panels of the quartile comparison.
-QUARTILE_REQUIRED = ("mfg_share_change_pp", "serv_share_change_pp")
-CONTRASTS = (
-    Contrast("1872 sector shares (baseline)", {
-        "Agriculture": "agr_share_1872", "Manufacturing": "mfg_share_1872", "Services": "serv_share_1872"}),
-    Contrast("1872-1920 sector share change (pp)", {
-        "Agriculture": "agr_share_change_pp", "Manufacturing": "mfg_share_change_pp",
-        "Services": "serv_share_change_pp"}),
-)
+    return {name: Metric(name, label, is_pct=pct, diverging=div) for name, label, pct, div in rows}
+
+
+METRICS_CHANGE = change_registry()
+
+
+def contrasts(before: str = "1872", after: str = "1920") -> tuple[Contrast, Contrast]:
+    """The two panels of the quartile comparison."""
+    sectors = {"Agriculture": "agr", "Manufacturing": "mfg", "Services": "serv"}
+    return (
+        Contrast(f"{before} sector shares (baseline)",
+                 {label: f"{s}_share_{before}" for label, s in sectors.items()}),
+        Contrast(f"{before}-{after} sector share change (pp)",
+                 {label: f"{s}_share_change_pp" for label, s in sectors.items()}),
+    )
+
+
+def exposure_quartiles(panel: DataFrame, before: str = "1872", after: str = "1920") -> DataFrame:
+    """Sector composition and change by quartile of the exposure."""
+    cases = panel.withColumn(
+        "agr_share_change_pp", F.col(f"agr_share_{after}") - F.col(f"agr_share_{before}")
+    )
+    required = ("mfg_share_change_pp", "serv_share_change_pp")
+    return quartile_comparison(cases, f"enslaved_share_{before}", required, contrasts(before, after))
 
 
 def states(spark: SparkSession, year: int) -> DataFrame:

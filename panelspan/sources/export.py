@@ -149,15 +149,6 @@ STATUS_MEASURES = (
     "share_female_of_national_group", "literacy_rate_of_national_pop",
     "enslaved_rate_of_national_pop",
 )
-CHANGE_COLUMNS = (
-    "mfg_share_1920", "agr_share_1920", "non_agr_share_1920", "mfg_agr_ratio_1920",
-    "literacy_rate_1920", "mfg_percapita_1920",
-    "mfg_share_change_pp", "mfg_share_log_ratio", "mfg_share_cagr", "mfg_share_logit_change",
-    "non_agr_share_change_pp", "mfg_agr_ratio_change", "structural_change_index",
-    "agr_exit_share", "serv_share_change_pp", "literacy_rate_change_pp", "pop_growth_rate",
-    "enslaved_share_1872", "enslaved_mfg_share_1872", "enslaved_agr_share_1872",
-    "mfg_share_1872", "literacy_rate_1872", "agr_share_1872", "serv_share_1872", "serv_share_1920",
-)
 FIT_EXPORT = ("coef", "se", "ci_lower", "ci_upper", "p_value")
 
 
@@ -166,5 +157,20 @@ def short_panel(panel: DataFrame, measures: Sequence[str]) -> DataFrame:
     return panel.select(*[F.col(long).alias(short) for short, long in SHORT_NAMES.items()], *measures)
 
 
-def change_export(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return panel.select(*[F.col(k).cast("string").alias(k) for k in keys], *CHANGE_COLUMNS)
+def change_columns(before: str = "1872", after: str = "1920") -> list[str]:
+    # Exported columns of the comparison, in file order.
+    return [
+        f"mfg_share_{after}", f"agr_share_{after}", f"non_agr_share_{after}", f"mfg_agr_ratio_{after}",
+        f"literacy_rate_{after}", f"mfg_percapita_{after}",
+        "mfg_share_change_pp", "mfg_share_log_ratio", "mfg_share_cagr", "mfg_share_logit_change",
+        "non_agr_share_change_pp", "mfg_agr_ratio_change", "structural_change_index",
+        "agr_exit_share", "serv_share_change_pp", "literacy_rate_change_pp", "pop_growth_rate",
+        f"enslaved_share_{before}", f"enslaved_mfg_share_{before}", f"enslaved_agr_share_{before}",
+        f"mfg_share_{before}", f"literacy_rate_{before}", f"agr_share_{before}",
+        f"serv_share_{before}", f"serv_share_{after}",
+    ]
+
+
+def change_export(panel: DataFrame, keys: Sequence[str], before: str = "1872", after: str = "1920") -> DataFrame:
+    texts = [F.col(k).cast("string").alias(k) for k in keys]
+    return panel.select(*texts, *change_columns(before, after))
