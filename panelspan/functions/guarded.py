@@ -50,9 +50,9 @@ def row_total(columns: Iterable[str]) -> Column:
     return F.expr(row_total_sql(columns))
 
 
-def group_total(column: str) -> Column:
+def group_total(column: str, name: str | None = None) -> Column:
     """Grouped sum, missing counted as zero; an all-missing group gives zero."""
-    return F.expr(f"coalesce(sum(cast({quoted(column)} as double)), 0D)")
+    return F.expr(f"coalesce(sum(cast({quoted(column)} as double)), 0D) AS {quoted(name or column)}")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

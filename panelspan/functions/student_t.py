@@ -5,12 +5,14 @@ The two-sided p-value is the regularised incomplete beta function
 fraction, bottom-up: with a fixed depth that needs one running number and no
 guard against vanishing denominators.  The depth grows with ``sqrt(df)``.
 These run per row of a *result* table, never per row of the data.
+
+The expressions are written as SQL text: their lambdas nest, and one parsed
+text costs the driver far less than a tree of Column calls.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -30,78 +32,67 @@ DEPTH_PER_ROOT_DF = 2.0
 NEWTON_STEPS = 24
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Name an intermediate value so that it is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def log_gamma(z: Column) -> Column:
-    """Lanczos approximation, for ``z`` of at least one half."""
-    w = z - 1
-    series = F.lit(LANCZOS[0])
-    for i, weight in enumerate(LANCZOS[1:], start=1):
-        series = series + F.lit(weight) / (w + i)
-    base = w + (LANCZOS_G + 0.5)
-    return 0.5 * math.log(2 * math.pi) + (w + 0.5) * F.ln(base) - base + F.ln(series)
-
-
-def _log_beta_with_half(a: Column) -> Column:
-    return log_gamma(a) + LOG_GAMMA_HALF - log_gamma(a + 0.5)
-
-
-def _depth(df: Column) -> Column:
-    return (BASE_DEPTH + F.ceil(F.sqrt(df) * DEPTH_PER_ROOT_DF)).cast("int")
+def _number(value: float) -> str:
+    return f"({value!r}D)"
 
 
-def _fraction(a: Column, b: Column, x: Column, depth: Column) -> Column:
-    def level(below: Column, m: Column) -> Column:
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return 1 + even / (1 - odd / below)
-
-    start = F.lit(1.0)
-    whole = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), start, level)
-    first = (a + b) * x / (a + 1)
-    return 1 - first / whole
+def _let(value: str, name: str, body: str) -> str:
+    """Name an intermediate value so that it is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _tail(t: Column, df: Column, log_beta: Column, depth: Column) -> Column:
-    square = t * t
-    setup = F.struct(
-        (df / (df + square)).alias("x"),
-        (square / (df + square)).alias("y"),
-        (df / 2).alias("a"),
+def log_gamma_sql(z: str) -> str:
+    """Lanczos approximation, for arguments of at least one half."""
+    series = " + ".join(
+        [_number(LANCZOS[0])] + [f"{_number(c)} / (z - 1 + {i})" for i, c in enumerate(LANCZOS[1:], start=1)]
     )
+    shift = _number(LANCZOS_G + 0.5)
+    body = (f"{_number(0.5 * math.log(2 * math.pi))} + (z - 0.5D) * ln(z - 1 + {shift}) "
+            f"- (z - 1 + {shift}) + ln({series})")
+    return _let(z, "z", body)
 
-    def orient(s: Column) -> Column:
-        swap = s["x"] >= (s["a"] + 1) / (s["a"] + 2.5)
-        half = F.lit(0.5)
-        return F.struct(
-            swap.alias("swap"),
-            F.when(swap, half).otherwise(s["a"]).alias("a"),
-            F.when(swap, s["a"]).otherwise(half).alias("b"),
-            F.when(swap, s["y"]).otherwise(s["x"]).alias("x"),
-            F.when(swap, s["x"]).otherwise(s["y"]).alias("y"),
-        )
 
-    def value(s: Column) -> Column:
-        front = F.exp(s["a"] * F.ln(s["x"]) + s["b"] * F.ln(s["y"]) - log_beta) / s["a"]
-        part = front / _fraction(s["a"], s["b"], s["x"], depth)
-        return F.when(s["swap"], 1 - part).otherwise(part)
+def _setup(df: str, extra: str = "") -> str:
+    """Degrees of freedom, log of the beta function and fraction depth."""
+    half = f"cast({df} as double) / 2"
+    log_beta = f"{log_gamma_sql(half)} + {_number(LOG_GAMMA_HALF)} - {log_gamma_sql(half + ' + 0.5D')}"
+    depth = f"cast({BASE_DEPTH} + ceil({DEPTH_PER_ROOT_DF} * sqrt({df})) as int)"
+    return f"named_struct('df', cast({df} as double), 'lb', {log_beta}, 'depth', {depth}{extra})"
 
-    return _let(_let(setup, orient), value)
 
+def _tail(t: str, s: str) -> str:
+    """Two-sided tail at t, given the name of a set-up struct.
 
-def two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|); NULL for a missing t or a df below one."""
-    d = df.cast("double")
-    state = F.struct(t.cast("double").alias("t"), d.alias("df"),
-                     _log_beta_with_half(d / 2).alias("lb"), _depth(d).alias("n"))
-    p = _let(state, lambda s: _tail(s["t"], s["df"], s["lb"], s["n"]))
-    return F.when(df >= 1, F.when(t == 0, F.lit(1.0)).when(t.isNotNull(), p))
+    The fraction converges fast on one side of a point; beyond it the
+    complementary function is evaluated with the arguments swapped.
+    """
+    square = f"{t} * {t}"
+    whole = (f"named_struct('x', {s}.df / ({s}.df + {square}), 'y', {square} / ({s}.df + {square}), "
+             f"'a', {s}.df / 2)")
+    swap = "o.x >= (o.a + 1) / (o.a + 2.5D)"
+    oriented = (
+        f"named_struct('swap', {swap}, 'a', if({swap}, 0.5D, o.a), 'b', if({swap}, o.a, 0.5D), "
+        f"'x', if({swap}, o.y, o.x), 'y', if({swap}, o.x, o.y))"
+    )
+    even = "m * (v.b - m) * v.x / ((v.a + 2 * m - 1) * (v.a + 2 * m))"
+    odd = "(v.a + m) * (v.a + v.b + m) * v.x / ((v.a + 2 * m) * (v.a + 2 * m + 1))"
+    levels = f"aggregate(sequence({s}.depth, 1, -1), 1D, (below, m) -> 1 + {even} / (1 - {odd} / below))"
+    fraction = f"(1 - (v.a + v.b) * v.x / (v.a + 1) / {levels})"
+    part = f"exp(v.a * ln(v.x) + v.b * ln(v.y) - {s}.lb) / v.a / {fraction}"
+    value = _let(part, "p", "if(v.swap, 1 - p, p)")
+    return _let(_let(whole, "o", oriented), "v", value)
+
+
+def two_sided_p(t: str, df: str) -> Column:
+    """P(|T| >= |t|) from SQL terms; NULL for a missing t or a df below one."""
+    state = _setup(df, f", 't', cast({t} as double)")
+    return F.expr(
+        f"CASE WHEN {df} >= 1 THEN CASE WHEN {t} = 0 THEN 1D "
+        f"WHEN {t} IS NOT NULL THEN {_let(state, 's', _tail('s.t', 's'))} END END"
+    )
 
 
-def critical_value(df: Column, confidence: float = 0.95, steps: int = NEWTON_STEPS) -> Column:
+def critical_value(df: str, confidence: float = 0.95, steps: int = NEWTON_STEPS) -> Column:
     """t with two-sided tail ``1 - confidence``.
 
     The tail is convex and falling for t > 0, so Newton steps that start at
@@ -109,14 +100,7 @@ def critical_value(df: Column, confidence: float = 0.95, steps: int = NEWTON_STE
     """
     alpha = 1 - confidence
     start = NormalDist().inv_cdf(1 - alpha / 2)
-    d = df.cast("double")
-    state = F.struct(d.alias("df"), _log_beta_with_half(d / 2).alias("lb"), _depth(d).alias("n"))
-
-    def solve(s: Column) -> Column:
-        def step(t: Column, _: Column) -> Column:
-            density = F.exp(-s["lb"] - (s["df"] + 1) / 2 * F.ln(1 + t * t / s["df"])) / F.sqrt(s["df"])
-            return t + (_tail(t, s["df"], s["lb"], s["n"]) - alpha) / (2 * density)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(start), step)
-
-    return F.when(df >= 1, _let(state, solve))
+    density = "exp(-s.lb - (s.df + 1) / 2 * ln(1 + t * t / s.df)) / sqrt(s.df)"
+    step = f"t + ({_tail('t', 's')} - {_number(alpha)}) / (2 * {density})"
+    root = f"aggregate(sequence(1, {int(steps)}), {_number(start)}, (t, i) -> {step})"
+    return F.expr(f"CASE WHEN {df} >= 1 THEN {_let(_setup(df), 's', root)} END")

@@ -14,7 +14,8 @@ from panelspan.functions.guarded import (
     log_ratio,
     logit_shift,
     ratio,
-    residual,
+    ratio_sql,
+    residual_sql,
 )
 from panelspan.operators.panels import ExactLayout, Layout
 
@@ -61,33 +62,32 @@ def _levels(names: Sequence[str], layout: Layout) -> dict[str, str]:
 
 def sector_accounts(df: DataFrame, key: str, layout: Layout, period: str) -> DataFrame:
     """Key plus the period's variables, each with the period as suffix."""
-    levels = df.select(key, *[F.expr(sql).alias(n) for n, sql in _levels(df.columns, layout).items()])
-    v = {name: F.col(name) for name in levels.columns}
-    whole = v["occ_total"]
-    levels = levels.withColumn("serv_total", residual(whole, v["agr_total"], v["mfg_total"]))
+    levels = df.selectExpr(key, *[f"{sql} AS {n}" for n, sql in _levels(df.columns, layout).items()])
+    services = residual_sql("occ_total", "agr_total", "mfg_total")
+    levels = levels.selectExpr("*", f"{services} AS serv_total")
     derived = {
-        "mfg_share": ratio(v["mfg_total"], whole),
-        "agr_share": ratio(v["agr_total"], whole),
-        "serv_share": ratio(F.col("serv_total"), whole),
+        "mfg_share": ratio_sql("mfg_total", "occ_total"),
+        "agr_share": ratio_sql("agr_total", "occ_total"),
+        "serv_share": ratio_sql("serv_total", "occ_total"),
         # A missing agriculture share counts as fully agricultural.
-        "non_agr_share": 1 - F.coalesce(ratio(v["agr_total"], whole), F.lit(1.0)),
-        "literacy_rate": ratio(v["pop_literate"], v["pop_total"]),
+        "non_agr_share": f"1 - coalesce({ratio_sql('agr_total', 'occ_total')}, 1D)",
+        "literacy_rate": ratio_sql("pop_literate", "pop_total"),
     }
     if isinstance(layout, ExactLayout):
         kept = PLAIN_VARIABLES
         derived |= {
-            "mfg_agr_ratio": ratio(v["mfg_total"], v["agr_total"]),
-            "mfg_percapita": ratio(v["mfg_total"], v["pop_total"]),
+            "mfg_agr_ratio": ratio_sql("mfg_total", "agr_total"),
+            "mfg_percapita": ratio_sql("mfg_total", "pop_total"),
         }
     else:
         kept = STATUS_VARIABLES
         derived |= {
-            "enslaved_share": ratio(v["pop_enslaved"], v["pop_total"]),
-            "enslaved_mfg_share": ratio(v["mfg_enslaved"], v["mfg_total"]),
-            "enslaved_agr_share": ratio(v["agr_enslaved"], v["agr_total"]),
+            "enslaved_share": ratio_sql("pop_enslaved", "pop_total"),
+            "enslaved_mfg_share": ratio_sql("mfg_enslaved", "mfg_total"),
+            "enslaved_agr_share": ratio_sql("agr_enslaved", "agr_total"),
         }
-    every = levels.withColumns(derived)
-    return every.select(key, *[F.col(n).alias(f"{n}_{period}") for n in kept])
+    values = {name: derived.get(name, name) for name in kept}
+    return levels.selectExpr(key, *[f"{sql} AS {name}_{period}" for name, sql in values.items()])
 
 
 def change_metrics(

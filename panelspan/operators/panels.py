@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.functions.guarded import field as col
-from panelspan.functions.guarded import quoted, ratio, residual_sql, text_literal, unknown
+from panelspan.functions.guarded import quoted, ratio_sql, residual_sql, text_literal
 from panelspan.operators.naming import exact_total, matched_total
 
 OCCUPATION, SECTOR = "Occupation", "Sector"
@@ -172,11 +172,12 @@ Layout = PrefixLayout | ExactLayout
 
 def denominators(df: DataFrame, layout: Layout) -> DataFrame:
     """Add population, literacy and occupation totals and the two rates."""
-    base = df.withColumns({n: F.expr(sql) for n, sql in layout.context(df.columns).items()})
-    rates = {"literacy_rate_population": ratio(F.col("pop_literate"), F.col("pop_total"))}
+    context = layout.context(df.columns)
+    base = df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in context.items()])
+    rates = {"literacy_rate_population": "pop_literate"}
     if isinstance(layout, PrefixLayout):
-        rates["enslaved_rate_population"] = ratio(F.col("pop_enslaved"), F.col("pop_total"))
-    return base.withColumns(rates)
+        rates["enslaved_rate_population"] = "pop_enslaved"
+    return base.selectExpr("*", *[f"{ratio_sql(part, 'pop_total')} AS {name}" for name, part in rates.items()])
 
 
 def layout_groups(names: Sequence[str], layout: Layout, kinds: Sequence[str]) -> list[GroupCounts]:
@@ -188,26 +189,25 @@ def layout_groups(names: Sequence[str], layout: Layout, kinds: Sequence[str]) ->
     return groups
 
 
+GAP = "cast(NULL as double)"
+
+
 def _with_shares(panel: DataFrame, status: bool) -> DataFrame:
-    total = F.col("n_total")
     if status:
-        panel = panel.withColumns({
-            "n_male": F.col("n_male_free") + F.col("n_male_enslaved"),
-            "n_female": F.col("n_female_free") + F.col("n_female_enslaved"),
-        })
+        panel = panel.selectExpr("*", "n_male_free + n_male_enslaved AS n_male",
+                                 "n_female_free + n_female_enslaved AS n_female")
+        gaps: tuple[str, ...] = ()
     else:
         gaps = ("n_free", "n_enslaved", "pop_free", "pop_enslaved", "enslaved_rate_population",
-                "occ_free", "occ_enslaved")
-        panel = panel.withColumns({name: unknown() for name in gaps})
-    return panel.withColumns({
-        "n_literate_within_group": unknown(),
-        "share_literate_within_group": unknown(),
-        "share_of_all_occupations": ratio(total, F.col("occ_total")),
-        "share_free_within_group": ratio(F.col("n_free"), total) if status else unknown(),
-        "share_enslaved_within_group": ratio(F.col("n_enslaved"), total) if status else unknown(),
-        "share_male_within_group": ratio(F.col("n_male"), total),
-        "share_female_within_group": ratio(F.col("n_female"), total),
-    })
+                "occ_free", "occ_enslaved", "share_free_within_group", "share_enslaved_within_group")
+    shares = {"share_of_all_occupations": ratio_sql("n_total", "occ_total")}
+    for who in ("free", "enslaved", "male", "female"):
+        if f"share_{who}_within_group" not in gaps:
+            shares[f"share_{who}_within_group"] = ratio_sql(f"n_{who}", "n_total")
+    # Literacy is not known per group in either census.
+    gaps += ("n_literate_within_group", "share_literate_within_group")
+    return panel.selectExpr(
+        "*", *[f"{GAP} AS {name}" for name in gaps], *[f"{sql} AS {name}" for name, sql in shares.items()])
 
 
 def group_panel(

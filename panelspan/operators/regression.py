@@ -52,13 +52,13 @@ def with_inference(fits: DataFrame, confidence: float = 0.95) -> DataFrame:
 
     A perfect fit has se = 0: t is undefined and p is 0.
     """
-    coef, se, df = F.col("coef"), F.col("se"), F.col("df")
+    coef, se = F.col("coef"), F.col("se")
     staged = fits.withColumns({
         "t_value": F.when(se > 0, coef / se),
-        "t_critical": critical_value(df, confidence),
+        "t_critical": critical_value("df", confidence),
     })
     return staged.withColumns({
-        "p_value": F.when(se == 0, F.lit(0.0)).otherwise(two_sided_p(F.col("t_value"), df)),
+        "p_value": F.when(se == 0, F.lit(0.0)).otherwise(two_sided_p("t_value", "df")),
         "ci_lower": coef - F.col("t_critical") * se,
         "ci_upper": coef + F.col("t_critical") * se,
     }).drop("t_critical", "df")
@@ -186,7 +186,7 @@ def fitted_band(
     spread = F.greatest(F.col("syy") - F.col("sxy") * slope, F.lit(0.0)) / (F.col("n") - 2)
     line = m.withColumns({
         "slope": slope, "sigma": F.sqrt(spread),
-        "t_critical": critical_value(F.col("n") - 2, confidence),
+        "t_critical": critical_value("(n - 2)", confidence),
         "step": (F.col("high") - F.col("low")) / (points - 1),
     }).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("low") + F.col("step") * F.col("point")

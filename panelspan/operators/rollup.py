@@ -22,7 +22,7 @@ BROADCAST_GROUPS = 10_000
 
 def rollup(df: DataFrame, keys: Sequence[str | Column], counts: Sequence[str]) -> DataFrame:
     """Sum every count column per key; all-missing sums to zero."""
-    return df.groupBy(*keys).agg(*[group_total(c).alias(c) for c in counts])
+    return df.groupBy(*keys).agg(*[group_total(c) for c in counts])
 
 
 def rollup_by_crosswalk(
@@ -79,7 +79,7 @@ def national_totals(
     """Totals per group over the rows of one level."""
     rows = panel.where(F.col("geography_level") == level)
     return rows.groupBy(*NATIONAL_KEYS).agg(
-        *[group_total(m).alias(f"{m}_national") for m in measures]
+        *[group_total(m, f"{m}_national") for m in measures]
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspan.functions.guarded import quoted
 from panelspan.operators import compare, crosswalk as xw, naming, panels, regression, rollup
 from panelspan.operators.panels import ExactLayout, Group, Level, PrefixLayout
 from panelspan.plans.census import LAYOUT_1872, sector_columns
@@ -54,8 +55,8 @@ MALE, FEMALE = "o_orderkey % 2 = 0", "o_orderkey % 2 = 1"
 LITERATE = "o_totalprice > 250000"
 
 
-def _count(*conditions: str) -> Column:
-    return F.expr(f"cast(count_if({' AND '.join(conditions)}) as double)")
+def _count(name: str, *conditions: str) -> Column:
+    return F.expr(f"cast(count_if({' AND '.join(conditions)}) as double) AS {quoted(name)}")
 
 
 def wide_orders(orders: DataFrame) -> DataFrame:
@@ -69,33 +70,32 @@ def wide_orders(orders: DataFrame) -> DataFrame:
         ("h_escr", ENSLAVED, MALE), ("m_escr", ENSLAVED, FEMALE),
     )
     finest = orders.groupBy(F.col("o_custkey").alias("muni_id")).agg(
-        F.count("*").cast("double").alias("soma_g_almas"),
-        _count(FREE).alias("soma_l_almas"), _count(ENSLAVED).alias("soma_e_almas"),
-        _count(LITERATE).alias("soma_g_sabemlereescrever"),
-        *[_count(f"o_orderpriority = '{p}'").alias(f"soma_g_{p}") for p in PRIORITIES],
-        *[_count(f"o_orderpriority = '{p}'", status, sex).alias(f"{prefix}_{p}")
+        _count("soma_g_almas", "true"), _count("soma_l_almas", FREE), _count("soma_e_almas", ENSLAVED),
+        _count("soma_g_sabemlereescrever", LITERATE),
+        *[_count(f"soma_g_{p}", f"o_orderpriority = '{p}'") for p in PRIORITIES],
+        *[_count(f"{prefix}_{p}", f"o_orderpriority = '{p}'", status, sex)
           for prefix, status, sex in cells for p in PRIORITIES],
     )
     coarser = {"soma_l": ("h_livres", "m_livres"), "soma_e": ("h_escr", "m_escr")}
-    return finest.select("*", *[
-        F.expr(" + ".join(f"`{part}_{p}`" for part in parts)).alias(f"{prefix}_{p}")
+    return finest.selectExpr("*", *[
+        " + ".join(quoted(f"{part}_{p}") for part in parts) + " AS " + quoted(f"{prefix}_{p}")
         for prefix, parts in coarser.items() for p in PRIORITIES
     ])
 
 
 def wide_lines(lines: DataFrame) -> DataFrame:
     """Wide quantities per supplier in exactly named sector columns."""
-    def total(condition: str) -> Column:
-        return F.expr(f"coalesce(sum(CASE WHEN {condition} THEN l_quantity END), 0D)")
+    def total(name: str, condition: str) -> Column:
+        return F.expr(f"coalesce(sum(CASE WHEN {condition} THEN l_quantity END), 0D) AS {name}")
 
     men, women = "l_linestatus = 'F'", "l_linestatus = 'O'"
     return lines.groupBy(F.col("l_suppkey").alias("muni_id")).agg(
         F.sum("l_quantity").alias("popmun20"),
-        total("l_discount > 0.05").alias("popalf20"),
-        total("l_returnflag IN ('A', 'N')").alias("pia20"),
+        total("popalf20", "l_discount > 0.05"),
+        total("pia20", "l_returnflag IN ('A', 'N')"),
         F.sum("l_quantity").alias("peasettt"),
-        total(men).alias("peasetth"), total(women).alias("peasettm"),
-        *[total(f"l_linenumber = {k} AND {who}").alias(f"peaset{k}{sex}")
+        total("peasetth", men), total("peasettm", women),
+        *[total(f"peaset{k}{sex}", f"l_linenumber = {k} AND {who}")
           for k in range(1, 8) for sex, who in (("h", men), ("m", women))],
     )
 
@@ -209,10 +209,9 @@ def second_period(spark: SparkSession, sf: str) -> DataFrame:
     later = orders(spark, sf).where("o_orderdate >= timestamp_ntz '1999-01-01'")
     working = "o_orderpriority <> '5-LOW'"
     return later.groupBy(F.col("o_custkey").alias("muni_id")).agg(
-        F.count("*").cast("double").alias("popmun20"), _count(LITERATE).alias("popalf20"),
-        _count(working).alias("pia20"),
-        _count(working, MALE).alias("peasetth"), _count(working, FEMALE).alias("peasettm"),
-        *[_count(f"o_orderpriority = '{p}'", who).alias(f"peaset{k}{sex}")
+        _count("popmun20", "true"), _count("popalf20", LITERATE), _count("pia20", working),
+        _count("peasetth", working, MALE), _count("peasettm", working, FEMALE),
+        *[_count(f"peaset{k}{sex}", f"o_orderpriority = '{p}'", who)
           for k, p in sectors.items() for sex, who in (("h", MALE), ("m", FEMALE))],
     )
 

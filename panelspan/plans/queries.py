@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspan.functions.guarded import field
+from panelspan.functions.guarded import quoted
 from panelspan.functions.text import folded, id_code
 from panelspan.operators import crosswalk as xw, naming, panels, quantiles, regression, reshape, rollup, serving
 from panelspan.plans import census, driver_tables as b
@@ -29,9 +29,9 @@ def query(build: Query) -> Query:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Round fractions for comparison; summation order moves their last bits."""
-    return df.select(*[
-        (F.round(field(f.name), DIGITS) + F.lit(0.0)).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else field(f.name)
+    return df.selectExpr(*[
+        f"round({quoted(f.name)}, {DIGITS}) + 0D AS {quoted(f.name)}"
+        if isinstance(f.dataType, T.DoubleType) else quoted(f.name)
         for f in df.schema.fields
     ])
 
