@@ -70,11 +70,6 @@ def floor_at_zero(value: Column) -> Column:
     return F.when(value < 0, F.lit(ZERO)).otherwise(value)
 
 
-def residual(whole: Column, *parts: Column) -> Column:
-    """What the parts leave of the whole, never below zero."""
-    return floor_at_zero(reduce(lambda left, part: left - part, parts, whole))
-
-
 def logit(share: Column, margin: float = LOGIT_MARGIN) -> Column:
     low, high = F.lit(margin), F.lit(1 - margin)
     inside = F.when(share < low, low).when(share > high, high).otherwise(share)
@@ -108,11 +103,6 @@ def absolute_shift(pairs: Iterable[tuple[Column, Column]]) -> Column:
     return reduce(add, [F.abs(after - before) for before, after in pairs])
 
 
-def unknown() -> Column:
-    """Typed placeholder for a measure one layout does not have."""
-    return F.lit(None).cast("double")
-
-
 def field(name: str) -> Column:
     """Column by its exact name, whatever characters the name holds."""
     return F.col(quoted(name))

@@ -56,6 +56,7 @@ def majority_parent(
     area: str = "code_amc",
     code: str = "muni_code",
     out: str = "state_code",
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Per area the parent with most members; ties go to the lowest parent.
 
@@ -64,9 +65,11 @@ def majority_parent(
     has to sort an area's members.
     """
     members = df.select(code_of(df, identifier, crosswalk, code).alias(code), parent.alias(out))
+    # One row per code before the join, however many rows a code has.
+    per_code = (members.withColumn("n", F.lit(1)) if unique_ids
+                else members.groupBy(code, out).agg(F.count("*").alias("n")))
     counts = (
-        members.groupBy(code, out).agg(F.count("*").alias("n"))
-        .join(crosswalk.select(area, code), code)
+        per_code.join(crosswalk.select(area, code), code)
         .groupBy(area, out).agg(F.sum("n").alias("n"))
     )
     # A missing parent sorts last among equals.

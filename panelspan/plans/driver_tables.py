@@ -236,7 +236,7 @@ def area_panel(spark: SparkSession, sf: str) -> DataFrame:
 def majority_states(spark: SparkSession, sf: str) -> DataFrame:
     return xw.majority_parent(
         read_table(spark, sf, "customer"), "c_custkey", area_crosswalk(spark, sf),
-        F.col("c_nationkey").cast("string"))
+        F.col("c_nationkey").cast("string"), unique_ids=True)
 
 
 def prefix_panel(spark: SparkSession, sf: str) -> DataFrame:
