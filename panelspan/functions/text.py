@@ -38,6 +38,8 @@ _FROM = "".join(_ACCENTS)
 _TO = "".join(_ACCENTS.values())
 _PYTHON_FOLD = str.maketrans({**_ACCENTS, **EXPANSIONS})
 _DROPPED = "[^a-z0-9_]"
+# ASCII characters that are dropped; a translation without a target deletes.
+_DELETED = "".join(chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) == "_"))
 
 
 @lru_cache(maxsize=100_000)
@@ -46,11 +48,23 @@ def fold_name(name: str) -> str:
     return re.sub(_DROPPED, "", name.translate(_PYTHON_FOLD).lower())
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def folded(text: Column) -> Column:
-    """ASCII-fold, lower-case and keep only letters, digits and ``_``."""
+    """ASCII-fold, lower-case and keep only letters, digits and ``_``.
+
+    One translation folds accents and deletes ASCII signs.  Expansions are
+    only looked for in text that is not ASCII, and the final pattern only runs
+    on text that still is not; both skip most values.
+    """
+    expanded = text
     for source, target in EXPANSIONS.items():
-        text = F.replace(text, F.lit(source), F.lit(target))
-    return F.regexp_replace(F.lower(F.translate(text, _FROM, _TO)), _DROPPED, "")
+        expanded = F.replace(expanded, F.lit(source), F.lit(target))
+    source = F.when(_is_ascii(text), text).otherwise(expanded)
+    plain = F.lower(F.translate(source, _FROM + _DELETED, _TO))
+    return F.when(_is_ascii(plain), plain).otherwise(F.regexp_replace(plain, _DROPPED, ""))
 
 
 def id_code(identifier: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -40,45 +40,38 @@ def exact_quantiles(
         F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("e")
     )).scalar()
 
-    v, at = F.col("v"), {p: F.col("s.e")[i] for i, p in enumerate(edges)}
-    everything = F.col("s.n") <= accuracy
+    def at(p: float) -> str:
+        return f"s.e[{edges.index(p)}]"
+
     # The outermost brackets are open.
-    inside = reduce(or_, [
-        (F.lit(True) if low == 0.0 else v >= at[low]) & (F.lit(True) if high == 1.0 else v <= at[high])
+    inside = " OR ".join(["s.n <= %d" % accuracy] + [
+        f"({'true' if low == 0.0 else f'v >= {at(low)}'} AND {'true' if high == 1.0 else f'v <= {at(high)}'})"
         for low, high in brackets
-    ], everything)
-    region = reduce(lambda a, b: a + b, [F.when(v > at[p], 1).otherwise(0) for p in edges])
+    ])
+    region = " + ".join(f"if(v > {at(p)}, 1, 0)" for p in edges)
     reduced = (
         values.withColumn("s", sketch)
-        .select(region.alias("region"), F.when(inside, v).alias("value"))
-        .groupBy("region", "value").agg(F.count("*").alias("rows"))
+        .selectExpr(f"{region} AS region", f"if({inside}, v, NULL) AS value", "s.n AS n")
+        .groupBy("region", "value").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
     )
     # Ordered on what is left after the reduction.
-    order = Window.orderBy("region", F.col("value").asc_nulls_first())
-    ranked = reduced.withColumn("upto", F.sum("rows").over(order))
-    total = ranked.agg(F.max("upto").alias("n")).scalar()
-    ranked = ranked.withColumn("n", total)
-
-    def order_statistic(rank: Column) -> Column:
-        at_rank = (F.col("upto") > rank) & (F.col("upto") - F.col("rows") <= rank)
-        missed = F.max(F.when(at_rank & F.col("value").isNull(), True))
-        found = F.max(F.when(at_rank, F.col("value")))
-        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(found)
-
-    ranks = {}
-    for i, p in enumerate(probabilities):
-        position = (F.col("n") - 1) * p
-        ranks[f"lo{i}"] = order_statistic(F.floor(position))
-        ranks[f"hi{i}"] = order_statistic(F.ceil(position))
-    found = ranked.agg(F.max("n").alias("n"), *[c.alias(name) for name, c in ranks.items()])
-
-    def interpolated(i: int, p: float) -> Column:
-        position = (F.col("n") - 1) * p
-        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
-        return low + (position - F.floor(position)) * (high - low)
-
-    quantiles = F.array(*[interpolated(i, p) for i, p in enumerate(probabilities)])
-    return found.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, quantiles).alias("quantiles"))
+    ranked = reduced.selectExpr(
+        "*", "sum(rows) OVER (ORDER BY region, value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto")
+
+    def order_statistic(rank: str, name: str) -> Column:
+        here = f"upto > {rank} AND upto - rows <= {rank}"
+        missed = f"bool_or({here} AND value IS NULL)"
+        return F.expr(f"CASE WHEN {missed} THEN raise_error('quantile bracket missed its rank') "
+                      f"ELSE max(CASE WHEN {here} THEN value END) END AS {name}")
+
+    positions = [f"((n - 1) * {float(p)!r}D)" for p in probabilities]
+    found = ranked.agg(
+        F.max("n").alias("n"),
+        *[order_statistic(f"floor({x})", f"lo{i}") for i, x in enumerate(positions)],
+        *[order_statistic(f"ceil({x})", f"hi{i}") for i, x in enumerate(positions)],
+    )
+    quantiles = ", ".join(f"lo{i} + ({x} - floor({x})) * (hi{i} - lo{i})" for i, x in enumerate(positions))
+    return found.selectExpr("coalesce(n, 0) AS n", f"if(n > 0, array({quantiles}), NULL) AS quantiles")
 
 
 def approximate_quantiles(

@@ -180,10 +180,9 @@ def line_panel(spark: SparkSession, sf: str) -> DataFrame:
         line_dashboard(spark, sf), rollup.PLAIN_SHARES, group_count=len(panels.SECTORS))
 
 
-def area_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+def area_crosswalk(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
-    return read_table(spark, sf, "customer").select(
-        (key % AREAS).alias("code_amc"), key.alias("muni_code"))
+    return customer.select((key % AREAS).alias("code_amc"), key.alias("muni_code"))
 
 
 def crosswalk_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,15 +197,15 @@ def crosswalk_lists(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.concat_ws(", ", F.sort_array(F.collect_list(key.cast("string")))).alias("list_code_muni_2010"))
 
 
-def first_period(spark: SparkSession, sf: str) -> DataFrame:
+def first_period(every: DataFrame) -> DataFrame:
     """Orders up to 1997 in prefix-coded columns."""
-    return wide_orders(orders(spark, sf).where("o_orderdate < timestamp_ntz '1998-01-01'"))
+    return wide_orders(every.where("o_orderdate < timestamp_ntz '1998-01-01'"))
 
 
-def second_period(spark: SparkSession, sf: str) -> DataFrame:
+def second_period(every: DataFrame) -> DataFrame:
     """Orders from 1999 on in exactly named columns."""
     sectors = {1: "1-URGENT", 2: "2-HIGH", 6: "3-MEDIUM", 41: "4-NOT SPECIFIED"}
-    later = orders(spark, sf).where("o_orderdate >= timestamp_ntz '1999-01-01'")
+    later = every.where("o_orderdate >= timestamp_ntz '1999-01-01'")
     working = "o_orderpriority <> '5-LOW'"
     return later.groupBy(F.col("o_custkey").alias("muni_id")).agg(
         _count("popmun20", "true"), _count("popalf20", LITERATE), _count("pia20", working),
@@ -223,25 +222,27 @@ def _compared(first: DataFrame, second: DataFrame, key: str, missing_key_matches
 
 def area_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison of both periods per area, with the area's majority state."""
-    crosswalk = area_crosswalk(spark, sf)
-    a, b = first_period(spark, sf), second_period(spark, sf)
+    every, customer = orders(spark, sf), read_table(spark, sf, "customer")
+    crosswalk = area_crosswalk(customer)
+    a, b = first_period(every), second_period(every)
     compared = _compared(
         rollup.rollup_by_crosswalk(a, "muni_id", crosswalk, count_columns(a, ORDER_LAYOUT), unique_ids=True),
         rollup.rollup_by_crosswalk(b, "muni_id", crosswalk, count_columns(b, PERIOD_LAYOUT), unique_ids=True),
         "code_amc",
     )
-    return compared.join(majority_states(spark, sf), "code_amc", "left")
+    return compared.join(majority_states(customer), "code_amc", "left")
 
 
-def majority_states(spark: SparkSession, sf: str) -> DataFrame:
+def majority_states(customer: DataFrame) -> DataFrame:
     return xw.majority_parent(
-        read_table(spark, sf, "customer"), "c_custkey", area_crosswalk(spark, sf),
+        customer, "c_custkey", area_crosswalk(customer),
         F.col("c_nationkey").cast("string"), unique_ids=True)
 
 
 def prefix_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison per leading two digits of the customer key."""
-    a, b = first_period(spark, sf), second_period(spark, sf)
+    every = orders(spark, sf)
+    a, b = first_period(every), second_period(every)
     return _compared(
         rollup.rollup_by_prefix(a, "muni_id", count_columns(a, ORDER_LAYOUT)),
         rollup.rollup_by_prefix(b, "muni_id", count_columns(b, PERIOD_LAYOUT)),

@@ -28,12 +28,18 @@ def query(build: Query) -> Query:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Round fractions for comparison; summation order moves their last bits."""
-    return df.selectExpr(*[
-        f"round({quoted(f.name)}, {DIGITS}) + 0D AS {quoted(f.name)}"
-        if isinstance(f.dataType, T.DoubleType) else quoted(f.name)
-        for f in df.schema.fields
-    ])
+    """Round fractions for comparison; summation order moves their last bits.
+
+    Plain arithmetic, half away from zero: ``round`` on doubles goes through
+    decimals.  Adding zero turns a negative zero into zero.
+    """
+    def shown(f: T.StructField) -> str:
+        name = quoted(f.name)
+        if not isinstance(f.dataType, T.DoubleType):
+            return name
+        return f"signum({name}) * floor(abs({name}) * 1e{DIGITS} + 0.5D) / 1e{DIGITS} + 0D AS {name}"
+
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
 # ---- counts and panels -----------------------------------------------------
@@ -211,12 +217,12 @@ def quality_report(spark, sf):
 
 @query
 def crosswalk_stats(spark, sf):
-    return xw.crosswalk_summary(b.area_crosswalk(spark, sf))
+    return xw.crosswalk_summary(b.area_crosswalk(read_table(spark, sf, "customer")))
 
 
 @query
 def majority_state(spark, sf):
-    return b.majority_states(spark, sf)
+    return b.majority_states(read_table(spark, sf, "customer"))
 
 
 # ---- comparison ------------------------------------------------------------

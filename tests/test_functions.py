@@ -77,7 +77,7 @@ def test_ids_keep_their_digits(spark):
         ("15001070", "15"), ("1500107", "15"), (None, None)]
 
 
-NAMES = ["Soma_G_Em Metáis", "São Paulo", "Straße", "Œuvre_1", "ÀÉÎÕÜç", "a-b.c d", "Ñandú", "ĳs©"]
+NAMES = ["Soma_G_Em Metáis", "São Paulo", "Straße", "Œuvre_1", "ÀÉÎÕÜç", "a-b.c d", "Ñandú", "ĳs©", "tab\tnul\x00end\x7f", "плюс1 日本_x", "", "K\u212a", "İx"]
 
 
 def test_names_fold_alike_on_driver_and_executors(spark):
