@@ -29,7 +29,7 @@ LOG_GAMMA_HALF = 0.5 * math.log(math.pi)
 
 BASE_DEPTH = 30
 DEPTH_PER_ROOT_DF = 2.0
-NEWTON_STEPS = 24
+NEWTON_STEPS = 12
 
 
 def _number(value: float) -> str:
@@ -92,15 +92,18 @@ def two_sided_p(t: str, df: str) -> Column:
     )
 
 
-def critical_value(df: str, confidence: float = 0.95, steps: int = NEWTON_STEPS) -> Column:
+def critical_value(df: str, confidence: float = 0.95) -> Column:
     """t with two-sided tail ``1 - confidence``.
 
-    The tail is convex and falling for t > 0, so Newton steps that start at
-    the normal quantile (always below the root) rise to it without overshoot.
+    Newton steps on the logarithm of the tail, from the normal quantile.  A
+    power-law tail (few degrees of freedom) is convex in it and approached
+    from below; a near-normal one is concave and approached from above after
+    the first step.  Either way few steps do.
     """
     alpha = 1 - confidence
     start = NormalDist().inv_cdf(1 - alpha / 2)
     density = "exp(-s.lb - (s.df + 1) / 2 * ln(1 + t * t / s.df)) / sqrt(s.df)"
-    step = f"t + ({_tail('t', 's')} - {_number(alpha)}) / (2 * {density})"
-    root = f"aggregate(sequence(1, {int(steps)}), {_number(start)}, (t, i) -> {step})"
+    move = f"t + (ln(p) - {_number(math.log(alpha))}) * p / (2 * {density})"
+    step = _let(_tail("t", "s"), "p", move)
+    root = f"aggregate(sequence(1, {NEWTON_STEPS}), {_number(start)}, (t, i) -> {step})"
     return F.expr(f"CASE WHEN {df} >= 1 THEN {_let(_setup(df), 's', root)} END")

@@ -122,6 +122,9 @@ def test_critical_values_match_tables(spark):
     assert near(one(spark.sql("SELECT 1 AS df").select(critical_value("df", 0.999)))[0], 636.6192, 1e-3)
 
 
-def test_critical_value_inverts_p(spark):
-    df = spark.range(1, 400, 7).withColumnRenamed("id", "df").withColumn("t", critical_value("df", 0.9))
-    assert all(near(r[0], 0.1, 1e-10) for r in rows(df.select(two_sided_p("t", "df"))))
+@pytest.mark.parametrize("confidence", [0.5, 0.9, 0.999, 0.99999])
+def test_critical_value_inverts_p(spark, confidence):
+    every = spark.range(1, 60).union(spark.range(60, 5000, 97))
+    df = every.withColumnRenamed("id", "df").withColumn("t", critical_value("df", confidence))
+    for (p,) in rows(df.select(two_sided_p("t", "df"))):
+        assert p == pytest.approx(1 - confidence, rel=1e-7)
