@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings the operators are designed around.  None of them sizes the
@@ -29,17 +27,8 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A cluster must set it.  Only where it is unset (local tests) a fresh
-    temporary folder is made and remembered for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="panelspan-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_panelspan"
     return folder.rstrip("/")
