@@ -116,3 +116,24 @@ def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(length)
     return np.arange(total) + np.repeat(low - (ends - length), length)
+
+
+def whole_groups(batches, keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows from batches sorted by ``keys``; a group never lies in two of them."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            last = np.ones(count, bool)
+            for key in keys:
+                value = np.array(table.column(key))
+                last &= value == value[-1]
+            cut = int(last.argmax())                               # the last group may go on
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+                count -= cut
+    if count:
+        yield pa.Table.from_batches(held)

@@ -1,8 +1,8 @@
 """Packing documents into training sequences by an order-preserving dynamic program.
 
 The ids of the documents, in the order of their input partition, form one line.  The line may be cut at document ends
-(free), at sentence ends (``SENTENCE_CUT``) and, inside sentences longer than a sequence, after ``size`` ids
-(``HARD_CUT``).  A sequence is one stretch between two cuts of at most ``size`` ids; it is padded to ``size`` unless
+(free), at sentence ends (``SENTENCE_CUT``), at clause ends (``CLAUSE_CUT``) and, inside clauses longer than a
+sequence, after ``size`` ids (``HARD_CUT``).  A sequence is one stretch between two cuts of at most ``size`` ids; it is padded to ``size`` unless
 its length is a power of two.  Least total cost, with ``f(j)`` for the best cutting up to cut ``j``::
 
     f(j) = penalty(j) + PER_SEQUENCE + min( min over i of f(i) + size - (j - i),   over the cuts i within size before j
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from panelspan.llm import common, tokens
 
 SIZE = 1024
-SENTENCE_CUT = 4            # in padding ids
+SENTENCE_CUT = 2            # in padding ids
+CLAUSE_CUT = 6
 HARD_CUT = 64
 PER_SEQUENCE = 4
 BLOCK = 1_000_000
@@ -72,7 +73,7 @@ def cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.ndarra
 def allowed(total: np.ndarray, stops: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Where the line may be cut and at what cost; no two neighbours are more than ``size`` apart."""
     places = np.flatnonzero(stops) + 1
-    penalty = np.full(len(places), float(SENTENCE_CUT))
+    penalty = np.where(stops[places - 1] == tokens.SENTENCE, float(SENTENCE_CUT), float(CLAUSE_CUT))
     penalty[np.searchsorted(places, np.cumsum(total))] = 0
     gap = np.diff(places, prepend=0)
     wide = np.flatnonzero(gap > size)

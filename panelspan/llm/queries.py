@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspan.llm import decontaminate, langid, minhash, packing, secret_scan, suffix_dedup, token_files
+from panelspan.llm import decontaminate, html_extract, langid, line_dedup, minhash, packing, secret_scan, suffix_dedup, token_files, vector_links
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, folder, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.summary(_table(spark, folder, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -29,6 +33,10 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, folder, "pages"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
@@ -41,12 +49,17 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(_table(spark, folder, "documents"))
 
 
+def op9_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.links(_table(spark, folder, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(_table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secrets, op3_suffix_dedup, op4_decontaminate, op6_packing, op7_language_id, op8_token_files, op10_minhash)}
+    op1_secrets, op2_line_dedup, op3_suffix_dedup, op4_decontaminate, op5_html_extraction, op6_packing, op7_language_id,
+    op8_token_files, op9_vector_links, op10_minhash)}
 
 #: No query has a SQL counterpart; see the README.
 ORACLE: dict[str, str] = {}

@@ -210,8 +210,6 @@ def repeated(anchor: np.ndarray, position: np.ndarray, offset: np.ndarray, texts
 
 def _compare(batches):
     """Blocks in order of their anchor in, stretches of repeating windows out."""
-    held: list[pa.RecordBatch] = []
-
     def done(table: pa.Table):
         anchor, block, doc_id, at, shape, bucket = (np.array(_column(table, c)) for c in CONTEXT[:-1])
         # equal windows lie at one offset from their anchors, so the anchors' places decide
@@ -229,19 +227,8 @@ def _compare(batches):
         return pa.RecordBatch.from_arrays([pa.array(bucket[row]), pa.array(block[row]), pa.array((low % padded.shape[1]).astype(np.int32)), pa.array((high - 1 - row * padded.shape[1]).astype(np.int32))],
                                           ["bucket", "block", "low", "high"])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= 30_000:
-            table = pa.Table.from_batches(held)
-            anchor = np.array(_column(table, "anchor"))
-            cut = int((anchor == anchor[-1]).argmax())              # the last anchor may go on
-            if cut:
-                yield done(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        if table.num_rows:
-            yield done(table)
+    for table in common.whole_groups(batches, ["anchor"], 30_000):
+        yield done(table)
 
 
 def _marked(docs: pa.Table, marks: pa.Table):

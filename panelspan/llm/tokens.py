@@ -17,6 +17,10 @@ import pyarrow as pa
 from panelspan.llm import common
 
 END = 0                     # id after each document
+CLAUSE, SENTENCE = 1, 2
+_STOPS = np.zeros(256, np.uint8)
+_STOPS[list(b",;:)")] = CLAUSE
+_STOPS[list(b".!?\n")] = SENTENCE
 _LATIN = 0x240              # code points that the numpy cut handles
 _HELD = 2_000_000           # words remembered by a worker before it starts afresh
 _SLOT_BITS = 22
@@ -132,7 +136,7 @@ class Encoder:
         return np.flatnonzero(start | begins[:-1])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, sentences: bool = False):
-        """Ids of the texts and their counts; with ``sentences`` also which ids end a sentence (. ! ? or a new line)."""
+        """Ids of the texts and their counts; with ``sentences`` also what each id ends: SENTENCE, CLAUSE or 0 for neither."""
         n = len(offsets) - 1
         length = np.diff(offsets)
         part = data[offsets[0]: offsets[-1]]
@@ -145,7 +149,7 @@ class Encoder:
         plain = np.flatnonzero(~odd & (length > 0))
         counts = np.zeros(n, np.int64)
         pieces: dict[int, tuple] = {}
-        ids, ends = np.empty(0, np.uint32), np.empty(0, bool)
+        ids, ends = np.empty(0, np.uint32), np.empty(0, np.uint8)
         if len(plain):
             own = part if len(plain) == n else part[common.ranges(offsets[plain] - offsets[0], offsets[plain + 1] - offsets[0])]
             heads = np.cumsum(length[plain]) - length[plain]
@@ -167,22 +171,22 @@ class Encoder:
             bounds = total[np.append(np.searchsorted(low, heads), len(low))]
             counts[plain] = np.diff(bounds)
             if sentences:
-                ends = np.zeros(len(ids), bool)
-                stop = np.isin(own[high - 1], np.frombuffer(b".!?\n", np.uint8))
-                ends[total[1:][stop] - 1] = True
+                ends = np.zeros(len(ids), np.uint8)
+                stop = _STOPS[own[high - 1]]
+                ends[total[1:][stop > 0] - 1] = stop[stop > 0]
             if len(plain) == n:
                 return ids, counts, ends
         for i in np.flatnonzero(odd):
             text = data[offsets[i]: offsets[i + 1]].tobytes().decode("utf-8")
             if sentences:
                 whole = self.whole.encode(text, add_special_tokens=False)
-                stop = np.array([e > 0 and text[e - 1] in ".!?\n" for _, e in whole.offsets], bool)
+                stop = np.array([_STOPS[min(ord(text[e - 1]), 255)] if e else 0 for _, e in whole.offsets], np.uint8)
             else:
-                whole, stop = self.whole.encode_batch_fast([text], add_special_tokens=False)[0], np.empty(0, bool)
+                whole, stop = self.whole.encode_batch_fast([text], add_special_tokens=False)[0], np.empty(0, np.uint8)
             pieces[i] = np.array(whole.ids, np.uint32), stop
             counts[i] = len(whole.ids)
         if pieces:                                                 # put the two kinds of texts in order
-            out, stops = np.empty(counts.sum(), np.uint32), np.zeros(counts.sum() if sentences else 0, bool)
+            out, stops = np.empty(counts.sum(), np.uint32), np.zeros(counts.sum() if sentences else 0, np.uint8)
             first = np.cumsum(counts) - counts
             where = common.ranges(first[plain], first[plain] + counts[plain])
             out[where] = ids
@@ -206,7 +210,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, ends: np.ndarray | None = None
     out[keep] = ids
     if ends is None:
         return out, total
-    stops = np.ones(len(out), bool)
+    stops = np.full(len(out), SENTENCE, np.uint8)
     stops[keep] = ends
     return out, total, stops
 
