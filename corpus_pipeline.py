@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspan.llm import common, decontaminate, langid, minhash, packing
+from panelspan.llm import common, decontaminate, langid, line_dedup, minhash, packing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.deduplicated(docs)
 
@@ -29,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontamination), ("packing", pack),
+    ("language_id", language_id), ("line_dedup", lines), ("near_dedup", near_dedup), ("decontaminate", decontamination), ("packing", pack),
 ]
 
 #: Language profiles, n-gram hashes and token ids have no SQL form; the stages are tested one by one by brute force.
