@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,7 +44,16 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/panelspan-{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    schema = frame.schema
+    del frame
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished queries now, instead of whenever the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

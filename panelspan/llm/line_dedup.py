@@ -7,7 +7,7 @@ than ``LEAST_WORDS`` different words stay.
 Equal lines are one class with the place of its first occurrence; later occurrences go.  For different lines the words
 are ordered by rarity (a table of 65,536 hashed counts over all distinct lines, so its size is fixed).  Lines that match
 share a word among their rarest ``n - ceil(4n/5) + 1``, have lengths within a factor of 4/5, and share that word at
-positions that leave room for the needed overlap.  Candidates come in two rounds, so that groups of copies do not pair up:
+positions that leave room for the needed overlap; a bitmap of each line's words bounds how many differ.  Candidates come in two rounds, so that groups of copies do not pair up:
 first each line against the earliest line of every shared word, then only lines without a match so far against the
 other earlier lines.  Every candidate is verified on the whole sets.
 
@@ -57,42 +57,48 @@ def _ordered(classes: DataFrame, rarity: bytes) -> DataFrame:
     return classes.withColumn("words", F.sort_array(F.transform(hashes, lambda h: F.shiftleft(cell(h), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))))
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
-    one = words.selectExpr("class a", "words words_a", "size(words) n_a")
-    two = words.selectExpr("class b", "words words_b", "size(words) n_b")
-    return pairs.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("words_a", "words_b"))).where(_OVERLAP).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The later class of each pair (a, b) that is similar."""
+    lines = classes.selectExpr("class", "place", "line")
+    pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "line": "line_a"}), "a") \
+        .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "line": "line_b"}), "b")
+    words = _WORDS.replace("lower(line)", "lower({})")
+    sets = pairs.selectExpr("if(place_a > place_b, a, b) a", f"{words.format('line_a')} words_a", f"{words.format('line_b')} words_b")
+    counted = sets.selectExpr("a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
+    return counted.where(_OVERLAP).select("a").distinct()
+
+
+def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
+    """One row per class and rare word: word, class, n (words of the line), position, bits (one of 64 per word, combined)."""
+    ordered = _ordered(classes, rarity).withColumn("n", F.size("words")) \
+        .withColumn("bits", F.expr("aggregate(words, 0L, (x, w) -> x | shiftleft(1L, cast(w & 63 as int)))"))
+    rows = ordered.selectExpr("class", "place.id", "n", "bits", "posexplode(slice(words, 1, n - (4 * n + 4) div 5 + 1)) as (position, word)")
+    return rows.selectExpr("hash(word) word", "class", "id", "n", "position", "bits")
+
+
+#: Length, position and bitmap filters: no pair that they drop can be similar.  Words in only one of two lines are at
+#: least as many as the bits in which they differ.
+_FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b - j) >= {_NEEDED}
+            and bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * ({_NEEDED})"""
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All classes of long enough lines (class, id and number of the first occurrence, occurrences), and those that resemble an earlier class."""
+    """All classes of long enough lines (class, place of the first occurrence, occurrences, line), and those that resemble an earlier class."""
     place = F.struct("id", "number")
     classes = _lines(docs, "line").groupBy("class").agg(F.min(place).alias("place"), F.count("*").alias("occurrences"), F.first("line").alias("line"))
     classes = common.staged(classes.where(f"size({_WORDS}) >= {LEAST_WORDS}"), "line-classes")
     rarity = _rarity(classes)
-    prefix = _ordered(classes, rarity).selectExpr("class", "place.id", "size(words) n", "words") \
-        .selectExpr("class", "id", "n", "posexplode(slice(words, 1, n - (4 * n + 4) div 5 + 1)) as (position, word)")
     word = Window.partitionBy("word")
-    shared = prefix.withColumn("center", F.min(F.struct("id", "class")).over(word)).withColumn("holders", F.count("*").over(word)).where("holders > 1") \
-        .selectExpr("word", "class", "n", "position", "center.class center")
-    shared = common.staged(shared, "line-prefixes")
-    wanted = shared.select("class").distinct()
-    words = common.staged(_ordered(classes.join(wanted, "class", "left_semi"), rarity).select("class", "place", "words"), "line-words")
-    placed = words.select("class", "place")
-
-    def in_order(pairs: DataFrame) -> DataFrame:
-        """(a, b) with b the earlier one."""
-        x = pairs.join(placed.withColumnsRenamed({"class": "a", "place": "place_a"}), "a").join(placed.withColumnsRenamed({"class": "b", "place": "place_b"}), "b")
-        return x.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("place_a") > F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
-
-    stars = common.staged(in_order(shared.where("class <> center").selectExpr("class a", "center b").distinct()), "line-pairs")
-    first = common.staged(_verified(stars, words).select("a").distinct(), "line-matches")
-    rest = shared.join(first.withColumnRenamed("a", "class"), "class", "left_anti").join(placed, "class")
-    x = rest.selectExpr("word", "class a", "n n_a", "position i", "place place_a", "center")
-    y = shared.join(placed, "class").selectExpr("word", "class b", "n n_b", "position j", "place place_b")
-    fits = f"place_b < place_a and b <> center and a <> center and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 1 + least(n_a - i, n_b - j) - 1 >= {_NEEDED}"
-    others = x.join(y, "word").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = _verified(others, words).select("a")
+    centered = _prefixes(classes, rarity).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
+    stars = centered.selectExpr("class a", "n n_a", "position i", "bits bits_a", "center.class b", "center.n n_b", "center.position j", "center.bits bits_b")
+    stars = common.staged(stars.where(f"a <> b and {_FITS}").select("a", "b").distinct(), "line-pairs")
+    first = common.staged(_verified(stars, classes), "line-matches")
+    rest = classes.join(first.withColumnRenamed("a", "class"), "class", "left_anti")
+    x = _prefixes(rest, rarity).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
+    y = _prefixes(classes, rarity).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
+    others = common.staged(x.join(y, "word").where(f"a <> b and id_b <= id_a and {_FITS}").select("a", "b").distinct(), "line-pairs")
+    # of two lines the later one is matched, whichever of them was looked for
+    second = _verified(others, classes)
     return classes, common.staged(first.unionByName(second).distinct(), "line-matches")
 
 

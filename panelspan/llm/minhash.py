@@ -7,7 +7,8 @@ Jaccard similarity.  Arrivals later than a text's last filled slot cannot matter
 
 Texts with equal shingles are one node.  Slots are grouped into bands, and within each band's buckets the node of the
 smallest doc_id is compared with the others by the exact probability Jaccard similarity.  After linking, pairs of a
-bucket that are still in different components are compared too, so no pair that shares a bucket is left untested.
+bucket that are still in different components are compared too, unless their shingles that nobody else has already rule
+them out, so no similar pair that shares a bucket is missed.
 
 Defined results: null, empty and blank texts link with nothing; repeated rows belong together; a null doc_id is a
 document like others but never the kept one of a group that has an id; texts are shingled whole; an empty table gives
@@ -161,6 +162,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _alone(texts: DataFrame) -> DataFrame:
+    """node and the share of its weight in shingles that none of the other texts has.
+
+    With such shares p and q, the similarity of two texts is at most 1 / (1 / (1 - p) + q / (1 - q)): the sum over common
+    shingles of x * y / (y + q * x) for their shares x and y is largest if these are all in one shingle.
+    """
+    def run(batches):
+        for batch in batches:
+            offsets, data = common.utf8(batch.column(1))
+            nodes = np.array(batch.column(0))
+            for low, high in common.slices(offsets, _PIECE):
+                text, element, weight = shingles(data, offsets[low: high + 1])
+                share = weight / np.bincount(text, weights=weight, minlength=high - low)[text]
+                yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(nodes[low + text]), pa.array(share)], ["element", "node", "share"])
+
+    shares = texts.select("node", "text").mapInArrow(run, "element long, node long, share double")
+    once = shares.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    return once.groupBy("node").agg(F.sum("share").alias("alone"))
+
+
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, node, class_id (smallest doc_id of its group), class_size and kept."""
     sketches = common.staged(sketched(docs), "sketches")
@@ -181,9 +202,12 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = common.staged(placed.join(split.select("bucket", F.col("main.component").alias("main")), "bucket"), "open")
-    x = open_.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"), "center")
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"), "main")
-    across = x.join(y, "bucket").where("of_a <> of_b and a <> center and b <> center and (of_b = main or a < b)")
+    alone = common.staged(_alone(texts.join(open_.select("node").distinct(), "node", "left_semi")), "alone")
+    open_ = open_.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
+    x = open_.where("component <> main").selectExpr("bucket", "node a", "component of_a", "center", "alone p")
+    y = open_.selectExpr("bucket", "node b", "component of_b", "main", "alone q")
+    can_reach = f"1 / (1 / (1 - p) + q / (1 - q)) >= {least - 1e-9} and 1 / (1 / (1 - q) + p / (1 - p)) >= {least - 1e-9}"
+    across = x.join(y, "bucket").where(f"of_a <> of_b and a <> center and b <> center and (of_b = main or a < b) and p < {1 - least + 1e-9} and q < {1 - least + 1e-9} and {can_reach}")
     more = common.staged(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, least), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
