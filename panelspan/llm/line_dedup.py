@@ -59,7 +59,8 @@ def _ordered(classes: DataFrame, rarity: bytes) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The later class of each pair (a, b) that is similar."""
-    lines = classes.selectExpr("class", "place", "line")
+    wanted = pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct()
+    lines = common.staged(classes.select("class", "place", "line").join(wanted, "class", "left_semi"), "line-texts")
     pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "line": "line_a"}), "a") \
         .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "line": "line_b"}), "b")
     words = _WORDS.replace("lower(line)", "lower({})")
@@ -70,9 +71,10 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
     """One row per class and rare word: word, class, n (words of the line), position, bits (one of 64 per word, combined)."""
-    ordered = _ordered(classes, rarity).withColumn("n", F.size("words")) \
+    # the generator keeps the words from being computed again for each use
+    ordered = _ordered(classes, rarity).selectExpr("class", "place.id", "inline(array(struct(words)))").withColumn("n", F.size("words")) \
         .withColumn("bits", F.expr("aggregate(words, 0L, (x, w) -> x | shiftleft(1L, cast(w & 63 as int)))"))
-    rows = ordered.selectExpr("class", "place.id", "n", "bits", "posexplode(slice(words, 1, n - (4 * n + 4) div 5 + 1)) as (position, word)")
+    rows = ordered.selectExpr("class", "id", "n", "bits", "posexplode(slice(words, 1, n - (4 * n + 4) div 5 + 1)) as (position, word)")
     return rows.selectExpr("hash(word) word", "class", "id", "n", "position", "bits")
 
 
