@@ -52,10 +52,19 @@ def log_gamma_sql(z: str) -> str:
     return _let(z, "z", body)
 
 
+#: From here on the series of the log beta function is exact to double precision.
+SERIES_FROM = 200
+#: Degrees of freedom that stand for any larger number of them.
+MANY = 1e5
+
+
 def _setup(df: str, extra: str = "") -> str:
     """Degrees of freedom, log of the beta function and fraction depth."""
     half = f"cast({df} as double) / 2"
-    log_beta = f"{log_gamma_sql(half)} + {_number(LOG_GAMMA_HALF)} - {log_gamma_sql(half + ' + 0.5D')}"
+    exact = f"{log_gamma_sql(half)} - {log_gamma_sql(half + ' + 0.5D')}"
+    # of two large logarithms only the difference is wanted, which has a series of its own
+    series = _let(half, "h", "-ln(h) / 2 + 1 / (8 * h) - 1 / (192 * pow(h, 3)) + 1 / (640 * pow(h, 5))")
+    log_beta = f"{_number(LOG_GAMMA_HALF)} + if({half} > {SERIES_FROM}, {series}, {exact})"
     depth = f"cast({BASE_DEPTH} + ceil({DEPTH_PER_ROOT_DF} * sqrt({df})) as int)"
     return f"named_struct('df', cast({df} as double), 'lb', {log_beta}, 'depth', {depth}{extra})"
 
@@ -83,9 +92,24 @@ def _tail(t: str, s: str) -> str:
     return _let(_let(whole, "o", oriented), "v", value)
 
 
+def _to_normal(t: str, df: str) -> str:
+    """The normal quantile with the same tail as t, for many degrees of freedom."""
+    return f"{t} * (1 - ({t} * {t} + 1) / (4 * {df}) + (13 * pow({t}, 4) + 8 * {t} * {t} + 3) / (96 * {df} * {df}))"
+
+
+def _from_normal(z: str, df: str) -> str:
+    return f"{z} * (1 + ({z} * {z} + 1) / (4 * {df}) + (5 * pow({z}, 4) + 16 * {z} * {z} + 3) / (96 * {df} * {df}))"
+
+
 def two_sided_p(t: str, df: str) -> Column:
-    """P(|T| >= |t|) from SQL terms; NULL for a missing t or a df below one."""
-    state = _setup(df, f", 't', cast({t} as double)")
+    """P(|T| >= |t|) from SQL terms; NULL for a missing t or a df below one.
+
+    Beyond ``MANY`` degrees of freedom the point is moved to where ``MANY``
+    of them give the same tail, which bounds the work.
+    """
+    many = f"{_number(MANY)}"
+    moved = _let(_to_normal(f"cast({t} as double)", f"cast({df} as double)"), "z", _from_normal("z", many))
+    state = _setup(f"least(cast({df} as double), {many})", f", 't', if({df} > {many}, {moved}, cast({t} as double))")
     return F.expr(
         f"CASE WHEN {df} >= 1 THEN CASE WHEN {t} = 0 THEN 1D "
         f"WHEN {t} IS NOT NULL THEN {_let(state, 's', _tail('s.t', 's'))} END END"
@@ -100,10 +124,12 @@ def critical_value(df: str, confidence: float = 0.95) -> Column:
     from below; a near-normal one is concave and approached from above after
     the first step.  Either way few steps do.
     """
-    alpha = 1 - confidence
+    alpha, many = 1 - confidence, _number(MANY)
     start = NormalDist().inv_cdf(1 - alpha / 2)
     density = "exp(-s.lb - (s.df + 1) / 2 * ln(1 + t * t / s.df)) / sqrt(s.df)"
     move = f"t + (ln(p) - {_number(math.log(alpha))}) * p / (2 * {density})"
     step = _let(_tail("t", "s"), "p", move)
     root = f"aggregate(sequence(1, {NEWTON_STEPS}), {_number(start)}, (t, i) -> {step})"
-    return F.expr(f"CASE WHEN {df} >= 1 THEN {_let(_setup(df), 's', root)} END")
+    found = _let(_setup(f"least(cast({df} as double), {many})"), "s", root)
+    moved = _let(found, "r", _let(_to_normal("r", many), "z", f"if({df} > {many}, {_from_normal('z', f'cast({df} as double)')}, r)"))
+    return F.expr(f"CASE WHEN {df} >= 1 THEN {moved} END")

@@ -16,6 +16,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Edges on each side of a wanted rank; the sketch is off by one of them at most.
+REACH = 4
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_LABELS = ("Q1 (lowest)", "Q2", "Q3", "Q4 (highest)")
 
@@ -25,44 +27,42 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row ``(n, quantiles)``: linear interpolation between order statistics.
 
-    The sketch's rank error is at most n/accuracy and brackets reach four times
-    as far, so the wanted ranks always fall inside; were they not, the query
-    raises instead of returning a wrong value.  Up to ``accuracy`` values all
-    are kept.  About 8/accuracy of the values per probability are left to
-    order, so raise ``accuracy`` for very large inputs.  Missing values are
-    ignored.
+    The sketch gives edges around each wanted rank, at most 1/accuracy apart.
+    A second aggregation counts the rows of every region between edges, with
+    its least and greatest value, and keeps single values only near a wanted
+    rank.  Regions are few, so their offsets are a small table; values are
+    ordered within their region only, each about n/accuracy of them.  A rank
+    that begins or ends another region is that region's least or greatest
+    value, so no input is too small.  Missing values are ignored.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    margin = 4.0 / accuracy
-    brackets = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
-    edges = sorted({edge for bracket in brackets for edge in bracket})
-    sketch = values.agg(F.struct(
-        F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("e")
-    )).scalar()
-
-    def at(p: float) -> str:
-        return f"s.e[{edges.index(p)}]"
-
-    # The outermost brackets are open.
-    inside = " OR ".join(["s.n <= %d" % accuracy] + [
-        f"({'true' if low == 0.0 else f'v >= {at(low)}'} AND {'true' if high == 1.0 else f'v <= {at(high)}'})"
-        for low, high in brackets
-    ])
-    region = " + ".join(f"if(v > {at(p)}, 1, 0)" for p in edges)
+    grid = {round(p * accuracy) + k for p in probabilities for k in range(-REACH, REACH + 1)}
+    edges = sorted(min(max(g / accuracy, 0.0), 1.0) for g in grid)
+    edges = sorted(set(edges))
+    sketch = values.agg(F.percentile_approx("v", edges, accuracy)).scalar()
+    region = " + ".join(f"if(v > e[{i}], 1, 0)" for i in range(len(edges)))
+    # Below the first edge near the least value and above the last one near the greatest there is nothing to keep.
+    near = {i for i, low in enumerate(edges) for p in probabilities if abs(low - p) * accuracy <= REACH}
+    inside = f"region IN ({', '.join(map(str, sorted(near)))})"
     reduced = (
-        values.withColumn("s", sketch)
-        .selectExpr(f"{region} AS region", f"if({inside}, v, NULL) AS value", "s.n AS n")
-        .groupBy("region", "value").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+        values.withColumn("e", sketch).selectExpr(f"{region} AS region", "v")
+        .groupBy("region", F.expr(f"if({inside}, v, NULL)").alias("value"))
+        .agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    # Ordered on what is left after the reduction.
-    ranked = reduced.selectExpr(
-        "*", "sum(rows) OVER (ORDER BY region, value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto")
+    # One row per region, so a fixed number of rows, in order of the regions.
+    totals = reduced.groupBy("region").agg(F.sum("rows").alias("rows")).agg(
+        F.array_sort(F.collect_list(F.struct("region", "rows")))).scalar()
+    offset = "aggregate(filter(t, x -> x.region < region), 0L, (total, x) -> total + x.rows)"
+    ranked = reduced.withColumn("t", totals).selectExpr(
+        "*", f"{offset} + sum(rows) OVER (PARTITION BY region ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto",
+        "aggregate(t, 0L, (total, x) -> total + x.rows) AS n")
 
     def order_statistic(rank: str, name: str) -> Column:
         here = f"upto > {rank} AND upto - rows <= {rank}"
-        missed = f"bool_or({here} AND value IS NULL)"
+        value = f"CASE WHEN value IS NOT NULL THEN value WHEN {rank} = upto - rows THEN low WHEN {rank} = upto - 1 THEN high END"
+        missed = f"bool_or({here} AND ({value}) IS NULL)"
         return F.expr(f"CASE WHEN {missed} THEN raise_error('quantile bracket missed its rank') "
-                      f"ELSE max(CASE WHEN {here} THEN value END) END AS {name}")
+                      f"ELSE max(CASE WHEN {here} THEN {value} END) END AS {name}")
 
     positions = [f"((n - 1) * {float(p)!r}D)" for p in probabilities]
     found = ranked.agg(

@@ -86,24 +86,21 @@ def group_fits(
     return with_inference(fits, confidence)
 
 
-def combined_moments(moments: DataFrame, group: str, metric_count: int | None = None) -> DataFrame:
+def combined_moments(moments: DataFrame, group: str) -> DataFrame:
     """Per metric: pooled moments (between and within groups) and within ones.
 
-    Deviations are taken from the metric's grand mean, joined back, rather
-    than as a difference of large sums.  There is one such row per metric;
-    ``metric_count`` is how many metrics the caller asked for, which bounds
-    the broadcast.
+    Deviations are taken from the metric's grand mean rather than as a
+    difference of large sums.  The mean comes from a window over the reduced
+    rows, one per (metric, group), so the data behind them is read once.
     """
     known = moments.where(F.col(group).isNotNull())
-    n = F.col("n")
-    grand = known.groupBy("y_metric").agg(
-        (F.sum(n * F.col("mx")) / F.sum(n)).alias("gx"),
-        (F.sum(n * F.col("my")) / F.sum(n)).alias("gy"),
-    )
-    if metric_count is not None and metric_count <= 10_000:
-        grand = F.broadcast(grand)
+    n, metric = F.col("n"), Window.partitionBy("y_metric")
+    known = known.withColumns({
+        "gx": F.sum(n * F.col("mx")).over(metric) / F.sum(n).over(metric),
+        "gy": F.sum(n * F.col("my")).over(metric) / F.sum(n).over(metric),
+    })
     dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
-    totals = known.join(grand, "y_metric").groupBy("y_metric").agg(
+    totals = known.groupBy("y_metric").agg(
         F.sum(n).alias("n"), F.count("*").alias("groups"),
         F.sum("sxx").alias("wxx"), F.sum("syy").alias("wyy"), F.sum("sxy").alias("wxy"),
         F.sum(F.col("sxx") + n * dx * dx).alias("sxx"),
@@ -126,13 +123,12 @@ def national_fits(
     group: str,
     minimum: int = MIN_POOLED,
     confidence: float = 0.95,
-    metric_count: int | None = None,
     models: Sequence[str] = (POOLED, FIXED_EFFECTS),
 ) -> DataFrame:
     """Pooled and fixed-effects fits of globally standardised values."""
     c = {name: F.col(name) for name in
          ("n", "groups", "wxx", "wyy", "wxy", "sxx", "syy", "sxy")}
-    usable = combined_moments(moments, group, metric_count).where(
+    usable = combined_moments(moments, group).where(
         (c["n"] >= max(minimum, 3)) & F.col("x_varies") & F.col("y_varies")
     )
     rescale = F.sqrt(c["sxx"] / c["syy"])
@@ -161,7 +157,8 @@ def forest_table(
 ) -> DataFrame:
     """Significance flag, optional label and rank by coefficient.
 
-    The window sorts *result* rows (one per fitted group), never data rows.
+    The window sorts *result* rows (one per fitted group), never data rows,
+    all groups of a metric in one task.
     """
     order = Window.partitionBy(*within).orderBy(F.col("coef").asc_nulls_last(), *fits.columns[:2])
     out = fits.withColumns({

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from panelspan.functions.text import count_text, percent_text, plain_text
 from panelspan.operators.quantiles import QUARTILE_LABELS, exact_quantiles, quantile_bins
-from panelspan.operators.reshape import stack
 
 
 @dataclass(frozen=True)
@@ -170,9 +169,8 @@ def quartile_comparison(
         *[F.avg(c).alias(f"{i}_{sector}")
           for i, contrast in enumerate(contrasts) for sector, c in contrast.columns.items()],
     )
-    return stack([
-        means.select("quartile", "n", *[F.col(f"{i}_{s}").alias(s) for s in contrast.columns])
-        .unpivot(["quartile", "n"], list(contrast.columns), "sector", "mean_share")
-        .withColumn("panel", F.lit(contrast.label))
-        for i, contrast in enumerate(contrasts)
-    ])
+    cells = [
+        F.struct(F.lit(contrast.label).alias("panel"), F.lit(sector).alias("sector"), F.col(f"{i}_{sector}").alias("mean_share"))
+        for i, contrast in enumerate(contrasts) for sector in contrast.columns
+    ]
+    return means.select("quartile", "n", F.inline(F.array(*cells))).select("quartile", "n", "sector", "mean_share", "panel")

@@ -329,7 +329,7 @@ def regression_tables(panel: DataFrame, names: DataFrame) -> dict[str, DataFrame
     by_state = regression.group_fits(moments, "state_code").join(
         F.broadcast(names), "state_code", "left"  # fixed 21-row lookup
     )
-    national = regression.national_fits(moments, "state_code", metric_count=len(compare.OUTCOMES))
+    national = regression.national_fits(moments, "state_code")
     return {"regression_results": by_state, "regression_results_national": national}
 
 
@@ -368,19 +368,19 @@ def export_all(spark: SparkSession, paths: dict[str, str], out: str) -> None:
     order = [short[k] for k in key]
     base = out.rstrip("/")
     export.write_columnar_json(
-        export.short_panel(read["dashboard_panel"], export.STATUS_MEASURES), f"{base}/panel_1872.json", order)
+        export.short_panel(read["dashboard_panel"], export.STATUS_MEASURES), f"{base}/panel_1872.json", order, layout=export.DOCUMENT)
     export.write_columnar_json(
-        export.short_panel(read["dashboard_panel_1920"], export.PLAIN_MEASURES), f"{base}/panel_1920.json", order)
+        export.short_panel(read["dashboard_panel_1920"], export.PLAIN_MEASURES), f"{base}/panel_1920.json", order, layout=export.DOCUMENT)
     export.write_columnar_json(
         export.change_export(read["transformation_panel"], ["code_amc", "state_code"]),
-        f"{base}/transformation_amc.json", ["code_amc"])
+        f"{base}/transformation_amc.json", ["code_amc"], layout=export.DOCUMENT)
     named = read["state_transformation_panel"].join(F.broadcast(compared_states(spark)), "state_code", "left")
     export.write_columnar_json(
         export.change_export(named, ["state_code", "state_name"]),
-        f"{base}/transformation_state.json", ["state_code"])
+        f"{base}/transformation_state.json", ["state_code"], layout=export.DOCUMENT)
     export.write_record_json(
         read["regression_results"].select("state_code", "state_name", "y_metric", "n_amc", *export.FIT_EXPORT),
-        f"{base}/regression_state.json", ["y_metric", "state_code"])
+        f"{base}/regression_state.json", ["y_metric", "state_code"], layout=export.DOCUMENT)
     export.write_record_json(
         read["regression_results_national"].select("model", "y_metric", "n_obs", *export.FIT_EXPORT),
-        f"{base}/regression_national.json", ["y_metric", "model"])
+        f"{base}/regression_national.json", ["y_metric", "model"], layout=export.DOCUMENT)

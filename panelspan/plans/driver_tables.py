@@ -197,15 +197,19 @@ def crosswalk_lists(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.concat_ws(", ", F.sort_array(F.collect_list(key.cast("string")))).alias("list_code_muni_2010"))
 
 
+#: Every order lies in one period: before this date or from it on.
+CUT = "timestamp_ntz '1998-01-01'"
+
+
 def first_period(every: DataFrame) -> DataFrame:
-    """Orders up to 1997 in prefix-coded columns."""
-    return wide_orders(every.where("o_orderdate < timestamp_ntz '1998-01-01'"))
+    """Orders before the cut date in prefix-coded columns."""
+    return wide_orders(every.where(f"o_orderdate < {CUT}"))
 
 
 def second_period(every: DataFrame) -> DataFrame:
-    """Orders from 1999 on in exactly named columns."""
+    """Orders from the cut date on in exactly named columns."""
     sectors = {1: "1-URGENT", 2: "2-HIGH", 6: "3-MEDIUM", 41: "4-NOT SPECIFIED"}
-    later = every.where("o_orderdate >= timestamp_ntz '1999-01-01'")
+    later = every.where(f"o_orderdate >= {CUT}")
     working = "o_orderpriority <> '5-LOW'"
     return later.groupBy(F.col("o_custkey").alias("muni_id")).agg(
         _count("popmun20", "true"), _count("popalf20", LITERATE), _count("pia20", working),

@@ -362,7 +362,7 @@ def _outcomes() -> str:
 def _compared(key: str, keyed: str) -> str:
     return f"""{FACT}, keyed AS ({keyed}),
 first_period AS ({_accounts(key, "day < TIMESTAMP '1998-01-01'", 'a', STATUS_VARIABLES)}),
-second_period AS ({_accounts(key, "day >= TIMESTAMP '1999-01-01'", 'b', PLAIN_VARIABLES)}),
+second_period AS ({_accounts(key, "day >= TIMESTAMP '1998-01-01'", 'b', PLAIN_VARIABLES)}),
 compared AS (SELECT *, {_outcomes()} FROM first_period JOIN second_period USING ({key}))"""
 
 

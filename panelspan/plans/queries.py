@@ -37,7 +37,9 @@ def tidy(df: DataFrame) -> DataFrame:
         name = quoted(f.name)
         if not isinstance(f.dataType, T.DoubleType):
             return name
-        return f"signum({name}) * floor(abs({name}) * 1e{DIGITS} + 0.5D) / 1e{DIGITS} + 0D AS {name}"
+        near = f"signum({name}) * floor(abs({name}) * 1e{DIGITS} + 0.5D) / 1e{DIGITS}"
+        # from 1e9 on a double has no more than seven decimals; it keeps its value
+        return f"if(abs({name}) < 1e9, {near}, {name}) + 0D AS {name}"
 
     return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
@@ -246,7 +248,7 @@ def state_regression(spark, sf):
 
 def _national(spark, sf, models):
     return regression.national_fits(
-        b.moments(spark, sf), "state_code", metric_count=len(census.OUTCOME_LABELS), models=models)
+        b.moments(spark, sf), "state_code", models=models)
 
 
 @query

@@ -90,20 +90,29 @@ def record_arrays(
     return grouped.select("part", "chunk", F.to_json("rows", _JSON).alias("json"))
 
 
-def _one_document(df: DataFrame, chunk_rows: int) -> int | None:
-    """A single range partition, if a bounded count shows the panel fits a chunk."""
-    return 1 if df.limit(chunk_rows + 1).count() <= chunk_rows else None
+DOCUMENT, CHUNKS = "document", "chunks"
 
 
-def write_columnar_json(df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> None:
-    """Text files of columnar documents, one per line, in panel order."""
-    documents = columnar_json(df, order_by, chunk_rows, _one_document(df, chunk_rows))
+def _layout(layout: str, chunk_rows: int) -> tuple[int, int | None]:
+    """Rows of a chunk and range partitions.  One document holds everything and is built by one task."""
+    if layout not in (DOCUMENT, CHUNKS):
+        raise ValueError(f"layout is {DOCUMENT!r} or {CHUNKS!r}, not {layout!r}")
+    return (2**31 - 1, 1) if layout == DOCUMENT else (chunk_rows, None)
+
+
+def write_columnar_json(
+    df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS, layout: str = CHUNKS
+) -> None:
+    """Text files in panel order: columnar documents of bounded length, one per line, or a single document."""
+    documents = columnar_json(df, order_by, *_layout(layout, chunk_rows))
     documents.sort("part", "chunk").select("json").write.mode("overwrite").text(path)
 
 
-def write_record_json(df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> None:
-    """Text files of record arrays, one per line, in panel order."""
-    documents = record_arrays(df, order_by, chunk_rows, _one_document(df, chunk_rows))
+def write_record_json(
+    df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS, layout: str = CHUNKS
+) -> None:
+    """Text files in panel order: record arrays of bounded length, one per line, or a single array."""
+    documents = record_arrays(df, order_by, *_layout(layout, chunk_rows))
     documents.sort("part", "chunk").select("json").write.mode("overwrite").text(path)
 
 

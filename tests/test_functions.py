@@ -128,3 +128,16 @@ def test_critical_value_inverts_p(spark, confidence):
     df = every.withColumnRenamed("id", "df").withColumn("t", critical_value("df", confidence))
     for (p,) in rows(df.select(two_sided_p("t", "df"))):
         assert p == pytest.approx(1 - confidence, rel=1e-7)
+
+
+def test_many_degrees_of_freedom_approach_the_normal_tail(spark):
+    from math import erfc, sqrt
+    from statistics import NormalDist
+
+    df = spark.sql("SELECT pow(10D, id) AS df, 1.96D AS t FROM range(6, 15)")
+    for d, p, c in df.select("df", two_sided_p("t", "df"), critical_value("df")).collect():
+        # first-order term of the expansion in 1 / df
+        z, q = 1.96, NormalDist().inv_cdf(0.975)
+        density = NormalDist().pdf(z)
+        assert abs(p - (erfc(z / sqrt(2)) + density * (z**3 + z) / (2 * d))) < 1e-9
+        assert abs(c - (q + (q**3 + q) / (4 * d))) < 1e-9

@@ -50,7 +50,7 @@ def test_group_fits_equal_least_squares(spark, sample):
 def test_national_fits_equal_dummy_regression(spark, sample):
     df, data = sample
     fits = {(r.model, r.y_metric): r for r in reg.national_fits(
-        reg.pair_moments(df, "x", ["y", "z"], "state_code"), "state_code", metric_count=2).collect()}
+        reg.pair_moments(df, "x", ["y", "z"], "state_code"), "state_code").collect()}
     for i, metric in enumerate("yz"):
         kept = [r for r in data if r[0] is not None and r[2 + i] is not None]
         x, y = z(np.array([r[1] for r in kept])), z(np.array([r[2 + i] for r in kept]))

@@ -48,7 +48,7 @@ def test_build_once(spark, tmp_path):
 
 def test_columnar_document_keeps_places(spark, tmp_path):
     path = f"{tmp_path}/panel.json"
-    export.write_columnar_json(spark.sql(DATA), path, ["k"])
+    export.write_columnar_json(spark.sql(DATA), path, ["k"], layout=export.DOCUMENT)
     (document,) = lines(path)
     assert json.loads(document) == {
         "k": ["a", "b", "c"], "n": [2, 1, None], "v": [None, 0.123457, 3.0], "f": [None, "true", "false"]}
@@ -110,8 +110,9 @@ def test_export_projections(spark):
 def test_shared_folder_is_the_sessions(spark):
     from panelspan.session import shared_folder
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_folder(spark) == (named.rstrip("/") if named else spark.sparkContext.getCheckpointDir().rstrip("/"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_panelspan"
+    assert shared_folder(spark) == (named.rstrip("/") if named else beside)
 
 
 @pytest.mark.parametrize("value", ["it's", "back\\slash"])
