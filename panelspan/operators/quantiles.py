@@ -42,7 +42,7 @@ def exact_quantiles(
     sketch = values.agg(F.percentile_approx("v", edges, accuracy)).scalar()
     region = " + ".join(f"if(v > e[{i}], 1, 0)" for i in range(len(edges)))
     # Below the first edge near the least value and above the last one near the greatest there is nothing to keep.
-    near = {i for i, low in enumerate(edges) for p in probabilities if abs(low - p) * accuracy <= REACH}
+    near = {i for i, low in enumerate(edges) for p in probabilities if abs(low - p) * accuracy <= REACH + 0.75}
     inside = f"region IN ({', '.join(map(str, sorted(near)))})"
     reduced = (
         values.withColumn("e", sketch).selectExpr(f"{region} AS region", "v")
