@@ -5,11 +5,12 @@ A line is the set of its words (white space between, lower case).  It goes if an
 than ``LEAST_WORDS`` different words stay.
 
 Equal lines are one class with the place of its first occurrence; later occurrences go.  For different lines the words
-are ordered by rarity (a table of 65,536 hashed counts over all distinct lines, so its size is fixed).  Lines that match
+are ordered by rarity (a table of 262,144 hashed counts over all distinct lines, so its size is fixed).  Lines that match
 share a word among their rarest ``n - ceil(4n/5) + 1``, have lengths within a factor of 4/5, and share that word at
 positions that leave room for the needed overlap; a bitmap of each line's words bounds how many differ.  Candidates come in two rounds, so that groups of copies do not pair up:
 first each line against the earliest line of every shared word, then only lines without a match so far against the
-other earlier lines.  Every candidate is verified on the whole sets.
+other earlier lines.  Every candidate is verified on the whole sets, in which 64-bit
+hashes stand for the words.
 
 Defined results: null texts stay null, empty texts have no lines; a null doc_id comes before all others; repeated rows
 are judged alike and not earlier than each other; lines of any length are compared whole; ties do not occur, as places
@@ -26,10 +27,12 @@ from pyspark.sql.window import Window
 from panelspan.llm import common
 
 LEAST_WORDS = 5
-CELLS = 1 << 16
+CELLS = 1 << 18
 
 _LINES = r"split(text, '\n')"
-_WORDS = r"array_distinct(filter(split(lower(line), '\\s+'), w -> w <> ''))"
+_BLANKS = [r"'\t'", r"'\r'", "char(11)", "char(12)"]               # besides the space; splitting at one letter is the cheap case
+_SPACED = f"if({' or '.join(f'contains(line, {b})' for b in _BLANKS)}, translate(line, concat({', '.join(_BLANKS)}), '    '), line)"
+_WORDS = f"array_distinct(array_remove(transform(split(lower({_SPACED}), ' '), w -> xxhash64(w)), xxhash64('')))"
 _OVERLAP = "9 * overlap >= 4 * (n_a + n_b)"                      # Jaccard >= 4/5, in integers
 _NEEDED = "(4 * (n_a + n_b) + 8) div 9"
 
@@ -42,42 +45,37 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
 
 def _rarity(classes: DataFrame) -> bytes:
     """One byte per cell of hashed words: how common its words are, on a logarithmic scale."""
-    cells = classes.select(F.explode(F.expr(_WORDS)).alias("word")).groupBy(F.expr(f"cast(pmod(xxhash64(word), {CELLS}) as int)").alias("cell")).count().collect()
+    cells = classes.selectExpr("explode(words) word").groupBy(F.expr(f"cast(word & {CELLS - 1} as int)").alias("cell")).agg(F.count("*").cast("int").alias("n"))
+    cells = cells.toArrow()                                        # CELLS rows at most
     counts = np.zeros(CELLS)
-    for cell, n in cells:                                          # CELLS rows at most
-        counts[cell] = n
+    counts[np.array(cells.column("cell"))] = np.array(cells.column("n"))
     return np.minimum(4 * np.log2(counts + 1), 126).astype(np.uint8).tobytes()
 
 
-def _ordered(classes: DataFrame, rarity: bytes) -> DataFrame:
-    """The words of each class as numbers, rarest first: rarity in the high bits, hash of the word in the others."""
+def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
+    """Per class: its document, n (its words), bits (one of 64 per word, combined) and rare (its rarest words, rarest first, as integers)."""
     table = F.lit(bytearray(rarity))
-    cell = lambda h: F.ascii(F.substring(table, (F.pmod(h, F.lit(CELLS)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-    hashes = F.transform(F.expr(_WORDS), lambda w: F.xxhash64(w))
-    return classes.withColumn("words", F.sort_array(F.transform(hashes, lambda h: F.shiftleft(cell(h), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))))
+    cell = lambda w: F.ascii(F.substring(table, (w.bitwiseAND(CELLS - 1) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
+    # rarity in the high bits, the hash in the others
+    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(cell(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
+    rows = classes.withColumn("n", F.size("words")).withColumn("bits", F.expr("aggregate(words, 0L, (x, w) -> x | shiftleft(1L, cast(w >> 58 & 63 as int)))"))
+    rare = F.transform(F.slice(ordered, 1, F.expr("n - (4 * n + 4) div 5 + 1")), lambda w: F.hash(w))
+    return common.staged(rows.select("class", "place.id", "n", "bits", rare.alias("rare")), "line-prefixes")
+
+
+def _entries(prefixes: DataFrame) -> DataFrame:
+    return prefixes.selectExpr("class", "id", "n", "bits", "posexplode(rare) as (position, word)")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The later class of each pair (a, b) that is similar."""
-    wanted = pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct()
-    lines = common.staged(classes.select("class", "place", "line").join(wanted, "class", "left_semi"), "line-texts")
-    pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "line": "line_a"}), "a") \
-        .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "line": "line_b"}), "b")
-    words = _WORDS.replace("lower(line)", "lower({})")
-    sets = pairs.selectExpr("if(place_a > place_b, a, b) a", f"{words.format('line_a')} words_a", f"{words.format('line_b')} words_b")
-    counted = sets.selectExpr("a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
+    lines = classes.select("class", "place", "words")
+    pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}), "a") \
+        .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "words": "words_b"}), "b")
+    counted = pairs.selectExpr("if(place_a > place_b, a, b) a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
     return counted.where(_OVERLAP).select("a").distinct()
 
 
-def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
-    """One row per class and rare word: word, class, n (words of the line), position, bits (one of 64 per word, combined)."""
-    # the generator keeps the words from being computed again for each use
-    ordered = _ordered(classes, rarity).selectExpr("class", "place.id", "inline(array(struct(words)))").withColumn("n", F.size("words")) \
-        .withColumn("bits", F.expr("aggregate(words, 0L, (x, w) -> x | shiftleft(1L, cast(w & 63 as int)))"))
-    rows = ordered.selectExpr("class", "id", "n", "bits", "posexplode(slice(words, 1, n - (4 * n + 4) div 5 + 1)) as (position, word)")
-    return rows.selectExpr("hash(word) word", "class", "id", "n", "position", "bits")
-
-
 #: Length, position and bitmap filters: no pair that they drop can be similar.  Words in only one of two lines are at
 #: least as many as the bits in which they differ.
 _FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b - j) >= {_NEEDED}
@@ -85,19 +83,21 @@ _FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All classes of long enough lines (class, place of the first occurrence, occurrences, line), and those that resemble an earlier class."""
+    """All classes of long enough lines (class, place of the first occurrence, occurrences, hashes of the words), and those that resemble an earlier class."""
     place = F.struct("id", "number")
     classes = _lines(docs, "line").groupBy("class").agg(F.min(place).alias("place"), F.count("*").alias("occurrences"), F.first("line").alias("line"))
-    classes = common.staged(classes.where(f"size({_WORDS}) >= {LEAST_WORDS}"), "line-classes")
-    rarity = _rarity(classes)
+    # the generator keeps the words from being computed again for the filter
+    classes = classes.selectExpr("class", "place", "occurrences", f"inline(array(struct({_WORDS} as words)))").where(f"size(words) >= {LEAST_WORDS}")
+    classes = common.staged(classes, "line-classes")
+    prefixes = _prefixes(classes, _rarity(classes))
     word = Window.partitionBy("word")
-    centered = _prefixes(classes, rarity).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
+    centered = _entries(prefixes).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
     stars = centered.selectExpr("class a", "n n_a", "position i", "bits bits_a", "center.class b", "center.n n_b", "center.position j", "center.bits bits_b")
     stars = common.staged(stars.where(f"a <> b and {_FITS}").select("a", "b").distinct(), "line-pairs")
     first = common.staged(_verified(stars, classes), "line-matches")
-    rest = classes.join(first.withColumnRenamed("a", "class"), "class", "left_anti")
-    x = _prefixes(rest, rarity).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
-    y = _prefixes(classes, rarity).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
+    rest = prefixes.join(first.withColumnRenamed("a", "class"), "class", "left_anti")
+    x = _entries(rest).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
+    y = _entries(prefixes).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
     others = common.staged(x.join(y, "word").where(f"a <> b and id_b <= id_a and {_FITS}").select("a", "b").distinct(), "line-pairs")
     # of two lines the later one is matched, whichever of them was looked for
     second = _verified(others, classes)
