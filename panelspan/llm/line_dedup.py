@@ -69,7 +69,9 @@ def _entries(prefixes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The later class of each pair (a, b) that is similar."""
-    lines = classes.select("class", "place", "words")
+    # written first, so that its measured size decides how the words are fetched, once for both sides of the pairs
+    wanted = common.staged(pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct(), "line-wanted")
+    lines = common.staged(classes.select("class", "place", "words").join(wanted, "class", "left_semi"), "line-words")
     pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}), "a") \
         .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "words": "words_b"}), "b")
     counted = pairs.selectExpr("if(place_a > place_b, a, b) a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
