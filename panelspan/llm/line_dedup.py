@@ -19,6 +19,9 @@ differ; an empty table stays empty; other columns are kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from panelspan.llm import common
 
 LEAST_WORDS = 5
 CELLS = 1 << 18
+PARTS = 4                   # shares of the words whose entries are shuffled one after the other
 
 _LINES = r"split(text, '\n')"
 _BLANKS = [r"'\t'", r"'\r'", "char(11)", "char(12)"]               # besides the space; splitting at one letter is the cheap case
@@ -70,6 +74,7 @@ def _entries(prefixes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The later class of each pair (a, b) that is similar."""
     # written first, so that its measured size decides how the words are fetched, once for both sides of the pairs
+    pairs = common.staged(pairs, "line-candidates")
     wanted = common.staged(pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct(), "line-wanted")
     lines = common.staged(classes.select("class", "place", "words").join(wanted, "class", "left_semi"), "line-words")
     pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}), "a") \
@@ -78,6 +83,12 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return counted.where(_OVERLAP).select("a").distinct()
 
 
+def _by_parts(pairs: Callable[[str], DataFrame]) -> DataFrame:
+    """Distinct pairs (a, b) over all words, a share of the words at a time, so that only that share's shuffles lie on disk."""
+    parts = [common.staged(pairs(f"pmod(word, {PARTS}) = {i}").select("a", "b").distinct(), "line-pairs") for i in range(PARTS)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 #: Length, position and bitmap filters: no pair that they drop can be similar.  Words in only one of two lines are at
 #: least as many as the bits in which they differ.
 _FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b - j) >= {_NEEDED}
@@ -93,16 +104,22 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = common.staged(classes, "line-classes")
     prefixes = _prefixes(classes, _rarity(classes))
     word = Window.partitionBy("word")
-    centered = _entries(prefixes).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
-    stars = centered.selectExpr("class a", "n n_a", "position i", "bits bits_a", "center.class b", "center.n n_b", "center.position j", "center.bits bits_b")
-    stars = common.staged(stars.where(f"a <> b and {_FITS}").select("a", "b").distinct(), "line-pairs")
-    first = common.staged(_verified(stars, classes), "line-matches")
-    rest = prefixes.join(first.withColumnRenamed("a", "class"), "class", "left_anti")
-    x = _entries(rest).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
-    y = _entries(prefixes).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
-    others = common.staged(x.join(y, "word").where(f"a <> b and id_b <= id_a and {_FITS}").select("a", "b").distinct(), "line-pairs")
+
+    def stars(part: str) -> DataFrame:
+        centered = _entries(prefixes).where(part).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
+        return centered.selectExpr("class a", "n n_a", "position i", "bits bits_a", "center.class b", "center.n n_b", "center.position j", "center.bits bits_b") \
+            .where(f"a <> b and {_FITS}")
+
+    first = common.staged(_verified(_by_parts(stars), classes), "line-matches")
+    rest = common.staged(prefixes.join(first.withColumnRenamed("a", "class"), "class", "left_anti"), "line-rest")
+
+    def others(part: str) -> DataFrame:
+        x = _entries(rest).where(part).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
+        y = _entries(prefixes).where(part).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
+        return x.join(y, "word").where(f"a <> b and id_b <= id_a and {_FITS}")
+
     # of two lines the later one is matched, whichever of them was looked for
-    second = _verified(others, classes)
+    second = _verified(_by_parts(others), classes)
     return classes, common.staged(first.unionByName(second).distinct(), "line-matches")
 
 
