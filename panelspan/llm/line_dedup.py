@@ -37,6 +37,10 @@ _LINES = r"split(text, '\n')"
 _BLANKS = [r"'\t'", r"'\r'", "char(11)", "char(12)"]               # besides the space; splitting at one letter is the cheap case
 _SPACED = f"if({' or '.join(f'contains(line, {b})' for b in _BLANKS)}, translate(line, concat({', '.join(_BLANKS)}), '    '), line)"
 _WORDS = f"array_distinct(array_remove(transform(split(lower({_SPACED}), ' '), w -> xxhash64(w)), xxhash64('')))"
+# 256 bits, one per word, in four numbers, so that lines of some hundred words still differ in many
+_BITS = "struct(" + ", ".join(
+    f"aggregate(filter(words, w -> shiftright(w, 56) & 3 = {k}), 0L, (x, w) -> x | shiftleft(1L, cast(shiftright(w, 58) & 63 as int))) as b{k}" for k in range(4)) + ")"
+_DIFFERENT = " + ".join(f"bit_count(bits_a.b{k} ^ bits_b.b{k})" for k in range(4))
 _OVERLAP = "9 * overlap >= 4 * (n_a + n_b)"                      # Jaccard >= 4/5, in integers
 _NEEDED = "(4 * (n_a + n_b) + 8) div 9"
 
@@ -57,12 +61,12 @@ def _rarity(classes: DataFrame) -> bytes:
 
 
 def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
-    """Per class: its document, n (its words), bits (one of 64 per word, combined) and rare (its rarest words, rarest first, as integers)."""
+    """Per class: its document, n (its words), bits (one of 256 per word, combined) and rare (its rarest words, rarest first, as integers)."""
     table = F.lit(bytearray(rarity))
     cell = lambda w: F.ascii(F.substring(table, (w.bitwiseAND(CELLS - 1) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
     # rarity in the high bits, the hash in the others
     ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(cell(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
-    rows = classes.withColumn("n", F.size("words")).withColumn("bits", F.expr("aggregate(words, 0L, (x, w) -> x | shiftleft(1L, cast(w >> 58 & 63 as int)))"))
+    rows = classes.withColumn("n", F.size("words")).withColumn("bits", F.expr(_BITS))
     rare = F.transform(F.slice(ordered, 1, F.expr("n - (4 * n + 4) div 5 + 1")), lambda w: F.hash(w))
     return common.staged(rows.select("class", "place.id", "n", "bits", rare.alias("rare")), "line-prefixes")
 
@@ -92,7 +96,7 @@ def _by_parts(pairs: Callable[[str], DataFrame]) -> DataFrame:
 #: Length, position and bitmap filters: no pair that they drop can be similar.  Words in only one of two lines are at
 #: least as many as the bits in which they differ.
 _FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b - j) >= {_NEEDED}
-            and bit_count(bits_a ^ bits_b) <= n_a + n_b - 2 * ({_NEEDED})"""
+            and {_DIFFERENT} <= n_a + n_b - 2 * ({_NEEDED})"""
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
