@@ -15,6 +15,8 @@ EXPANSIONS = {
     "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE",
     "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ŋ": "ng", "Ŋ": "NG",
     "ﬁ": "fi", "ﬂ": "fl", "©": "C", "®": "R",
+    "ǆ": "dz", "ǅ": "Dz", "Ǆ": "DZ", "ǳ": "dz", "ǲ": "Dz", "Ǳ": "DZ",
+    "ǉ": "lj", "ǈ": "Lj", "Ǉ": "LJ", "ǌ": "nj", "ǋ": "Nj", "Ǌ": "NJ", "ŉ": "'n",
 }
 SINGLES = {
     "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D",
@@ -30,6 +32,11 @@ def _accent_table() -> dict[str, str]:
         base = unicodedata.normalize("NFD", letter)[0]
         if base != letter and base.isascii():
             table.setdefault(letter, base)
+    # full-width forms are the ASCII characters moved by a fixed distance
+    for code in range(0xFF10, 0xFF5B):
+        base = chr(code - 0xFEE0)
+        if base.isalnum() or base == "_":
+            table[chr(code)] = base
     return table
 
 
@@ -96,7 +103,19 @@ def count_text(value: Column) -> Column:
 
 
 def plain_text(value: Column, digits: int = 4) -> Column:
-    """Rounded number as text without trailing zeros; missing stays missing."""
-    fixed = F.format_string(f"%.{digits}f", _rounded(value, digits))
-    bare = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "\\.$", "")
-    return F.when(value.isNotNull(), bare)
+    """Rounded number as text: the shorter of fixed and scientific form, fixed on ties; missing stays missing.
+
+    Neither form has trailing zeros, the exponent has a sign and two digits at least: ``0.0012``, ``1e-04``, ``1e+05``.
+    """
+    padded = F.format_string(f"%.{digits}f", _rounded(value, digits))
+    fixed = F.regexp_replace(F.regexp_replace(padded, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    sign = F.when(fixed.startswith("-"), "-").otherwise("")
+    whole = F.substring_index(F.regexp_replace(fixed, "^-", ""), ".", 1)
+    part = F.when(F.contains(fixed, F.lit(".")), F.substring_index(fixed, ".", -1)).otherwise("")
+    leading = F.length(part) - F.length(F.regexp_replace(part, "^0+", ""))
+    exponent = F.when(whole != "0", F.length(whole) - 1).otherwise(-leading - 1)
+    shown = F.regexp_replace(F.concat(whole, part), "^0+|0+$", "")
+    mantissa = F.concat(F.left(shown, F.lit(1)), F.when(F.length(shown) > 1, F.concat(F.lit("."), F.substr(shown, F.lit(2)))).otherwise(""))
+    scientific = F.concat(sign, mantissa, F.lit("e"), F.format_string("%+03d", exponent))
+    shorter = (shown != "") & (F.length(scientific) < F.length(fixed))
+    return F.when(value.isNotNull(), F.when(shorter, scientific).otherwise(fixed))

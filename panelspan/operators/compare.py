@@ -21,7 +21,7 @@ from panelspan.operators.panels import ExactLayout, Layout
 
 BEFORE, AFTER, YEARS = "1872", "1920", 48
 
-# Variables each layout hands over to the comparison, without the suffix.
+# Variables each layout hands over to the comparison, without the suffix.
 STATUS_VARIABLES = (
     "pop_total", "pop_enslaved", "pop_literate",
     "occ_total", "agr_total", "mfg_total", "serv_total",
@@ -33,6 +33,7 @@ PLAIN_VARIABLES = (
     "mfg_share", "agr_share", "serv_share", "non_agr_share",
     "mfg_agr_ratio", "literacy_rate", "mfg_percapita",
 )
+# The eleven outcomes, in the published order.
 OUTCOMES = (
     "mfg_share_change_pp", "mfg_share_log_ratio", "mfg_share_cagr", "mfg_share_logit_change",
     "non_agr_share_change_pp", "mfg_agr_ratio_change", "structural_change_index",

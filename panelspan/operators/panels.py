@@ -20,10 +20,12 @@ from panelspan.operators.naming import exact_total, matched_total
 OCCUPATION, SECTOR = "Occupation", "Sector"
 SECTORS = ("agriculture", "manufacturing", "services")
 
+# Counts of a panel row.
 COUNTS = (
     "n_total", "n_free", "n_enslaved",
     "n_male_free", "n_female_free", "n_male_enslaved", "n_female_enslaved",
 )
+# Totals of the geography on each panel row.
 CONTEXT = (
     "pop_total", "pop_free", "pop_enslaved", "pop_literate",
     "literacy_rate_population", "enslaved_rate_population",
@@ -232,6 +234,7 @@ def sector_panel(df: DataFrame, ids: Sequence[str], layout: Layout) -> DataFrame
     return group_panel(df, ids, layout, (SECTOR,))
 
 
+# Columns of the dashboard panel, in file order.
 DASHBOARD = (
     "geography_level", "geography_id", "geography_name",
     "group_type", "group_id", "group_label", "sector",
@@ -241,11 +244,13 @@ DASHBOARD = (
     "share_male_within_group", "share_female_within_group",
     "n_literate_within_group", "share_literate_within_group",
 )
+# Shares that a dashboard shows as zero where they are missing.
 STATUS_DEFAULTS = (
     "share_of_all_occupations", "share_free_within_group", "share_enslaved_within_group",
     "share_male_within_group", "share_female_within_group",
     "literacy_rate_population", "enslaved_rate_population",
 )
+# The same for layouts without legal status.
 PLAIN_DEFAULTS = (
     "share_of_all_occupations", "share_male_within_group", "share_female_within_group",
     "literacy_rate_population",

@@ -57,7 +57,7 @@ def rollup_by_prefix(
 
 
 NATIONAL_KEYS = ("group_type", "group_id")
-# Share column -> (local measure, suffix-free national measure).
+# Share column -> local measure (its national one has a suffix).
 STATUS_SHARES = {
     "share_of_national_occupations": "n_total",
     "share_free_of_national_group": "n_free",

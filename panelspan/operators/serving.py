@@ -91,15 +91,22 @@ def top_rows(view: DataFrame, tie_break: str, n: int = TOP, drop_missing: bool =
     return view.orderBy(F.col("map_value").desc_nulls_last(), F.col(tie_break)).limit(n)
 
 
-def panel_top_table(view: DataFrame, name: str, tie_break: str, n: int = TOP) -> DataFrame:
-    """Formatted top table of a panel metric."""
+def panel_top_table(view: DataFrame, name: str, tie_break: str, n: int = TOP, headings: Metric | None = None) -> DataFrame:
+    """Formatted top table of a panel metric; ``headings`` names the count columns by that metric's labels."""
+    above = headings.numerator_label if headings else "numerator"
+    below = headings.denominator_label if headings else "denominator"
     return top_rows(view, tie_break, n).select(
         F.col(name).alias("geography"), percent_text(F.col("map_value")).alias("metric"),
-        count_text(F.col("numerator")).alias("numerator"),
-        count_text(F.col("denominator")).alias("denominator"),
+        count_text(F.col("numerator")).alias(above), count_text(F.col("denominator")).alias(below),
     )
 
 
+def regression_map(fits: DataFrame, shapes: DataFrame, outcome: str, row_key: str = "state_code", shape_key: str = "code") -> DataFrame:
+    """Fits of one outcome for the drawable states, as a diverging view of their coefficients."""
+    chosen = fits.where(F.col("y_metric") == outcome)
+    return on_map(chosen, shapes, row_key, shape_key).withColumns({"map_value": F.col("coef"), "is_diverging": F.lit(True)})
+
+
 def change_top_table(view: DataFrame, name: str, metric: Metric, n: int = TOP) -> DataFrame:
     """Formatted top table of a comparison metric; missing values are left out."""
     shown = percent_text if metric.is_pct else plain_text

@@ -110,11 +110,25 @@ STATES_1872 = (
     ("Santa Catharina", 42, "SC"), ("Rio Grande do Sul", 43, "RS"), ("Matto Grosso", 51, "MT"),
     ("Goyaz", 52, "GO"),
 )
-# What differs in 1920.
-RENAMED_1920 = {25: ("Parahyba do Norte", "PB"), 30: ("Districto Federal", "DF")}
-ADDED_1920 = (("Território do Acre", 12, "AC"),)
-# Names of the comparison that are not just the 1872 name without accents.
-COMPARED_NAMES = {30: "Municipio Neutro"}
+# States as published (name, code, abbreviation), 1920.
+STATES_1920 = (
+    ("Território do Acre", 12, "AC"), ("Amazonas", 13, "AM"), ("Pará", 15, "PA"),
+    ("Maranhão", 21, "MA"), ("Piauhy", 22, "PI"), ("Ceará", 23, "CE"),
+    ("Rio Grande do Norte", 24, "RN"), ("Parahyba do Norte", 25, "PB"), ("Pernambuco", 26, "PE"),
+    ("Alagôas", 27, "AL"), ("Sergipe", 28, "SE"), ("Bahia", 29, "BA"),
+    ("Districto Federal", 30, "DF"), ("Minas Geraes", 31, "MG"), ("Espirito Santo", 32, "ES"),
+    ("Rio de Janeiro", 33, "RJ"), ("São Paulo", 35, "SP"), ("Paraná", 41, "PR"),
+    ("Santa Catharina", 42, "SC"), ("Rio Grande do Sul", 43, "RS"), ("Matto Grosso", 51, "MT"),
+    ("Goyaz", 52, "GO"),
+)
+# States of the comparison (code, name).
+COMPARED_STATES = (
+    ("13", "Amazonas"), ("15", "Para"), ("21", "Maranhao"), ("22", "Piauhy"), ("23", "Ceara"),
+    ("24", "Rio Grande do Norte"), ("25", "Parahyba"), ("26", "Pernambuco"), ("27", "Alagoas"),
+    ("28", "Sergipe"), ("29", "Bahia"), ("30", "Municipio Neutro"), ("31", "Minas Geraes"),
+    ("32", "Espirito Santo"), ("33", "Rio de Janeiro"), ("35", "Sao Paulo"), ("41", "Parana"),
+    ("42", "Santa Catharina"), ("43", "Rio Grande do Sul"), ("51", "Matto Grosso"), ("52", "Goyaz"),
+)
 
 # Labels of the eleven outcomes.
 OUTCOME_LABELS = {
@@ -228,18 +242,13 @@ def exposure_quartiles(panel: DataFrame, before: str = "1872", after: str = "192
 
 def states(spark: SparkSession, year: int) -> DataFrame:
     """Name, code and abbreviation of each state in a census year."""
-    rows = list(STATES_1872)
-    if year == 1920:
-        rows = [*ADDED_1920, *((RENAMED_1920.get(c, (n, a))[0], c, RENAMED_1920.get(c, (n, a))[1])
-                               for n, c, a in rows)]
+    rows = STATES_1920 if year == 1920 else STATES_1872
     return lookup_table(spark, rows, "name_state string, code_state int, abbrev_state string")
 
 
 def compared_states(spark: SparkSession) -> DataFrame:
     """State code and plain name used in the comparison."""
-    plain = str.maketrans("áãéíóôâ", "aaeiooa")
-    rows = [(str(c), COMPARED_NAMES.get(c, n.translate(plain))) for n, c, _ in STATES_1872]
-    return lookup_table(spark, rows, "state_code string, state_name string")
+    return lookup_table(spark, COMPARED_STATES, "state_code string, state_name string")
 
 
 @dataclass(frozen=True)

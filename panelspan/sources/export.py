@@ -135,6 +135,7 @@ SHORT_NAMES = {
     "gl": "geography_level", "gid": "geography_id", "gn": "geography_name",
     "gt": "group_type", "grid": "group_id", "glab": "group_label",
 }
+# Exported measures, in file order, without legal status.
 PLAIN_MEASURES = (
     "n_total", "n_male", "n_female",
     "pop_total", "pop_literate", "literacy_rate_population",
@@ -144,6 +145,7 @@ PLAIN_MEASURES = (
     "share_of_national_occupations", "share_male_of_national_group",
     "share_female_of_national_group", "literacy_rate_of_national_pop",
 )
+# Exported measures, in file order, with legal status.
 STATUS_MEASURES = (
     "n_total", "n_free", "n_enslaved", "n_male", "n_female",
     "pop_total", "pop_free", "pop_enslaved", "pop_literate",
@@ -158,6 +160,7 @@ STATUS_MEASURES = (
     "share_female_of_national_group", "literacy_rate_of_national_pop",
     "enslaved_rate_of_national_pop",
 )
+# Exported columns of a fit.
 FIT_EXPORT = ("coef", "se", "ci_lower", "ci_upper", "p_value")
 
 

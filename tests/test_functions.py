@@ -95,6 +95,19 @@ def test_display_formats(spark):
     assert [r[2] for r in out] == ["0.1234", "0.0025", None, "12.5", "0", "1234567.5"]
 
 
+def test_plain_numbers_take_the_shorter_form(spark):
+    shown = {0.0001: "1e-04", -0.0003: "-3e-04", 100000.0: "1e+05", 0.0012: "0.0012", 123456.0: "123456", 1000.0: "1000", 0.0: "0",
+             10.0: "10", -2.5: "-2.5", 1.5e13: "1.5e+13", 0.00004: "0", -200000.0: "-2e+05", 100.5: "100.5"}
+    df = spark.createDataFrame([(x,) for x in shown], "x double")
+    assert rows(df.select(text.plain_text(F.col("x")))) == [(s,) for s in shown.values()]
+
+
+def test_digraphs_and_wide_letters_fold(spark):
+    df = spark.createDataFrame([("ǆǈŉ",), ("Ａｂ＿９",)], "n string")
+    assert rows(df.select(text.folded(F.col("n")))) == [("dzljn",), ("ab_9",)]
+    assert [text.fold_name(n) for n in ("ǆǈŉ", "Ａｂ＿９")] == ["dzljn", "ab_9"]
+
+
 T_TABLE = [  # t, df, two-sided p
     (2.0, 10, 0.0733880348), (2.228138852, 10, 0.05), (12.7062047362, 1, 0.05), (0.0, 5, 1.0),
     (1.96, 600_000, 0.0499962), (-3.182446305, 3, 0.05), (2.62589052, 100, 0.01),
