@@ -1,13 +1,14 @@
 """Removal of lines that resemble an earlier line: an exact set-similarity join in DataFrame operations only.
 
 A line is the set of its words (white space between, lower case).  It goes if an earlier line of the corpus, by
-(doc_id, line number), has a Jaccard similarity of ``4/5`` or more with it, be that line kept or not.  Lines of fewer
-than ``LEAST_WORDS`` different words stay.
+(doc_id, line number), has a Jaccard similarity of ``4/5`` or more with it, be that line kept or not.  Only blank lines,
+which have no words, are not compared and stay.
 
 Equal lines are one class with the place of its first occurrence; later occurrences go.  For different lines the words
 are ordered by rarity (a table of 262,144 hashed counts over all distinct lines, so its size is fixed).  Lines that match
 share a word among their rarest ``n - ceil(4n/5) + 1``, have lengths within a factor of 4/5, and share that word at
-positions that leave room for the needed overlap; a bitmap of each line's words bounds how many differ.  Candidates come in two rounds, so that groups of copies do not pair up:
+positions that leave room for the needed overlap; a bitmap of each line's words bounds how many differ.  Lines of up to
+three different words can only match an equal set, so they share the hash of the whole set in place of a word.  Candidates come in two rounds, so that groups of copies do not pair up:
 first each line against the earliest line of every shared word, then only lines without a match so far against the
 other earlier lines.  Every candidate is verified on the whole sets, in which 64-bit
 hashes stand for the words.
@@ -29,7 +30,6 @@ from pyspark.sql.window import Window
 
 from panelspan.llm import common
 
-LEAST_WORDS = 5
 CELLS = 1 << 18
 PARTS = 4                   # shares of the words whose entries are shuffled one after the other
 
@@ -68,6 +68,7 @@ def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
     ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(cell(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
     rows = classes.withColumn("n", F.size("words")).withColumn("bits", F.expr(_BITS))
     rare = F.transform(F.slice(ordered, 1, F.expr("n - (4 * n + 4) div 5 + 1")), lambda w: F.hash(w))
+    rare = F.when(F.col("n") <= 3, F.array(F.hash(ordered))).otherwise(rare)       # 3/4 is less than 4/5
     return common.staged(rows.select("class", "place.id", "n", "bits", rare.alias("rare")), "line-prefixes")
 
 
@@ -100,11 +101,11 @@ _FITS = f"""5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and least(n_a - i, n_b
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All classes of long enough lines (class, place of the first occurrence, occurrences, hashes of the words), and those that resemble an earlier class."""
+    """All classes of lines that are not blank (class, place of the first occurrence, occurrences, hashes of the words), and those that resemble an earlier class."""
     place = F.struct("id", "number")
     classes = _lines(docs, "line").groupBy("class").agg(F.min(place).alias("place"), F.count("*").alias("occurrences"), F.first("line").alias("line"))
     # the generator keeps the words from being computed again for the filter
-    classes = classes.selectExpr("class", "place", "occurrences", f"inline(array(struct({_WORDS} as words)))").where(f"size(words) >= {LEAST_WORDS}")
+    classes = classes.selectExpr("class", "place", "occurrences", f"inline(array(struct({_WORDS} as words)))").where("size(words) > 0")
     classes = common.staged(classes, "line-classes")
     prefixes = _prefixes(classes, _rarity(classes))
     word = Window.partitionBy("word")

@@ -86,6 +86,26 @@ def test_line_dedup(spark, random_rows):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and out.count() == len(random_rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(8)
+    line = lambda: rng.choice(["", " ", "\t"]) + " ".join(rng.choice(["All", "all", "rights", "reserved.", "Menu", "top", "é"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 9])))
+    rows = [(1, "All rights reserved.\n\nx"), (2, "  all RIGHTS reserved.\n\nx y"), (3, "reserved. all\trights\n \nX"), (4, "a b c d"), (5, "e d c b a\nd c b a\nb c d"), (6, None), (7, "")]
+    rows += [(i, "\n".join(line() for _ in range(rng.randint(1, 4)))) for i in range(10, 70)]
+    seen, want = [], []
+    for i, t in rows:
+        kept, lines = [], t.split("\n") if t else []
+        for text in lines:
+            words = frozenset(text.lower().split())
+            if not any(words and 9 * len(words & w) >= 4 * (len(words) + len(w)) for w in seen):
+                kept.append(text)
+            seen.append(words)
+        want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    same([tuple(r) for r in line_dedup.summary(documents(spark, rows)).collect()], want)
+    assert [w[2] for w in want[:5]] == [0, 1, 2, 0, 2]
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(documents(spark, rows)).collect()}
+    assert left[1] == rows[0][1] and left[2] == "\nx y" and left[3] == " " and left[5] == "b c d" and left[6] is None
+
+
 def test_repeated_passages(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abé \n") for _ in range(n))
