@@ -3,7 +3,10 @@
 Each page's containers are scored by the text they hold outside links and boilerplate; the best one votes for its path,
 the tags and classes from the root with numbers generalised.  Spark counts the votes per host.  Every page is then read
 again: its text is what lies in the containers of the host's most voted path that the page has, or of its own best
-container where it has none of them.
+container where it has none of them.  A container is left for one inside it only if no heading and no block that is mostly
+unlinked text stays outside, and the voted containers are widened to the one that holds all such blocks beside them.  Only
+the page's frame (html and body) is left for a container with more than ``SHARE`` of its text, unless such blocks lie in it
+directly; other containers beside that one in the frame count as the host's furniture.
 
 Boilerplate, by tag, role or class and id words, is never part of a text: menus, headers outside the article, footers,
 sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.  Block elements end a block; white
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 from panelspan.llm import common
 
 PATHS = 8                   # most voted paths of a host that are tried in turn
-SHARE = 0.6                 # of an element's text that a child must hold to be the better container
+SHARE = 0.6                 # of an element's text that a child must hold to be the better container; see above for what may stay outside
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +39,10 @@ DROPPED = frozenset("script style textarea title xmp iframe noembed noframes nos
                     "fieldset label svg math canvas object applet audio video dialog menu map".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
                   "hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
-CONTAINER = frozenset("article main section div td body blockquote center".split())
+CONTAINER = frozenset("article main section div td body center".split())
+SCOPE = CONTAINER | {"blockquote"}                          # a paragraph around it is not ended by what is inside
+FRAME = frozenset(["", "html", "body"])
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
 #: Class, id and role words of boilerplate.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent "
@@ -94,6 +100,59 @@ class Page:
             if not e.noise:
                 up.chars += e.chars
                 up.linked += e.chars if e.tag == "a" else e.linked
+        self._count_blocks()
+
+    def _count_blocks(self) -> None:
+        """``texts``: how many pieces before each belong to headings or to blocks that are mostly unlinked text; ``own``: how many of them lie in each container directly."""
+        linked, heading = [False], [False]
+        for e in self.elements[1:]:
+            linked.append(linked[e.parent] or e.tag == "a")
+            heading.append(heading[e.parent] or e.tag in HEADING)
+        starts = [k for k, (_, _, begins) in enumerate(self.pieces) if begins or k == 0]
+        self.texts, self.own = [0], [0] * len(self.elements)
+        for a, b in zip(starts, [*starts[1:], len(self.pieces)]):
+            block = self.pieces[a:b]
+            sizes = [0, 0]
+            for i, piece, _ in block:
+                sizes[linked[i] and not heading[i]] += len(piece.strip())
+            text = sizes[0] > sizes[1] and any(c.isalnum() for i, piece, _ in block if heading[i] or not linked[i] for c in piece)
+            for i, _, _ in block:
+                self.texts.append(self.texts[-1] + text)
+                self.own[i if self._holds(i) else self.container_of(i)] += text
+
+    def _holds(self, i: int) -> bool:
+        return self.elements[i].tag in CONTAINER
+
+    def container_of(self, i: int) -> int:
+        """The innermost container around an element; 0 is the whole page."""
+        up = self.elements[i].parent
+        while up > 0 and not self._holds(up):
+            up = self.elements[up].parent
+        return max(up, 0)
+
+    def beside(self, now: int, chosen: list[int]) -> bool:
+        """Whether text of this container would be lost if only the chosen ones inside it were kept."""
+        if self.elements[now].tag in FRAME:
+            return self.own[now] > 0
+        within = lambda i: self.texts[self.elements[i].last] - self.texts[self.elements[i].first]
+        return within(now) > sum(map(within, chosen))
+
+    def whole(self, chosen: list[int]) -> list[int]:
+        """The chosen containers, or the outermost one that has text beside them."""
+        if any(self.elements[i].tag in ("article", "main") for i in chosen):
+            return chosen
+        last = max(self.elements[i].last for i in chosen)
+        now, level = chosen[0], chosen
+        while now > 0:
+            now = self.container_of(now)
+            if self.elements[now].last < last:
+                continue                                        # does not hold all of them
+            if self.beside(now, level):
+                chosen = [now]
+            if self.elements[now].tag in ("article", "main"):
+                break
+            level = [now]
+        return chosen
 
     def _parse(self, source: str) -> None:
         stack, at, begins = [0], 0, True
@@ -152,7 +211,7 @@ class Page:
                     if elements[stack[depth]].tag == "p":
                         close(depth)
                         break
-                    if elements[stack[depth]].tag in CONTAINER:
+                    if elements[stack[depth]].tag in SCOPE:
                         break
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag, "td", "th") if tag == "tr" else (tag,)
@@ -195,23 +254,16 @@ class Page:
         if named:
             top = max(score[i] for i in named)
             now = min(i for i in named if score[i] == top)
-            # the innermost named element with nearly all of it
-            inner = [i for i in named if self.elements[i].tag == "article" and score[i] >= SHARE * top]
-            now = max(inner, key=lambda i: (score[i], -i)) if inner else now
         children: dict[int, list[int]] = {}
         for i, e in enumerate(self.elements):
-            up = e.parent
-            while up > 0 and self.elements[up].tag not in CONTAINER:
-                up = self.elements[up].parent
-            if e.tag in CONTAINER and not e.noise:
-                children.setdefault(up, []).append(i)
-        if self.elements[now].tag == "article":
-            return now                                          # an article's parts all belong to it
-        while True:
-            inner = [i for i in children.get(now, ()) if score[i] > SHARE * score[now]]
-            if not inner or self.elements[now].tag == "blockquote":
-                return now
+            if i and e.tag in CONTAINER and not e.noise:
+                children.setdefault(self.container_of(i), []).append(i)
+        while self.elements[now].tag != "article":              # an article's parts all belong to it
+            inner = [i for i in children.get(now, ()) if score[i] > SHARE * score[now] and not self.beside(now, [i])]
+            if not inner:
+                break
             now = inner[0]
+        return now
 
     def text(self, chosen: list[int]) -> str:
         """Text of these elements, in page order."""
@@ -238,7 +290,7 @@ def extract(source: str | None, paths: list[str] | None = None) -> str:
     for path in paths or ():
         chosen = page.at(path)
         if chosen:
-            return page.text(chosen)
+            return page.text(page.whole(chosen))
     return page.text([page.best()])
 
 

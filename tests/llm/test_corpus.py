@@ -186,6 +186,22 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "short" and got[0] == ("good " * 50).strip() and got[10] == ""
 
 
+def test_text_beside_a_large_container_stays():
+    lead, rest = "lead " * 35, "rest " * 65
+    whole = f"Title\n\n{lead.strip()}\n\n{rest.strip()}"
+    pages = ["<body><nav>menu</nav><div id=content><h1>Title</h1><p>{0}</p><div class=rest><p>{1}</p></div></div><footer>x</footer></body>",
+             "<body><div><h1>Title</h1><p>{0}</p><blockquote><p>{1}</p></blockquote></div></body>", "<body><h1>Title</h1><p>{0}</p><blockquote>{1}</blockquote></body>",
+             "<body><div><div><h1>Title</h1></div><div class=a>{0}</div><div class=b>{1}</div></div></body>", "<main><h1>Title</h1><p>{0}</p><article>{1}</article></main>",
+             "<body><div><h1><a href=x>Title</a></h1><section>{0}</section><section><div>{1}</div></section></div></body>"]
+    for page in pages:
+        assert html_extract.extract(page.format(lead, rest)) == whole, page
+    links = "<body><div><ul><li><a href=a>first link</a> | <a href=b>second link</a></ul><div class=main><p>{1}</p></div></div></body>"
+    assert html_extract.extract(links.format(lead, rest)) == rest.strip()
+    # voted by pages without a lead
+    assert html_extract.extract(pages[0].format(lead, rest), [">body>div>div.rest"]) == whole
+    assert html_extract.extract(f"<body><div class=x>{lead}</div><div class=p1>{rest}</div><div class=p2>{lead}</div></body>", [">body>div.p#"]) == f"{rest.strip()}\n\n{lead.strip()}"
+
+
 def test_packing(spark, random_rows):
     encoder = tokens.encoder(tokens.default_vocabulary())
     got = packing.pack(documents(spark, random_rows)).collect()
