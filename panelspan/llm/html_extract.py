@@ -9,7 +9,8 @@ the page's frame (html and body) is left for a container with more than ``SHARE`
 directly; other containers beside that one in the frame count as the host's furniture.
 
 Boilerplate, by tag, role or class and id words, is never part of a text: menus, headers outside the article, footers,
-sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.  Block elements end a block; white
+sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.  A word or a form alone does not make
+boilerplate of a wrapper that holds the page's main or article or most of its unlinked text.  Block elements end a block; white
 space inside a block becomes one space; blocks are joined by an empty line.
 
 Defined results: null and empty pages give an empty text; a page without any container gives its whole body; a missing
@@ -35,8 +36,8 @@ SHARE = 0.6                 # of an element's text that a child must hold to be
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside form button select option datalist "
-                    "fieldset label svg math canvas object applet audio video dialog menu map".split())
+DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside button select option datalist "
+                    "fieldset svg canvas object applet audio video dialog menu map".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
                   "hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split())
 CONTAINER = frozenset("article main section div td body center".split())
@@ -45,9 +46,10 @@ FRAME = frozenset(["", "html", "body"])
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
 #: Class, id and role words of boilerplate.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments commentlist consent "
-                  "contentinfo cookie cookies disqus disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
-                  "overlay pager pagination popup promo promos promotion related recommended respond reply replies search share sharing sidebar sidebars signup "
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+NOISE = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline consent "
+                  "contentinfo cookie cookies disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
+                  "overlay pager pagination popup promo promos promotion related recommended search share sharing sidebar sidebars signup "
                   "social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets complementary alert".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -57,11 +59,11 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "first", "last", "chars", "linked", "noise", "closed")
+    __slots__ = ("tag", "path", "parent", "first", "last", "chars", "linked", "noise", "words", "closed")
 
-    def __init__(self, tag: str, path: str, parent: int, first: int, noise: bool):
+    def __init__(self, tag: str, path: str, parent: int, first: int, noise: bool, words: frozenset[str] | set[str] = frozenset()):
         self.tag, self.path, self.parent, self.first, self.last = tag, path, parent, first, -1
-        self.chars, self.linked, self.noise = 0, 0, noise
+        self.chars, self.linked, self.noise, self.words = 0, 0, noise, words     # words: boilerplate by these, unless it is a wrapper
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -72,16 +74,22 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_noise(tag: str, have: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is boilerplate whatever it holds."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "").lower():
         return True
+    return False
+
+
+def _noise_words(tag: str, have: dict[str, str], in_article: bool) -> set[str]:
+    """What makes an element boilerplate unless it is a wrapper: words of its class, id and role, or being a form."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return set()
     words = {w.lower() for key in ("class", "id", "role") if key in have for w in _WORD.findall(have[key])}
     if in_article and tag == "header" or tag in ("h1", "h2"):
         words -= {"header", "banner", "masthead"}
-    return not words.isdisjoint(NOISE)
+    return words & NOISE | ({"form"} if tag == "form" else set())
 
 
 class Page:
@@ -94,6 +102,10 @@ class Page:
         for e in self.elements:
             if e.last < 0:
                 e.last = len(self.pieces)
+        if any(e.words for e in self.elements):
+            self._drop_noise()
+        for i, piece, _ in self.pieces:
+            self.elements[i].chars += len(piece.strip())
         for i in range(len(self.elements) - 1, 0, -1):
             e = self.elements[i]
             up = self.elements[e.parent]
@@ -102,6 +114,65 @@ class Page:
                 up.linked += e.chars if e.tag == "a" else e.linked
         self._count_blocks()
 
+    def _drop_noise(self) -> None:
+        """Drop what is boilerplate by its words, after clearing the words of wrappers."""
+        elements = self.elements
+        n = len(elements)
+        linked, under, said, text = [False] * n, [False] * n, [False] * n, [0] * n
+        for i, e in enumerate(elements[1:], 1):
+            linked[i] = linked[e.parent] or e.tag == "a"
+            under[i] = under[e.parent] or bool(e.words)
+            said[i] = said[e.parent] or not e.words.isdisjoint(COMMENTS)
+        for i, piece, _ in self.pieces:
+            if not linked[i]:
+                text[i] += len(piece.strip())
+        clean = sum(x for x, u in zip(text, under) if not u)
+        plain = sum(x for x, c in zip(text, said) if not c)
+        total, whole = sum(text), list(text)
+        for i in range(n - 1, 0, -1):
+            whole[elements[i].parent] += whole[i]
+        # the page's main, and an article with more text than lies outside all boilerplate, or most of all among comments
+        named = [i for i, e in enumerate(elements) if e.tag in ("article", "main") and not e.noise and whole[i]]
+        for tag in ("main", "article"):
+            same = [i for i in named if elements[i].tag == tag]
+            i = max([i for i in same if not said[i]] or same, key=lambda i: (whole[i], -i), default=0)
+            if tag == "main" or whole[i] > clean and (not said[i] or 2 * whole[i] > total):
+                while i > 0:
+                    elements[i].words = frozenset()
+                    i = elements[i].parent
+
+        is_comments = lambda i: not elements[i].words.isdisjoint(COMMENTS)
+
+        def wrappers(of: int, comments: bool) -> list[int]:
+            """What holds more than half of so much text outside other boilerplate, the innermost first."""
+            found, held = [], list(text)
+            for i in range(n - 1, 0, -1):
+                if elements[i].words and 2 * held[i] > of and (comments or not is_comments(i)):
+                    found.append(i)
+                elif elements[i].words:
+                    continue
+                held[elements[i].parent] += held[i]
+            return found
+
+        # reader comments are the page only if one of them holds most of it and no article lies outside
+        found = wrappers(total, True) if all(said[i] for i in named) else []
+        if not any(map(is_comments, found)):
+            found = wrappers(plain, False)
+        for i in found:
+            elements[i].words = frozenset()
+        for e in elements[1:]:
+            e.noise = e.noise or bool(e.words) or elements[e.parent].noise
+        kept, at, begun = [], [0], False
+        for i, piece, begins in self.pieces:
+            begun |= begins
+            if not elements[i].noise:
+                kept.append((i, piece, begun))
+                begun = False
+            at.append(len(kept))
+        self.pieces = kept
+        for e in elements:
+            e.first, e.last = at[e.first], at[e.last]
+
     def _count_blocks(self) -> None:
         """``texts``: how many pieces before each belong to headings or to blocks that are mostly unlinked text; ``own``: how many of them lie in each container directly."""
         linked, heading = [False], [False]
@@ -156,7 +227,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, begins = [0], 0, True
-        articles = 0
+        articles = forms = 0
         elements, pieces = self.elements, self.pieces
 
         def text(raw: str) -> None:
@@ -164,16 +235,16 @@ class Page:
             if raw and not elements[stack[-1]].noise:
                 now = html.unescape(raw) if "&" in raw else raw
                 pieces.append((stack[-1], now, begins))
-                elements[stack[-1]].chars += len(now.strip())
                 begins = False
 
         def close(depth: int) -> None:
-            nonlocal begins, articles
+            nonlocal begins, articles, forms
             while len(stack) > depth:
                 e = elements[stack.pop()]
                 e.last = len(pieces)
                 begins |= e.tag in BLOCK
                 articles -= e.tag in ("article", "main")
+                forms -= e.tag == "form"
 
         length = len(source)
         while at < length:
@@ -227,13 +298,15 @@ class Page:
                 close(next(d for d, i in enumerate(stack) if elements[i].tag == "head"))
             up = elements[stack[-1]]
             have = _attributes(attributes) if attributes and not attributes.isspace() else {}
-            noise = up.noise or _is_noise(tag, have, articles > 0)
+            # a label outside the article is a form's, one without a form is text
+            noise = up.noise or _is_noise(tag, have, articles > 0) or tag == "label" and forms > 0 and not articles
+            words = _noise_words(tag, have, articles > 0) if not noise and (have or tag == "form") else frozenset()
             path = up.path
             if tag in BLOCK:
                 begins = True
                 classes = ".".join(sorted(_DIGITS.sub("#", have.get("class", "")).split()))
                 path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"
-            elements.append(Element(tag, path, stack[-1], len(pieces), noise))
+            elements.append(Element(tag, path, stack[-1], len(pieces), noise, words))
             if tag in RAW:                                      # its content is no markup
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                 elements[-1].last = len(pieces)
@@ -244,6 +317,7 @@ class Page:
                 continue
             stack.append(len(elements) - 1)
             articles += tag in ("article", "main")
+            forms += tag == "form"
         close(0)
 
     def best(self) -> int:

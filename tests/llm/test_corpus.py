@@ -202,6 +202,20 @@ def test_text_beside_a_large_container_stays():
     assert html_extract.extract(f"<body><div class=x>{lead}</div><div class=p1>{rest}</div><div class=p2>{lead}</div></body>", [">body>div.p#"]) == f"{rest.strip()}\n\n{lead.strip()}"
 
 
+def test_wrappers_are_no_boilerplate():
+    text, more = "text " * 60, "more " * 60
+    for wrapper in ("div class='page has-sidebar'", "div class=content-sidebar-wrap", "div id=no-sidebar", "div class=site-header-fixed", "form action=x", "section class=comments-open"):
+        end = wrapper.split()[0]
+        for inner in ("<article>{}</article>", "<main><p>{}</p></main>", "<div><p>{}</p></div>", "<form><div class=widget-area>{}</div></form>"):
+            page = f"<body><div class=sidebar>side</div><{wrapper}>{inner.format(text)}<div class=ad>buy</div><div class=sidebar>side</div></{end}><footer>foot</footer></body>"
+            assert html_extract.extract(page) == text.strip(), page
+    comments = f"<ol class=commentlist><li class=comment><article>{more}</article><li class=comment><article>{more}</article></ol>"
+    for page in ("<body><div class=has-sidebar><article>{0}</article>{1}</div></body>", "<body><div class=has-sidebar><p>{0}</p>{1}</div></body>", "<article>{0}{1}</article>", "<article>{0}</article><div class=comments>more{1}</div>"):
+        assert html_extract.extract(page.format(text, comments)) == text.strip(), page
+    assert html_extract.extract(f"<body><div class=post>{text}</div><div class=related><article>teaser</article></div></body>") == text.strip()
+    assert html_extract.extract("<article><p>a <math><mi>x</mi></math> b <label>c</label><p><span class=ad>z</span>d<form><label>mail</label></form></article>") == "a x b c\n\nd"
+
+
 def test_packing(spark, random_rows):
     encoder = tokens.encoder(tokens.default_vocabulary())
     got = packing.pack(documents(spark, random_rows)).collect()
