@@ -7,7 +7,8 @@ document takes the language with the smallest out-of-place distance: per n-gram
 two ranks, or ``size`` where the language lacks it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any training document every
-text is ``und``; ties between languages go to the smaller name; a null doc_id counts as the empty text; repeated rows
+text is ``und``; ties between languages go to the smaller name, also for a text that shares no n-gram with any of them
+(score 0), which ``keep_known`` rejects; a null doc_id counts as the empty text; repeated rows
 are judged one by one; whole texts are counted however long; other columns are ignored.
 """
 
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, size: int = PROFILE_SIZE, least: float = 0.0) -> DataFrame:
-    """The rows whose text has a language (and at least this score); all columns stay as they are."""
+    """The rows whose text shares an n-gram with its language (and has at least this score); all columns stay as they are."""
     common.ship(docs.sparkSession)
     known = profiles(docs.where(fold() != 0), size)
     schema, at = docs.schema, docs.columns.index("text")
@@ -201,6 +202,6 @@ def keep_known(docs: DataFrame, size: int = PROFILE_SIZE, least: float = 0.0) ->
         for batch in batches:
             for a, b, data, offsets in _pieces(batch, at):
                 best, score = nearest(data, offsets, known, size)
-                yield batch.slice(a, b - a).filter(pa.array((best >= 0) & (score >= least)))
+                yield batch.slice(a, b - a).filter(pa.array((best >= 0) & (score > 0) & (score >= least)))
 
     return docs.mapInArrow(run, schema)

@@ -279,6 +279,14 @@ def test_languages(spark):
     assert langid.keep_known(docs).count() == len(rows) + 2
 
 
+def test_texts_in_no_known_language_are_rejected(spark):
+    rows = [(i, text, lang) for i in range(20) for text, lang in [("the house and that", "en"), ("das haus und nicht", "de")]]
+    foreign = [(100, "καλημέρα κόσμε", None), (101, "доброе утро", ""), (105, "日本語", None)]
+    docs = spark.createDataFrame([*rows, *foreign, (106, "доброе the house", None)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("lang", F.expr("nullif(lang, '')"))
+    assert sorted(r.doc_id for r in langid.keep_known(docs).collect()) == sorted([*(i for i, _, _ in rows), 106])
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((300, 24))
