@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspan.llm import decontaminate, html_extract, langid, line_dedup, minhash, packing, secret_scan, suffix_dedup, token_files, vector_links
+from panelspan.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, packing, secret_scan, suffix_dedup, token_files, vector_links
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,9 +57,20 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(_table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_dedup.deduplicate(spark, f"{folder}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_line_dedup, op3_suffix_dedup, op4_decontaminate, op5_html_extraction, op6_packing, op7_language_id,
-    op8_token_files, op9_vector_links, op10_minhash)}
-
-#: No query has a SQL counterpart; see the README.
-ORACLE: dict[str, str] = {}
+    op8_token_files, op9_vector_links, op10_minhash, op11_exact_dedup)}
+
+#: The other queries have no SQL counterpart; see the README.
+ORACLE: dict[str, str] = {
+    "op11_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
