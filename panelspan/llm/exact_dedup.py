@@ -48,6 +48,7 @@ def remember(spark: SparkSession, path: str, state: str, digest: str = SHA256, f
     session = spark.newSession()                                   # leaves the caller's settings alone
     session.conf.set(_STATE + "providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set(_STATE + "rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set(_STATE + "rocksdb.allowFAllocate", "false")    # else 4 MB of disk per partition, however small
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     reader = session.readStream.schema(schema)
@@ -70,7 +71,8 @@ def deduplicate(spark: SparkSession, path: str, digest: str = SHA256, state: str
     if not spark.read.parquet(path).limit(1).count():
         return spark.createDataFrame([], "doc_id long, digest string, keep_id long, group_size long, kept boolean, text string")
     shared = common.staged(remember(spark, path, state, digest, files).where("n > 1").select("digest", F.col("locator").alias("holder")), "holders")
-    rows = _rows(spark.read.parquet(path), digest).join(shared, "digest", "left") \
+    # merged whatever the sizes: where most rows are hits, holders outgrow any broadcast
+    rows = _rows(spark.read.parquet(path), digest).join(shared.hint("merge"), "digest", "left") \
         .withColumn("text", F.when(F.col("holder").isNotNull(), F.col("text")))
     rows = common.staged(rows, "hits")
     alone = rows.where("holder is null").selectExpr("doc_id", "digest", "doc_id as keep_id", "1L as group_size", "true as kept", "text")
