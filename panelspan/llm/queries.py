@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspan.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, packing, prefix_trie, secret_scan, suffix_dedup, token_files, vector_links
+from panelspan.llm import decontaminate, exact_dedup, hard_negatives, html_extract, langid, line_dedup, minhash, packing, prefix_trie, secret_scan, suffix_dedup, token_files, vector_links
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,9 +66,13 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.rebuilt(_table(spark, folder, "conversations")))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_line_dedup, op3_suffix_dedup, op4_decontaminate, op5_html_extraction, op6_packing, op7_language_id,
-    op8_token_files, op9_vector_links, op10_minhash, op11_exact_dedup, op12_prefix_trie)}
+    op8_token_files, op9_vector_links, op10_minhash, op11_exact_dedup, op12_prefix_trie, op13_hard_negatives)}
 
 #: The other queries have no SQL counterpart; see the README.
 ORACLE: dict[str, str] = {
@@ -111,4 +115,22 @@ ORACLE: dict[str, str] = {
         SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
                saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
         FROM family f JOIN summed s ON s.way = f.way LEFT JOIN node p ON p.depth = f.depth - 1 AND p.way = list_slice(f.way, 1, f.depth - 1)""",
+    "op13_hard_negatives": """
+        WITH whole AS (
+            SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)),
+        scored AS (
+            SELECT a.id AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM whole a JOIN whole b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+        positive AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored WHERE same
+            QUALIFY place <= 5),
+        negative AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST)::INTEGER AS rank
+            FROM positive p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+            QUALIFY rank <= 3)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative""",
 }
