@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspan.functions.guarded import field
 from panelspan.functions.text import id_code
+from panelspan.operators.quality import Watch
 
 
 def explode_crosswalk(
@@ -37,14 +38,17 @@ def unmatched(df: DataFrame, identifier: str, crosswalk: DataFrame, code: str =
 
 
 def attach_geography(
-    df: DataFrame, lookup: DataFrame, key: str, required: str = "code_state"
+    df: DataFrame, lookup: DataFrame, key: str, required: str = "code_state", watch: Watch | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Left-join attributes; return (matched rows, rows without geography).
 
     No hint on the lookup: it grows with the geographies, and the optimizer
-    broadcasts it only if its measured size allows.
+    broadcasts it only if its measured size allows.  ``watch`` observes all
+    rows and the ``unmatched`` ones.
     """
     joined = df.join(lookup, key, "left")
+    if watch:
+        joined = watch(joined, unmatched=F.col(required).isNull())
     return joined.where(F.col(required).isNotNull()), joined.where(F.col(required).isNull())
 
 

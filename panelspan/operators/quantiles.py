@@ -1,77 +1,135 @@
 """Exact quantiles at scale, and binning by them.
 
 ``percentile`` keeps every distinct value of a group in one task's memory.
-Here a quantile sketch with a guaranteed rank error first brackets each
-wanted rank; a second aggregation keeps single values only inside the
-brackets and plain counts outside.  What is left to order is a small,
-fixed fraction of the data, and the result is exact.
+Here values are selected by radix.  A double has an order-preserving integer;
+a histogram of its leading bits, of fixed size, tells in which cell each
+wanted rank lies, and the next scan looks into those cells only, as ranges of
+values that reach the Parquet filter.  Two or three scans find every order
+statistic, whatever the distribution.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges on each side of a wanted rank; the sketch is off by one of them at most.
-REACH = 4
+from panelspan.sources.stage import written
+
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_LABELS = ("Q1 (lowest)", "Q2", "Q3", "Q4 (highest)")
+#: Bits left after each scan.  A histogram has at most 2**16, then 2**20 cells per cell looked into.
+LEVELS = (48, 28, 8, 0)
+#: Cells with no more rows than this are resolved to single values at once.
+DIRECT = 1 << 20
+_INFINITE = 2047 << 52
+_NAN = (1 << 63) - 1
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float] = QUARTILES, accuracy: int = 10_000
-) -> DataFrame:
+def ordered_bits(value: str) -> str:
+    """SQL for the order-preserving long of a double: its bits, negated for negative values; NaN is the greatest.
+
+    Both zeros are 0.  The exponent comes from ``log2`` and is corrected by
+    comparing with the exact powers on both sides, so every step is exact.
+    """
+    size = f"abs({value})"
+    about = f"greatest(least(coalesce(floor(log2({size})), -1022), 1023), -1022)"
+    exponent = f"({about} + if({size} >= 2 * pow(2D, {about}), 1, 0) - if({about} > -1022 AND {size} < pow(2D, {about}), 1, 0))"
+    bits = f"(({exponent} + 1022) * {1 << 52}L + cast({size} / pow(2D, {exponent}) * {float(1 << 52)}D AS bigint))"
+    return (f"CASE WHEN isnan({value}) THEN {_NAN}L WHEN {value} = double('infinity') THEN {_INFINITE}L "
+            f"WHEN {value} = double('-infinity') THEN {-_INFINITE}L WHEN {value} < 0 THEN -{bits} ELSE {bits} END")
+
+
+def double_of(bits: int) -> float:
+    """The double an order-preserving long stands for."""
+    value = struct.unpack("<d", struct.pack("<q", min(abs(bits), _NAN)))[0]
+    return -value if bits < 0 else value
+
+
+def _within(low: int, high: int) -> str:
+    """Condition on ``v`` that its long lies in [low, high]."""
+    if low > _INFINITE:
+        return "isnan(v)"
+    def literal(bits: int) -> str:
+        value = double_of(bits)
+        return f"double('{'-' if value < 0 else ''}infinity')" if math.isinf(value) else f"{value!r}D"
+    if high > _INFINITE:
+        return f"v >= {literal(low)}"
+    return f"v >= {literal(max(low, -_INFINITE))} AND v <= {literal(high)}"
+
+
+def order_statistics(values: DataFrame, ranks: Sequence[int] | None = None, probabilities: Sequence[float] = ()) -> tuple[int, dict[int, float]]:
+    """Number of values of the double column ``v`` and the values at the given ranks (from 0), in two to four scans.
+
+    Instead of ranks, ``probabilities`` asks for both neighbours of each
+    quantile's position.  One row per wanted rank reaches the driver after a
+    scan.
+    """
+    keyed = values.where("v IS NOT NULL").selectExpr("v", f"{ordered_bits('v')} AS bits")
+    cells = [(-_NAN - 1, _NAN, 0)]                                 # least and greatest long, rows before
+    wanted: dict[int, int] = {}
+    found: dict[int, float] = {}
+    n, single = None, False
+    for shift in LEVELS:
+        shift = 0 if single else shift
+        looked = keyed if n is None else keyed.where(" OR ".join(f"({_within(a, b)})" for a, b, _ in cells))
+        cell = F.shiftright("bits", shift)
+        histogram = looked.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"))
+        if n is None:                                              # one cell: everything
+            histogram = histogram.withColumn("of", F.lit(0)).withColumn("base", F.lit(0).cast("long"))
+        else:
+            low = F.shiftleft("cell", shift)
+            of = reduce(lambda c, k: c.when(low.between(cells[k][0], cells[k][1]), k), range(len(cells)), F.when(F.lit(False), 0))
+            histogram = histogram.withColumn("of", of).withColumn("base", F.element_at(F.array(*[F.lit(c[2]).cast("long") for c in cells]), F.col("of") + 1))
+        upto = F.col("base") + F.sum("rows").over(Window.partitionBy("of").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        counted = histogram.select("cell", "rows", upto.alias("upto"))
+        if n is None:
+            total = F.max("upto").over(Window.partitionBy())
+            places = [f"cast(floor((n - 1) * {float(p)!r}D) AS bigint), cast(ceil((n - 1) * {float(p)!r}D) AS bigint)" for p in probabilities]
+            asked = "array_distinct(array(" + ", ".join([*places, *[f"{r}L" for r in ranks or ()]]) + "))"
+            counted = counted.withColumn("n", total).withColumn("asked", F.expr(asked))
+        else:
+            counted = counted.withColumn("n", F.lit(n)).withColumn("asked", F.array(*[F.lit(r).cast("long") for r in wanted]))
+        hit = counted.selectExpr("cell", "rows", "upto", "n", "filter(asked, r -> r >= upto - rows AND r < upto) AS here").where("size(here) > 0")
+        rows = hit.collect()
+        if not rows:
+            return n or 0, found
+        n = rows[0].n
+        cells, wanted = [], {}
+        for r in sorted(rows, key=lambda r: r.cell):
+            low = r.cell << shift
+            if shift == 0:
+                found.update({rank: double_of(low) for rank in r.here})
+                continue
+            cells.append((low, low + (1 << shift) - 1, r.upto - r.rows))
+            wanted.update({rank: r.cell for rank in r.here})
+        if shift == 0:
+            return n, found
+        single = sum(r.rows for r in rows) <= DIRECT
+    return n, found
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] = QUARTILES, stage: bool | None = None) -> DataFrame:
     """One row ``(n, quantiles)``: linear interpolation between order statistics.
 
-    The sketch gives edges around each wanted rank, at most 1/accuracy apart.
-    A second aggregation counts the rows of every region between edges, with
-    its least and greatest value, and keeps single values only near a wanted
-    rank.  Regions are few, so their offsets are a small table; values are
-    ordered within their region only, each about n/accuracy of them.  A rank
-    that begins or ends another region is that region's least or greatest
-    value, so no input is too small.  Missing values are ignored.
+    The scans run when this is called.  ``stage`` writes the column to a table
+    first; by default that is done unless the input is a plain scan, so that
+    what leads to the column is evaluated once.  Missing values are ignored.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    grid = {round(p * accuracy) + k for p in probabilities for k in range(-REACH, REACH + 1)}
-    edges = sorted(min(max(g / accuracy, 0.0), 1.0) for g in grid)
-    edges = sorted(set(edges))
-    sketch = values.agg(F.percentile_approx("v", edges, accuracy)).scalar()
-    region = " + ".join(f"if(v > e[{i}], 1, 0)" for i in range(len(edges)))
-    # Below the first edge near the least value and above the last one near the greatest there is nothing to keep.
-    near = {i for i, low in enumerate(edges) for p in probabilities if abs(low - p) * accuracy <= REACH + 0.75}
-    inside = f"region IN ({', '.join(map(str, sorted(near)))})"
-    reduced = (
-        values.withColumn("e", sketch).selectExpr(f"{region} AS region", "v")
-        .groupBy("region", F.expr(f"if({inside}, v, NULL)").alias("value"))
-        .agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
-    # One row per region, so a fixed number of rows, in order of the regions.
-    totals = reduced.groupBy("region").agg(F.sum("rows").alias("rows")).agg(
-        F.array_sort(F.collect_list(F.struct("region", "rows")))).scalar()
-    offset = "aggregate(filter(t, x -> x.region < region), 0L, (total, x) -> total + x.rows)"
-    ranked = reduced.withColumn("t", totals).selectExpr(
-        "*", f"{offset} + sum(rows) OVER (PARTITION BY region ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto",
-        "aggregate(t, 0L, (total, x) -> total + x.rows) AS n")
-
-    def order_statistic(rank: str, name: str) -> Column:
-        here = f"upto > {rank} AND upto - rows <= {rank}"
-        value = f"CASE WHEN value IS NOT NULL THEN value WHEN {rank} = upto - rows THEN low WHEN {rank} = upto - 1 THEN high END"
-        missed = f"bool_or({here} AND ({value}) IS NULL)"
-        return F.expr(f"CASE WHEN {missed} THEN raise_error('quantile bracket missed its rank') "
-                      f"ELSE max(CASE WHEN {here} THEN {value} END) END AS {name}")
-
-    positions = [f"((n - 1) * {float(p)!r}D)" for p in probabilities]
-    found = ranked.agg(
-        F.max("n").alias("n"),
-        *[order_statistic(f"floor({x})", f"lo{i}") for i, x in enumerate(positions)],
-        *[order_statistic(f"ceil({x})", f"hi{i}") for i, x in enumerate(positions)],
-    )
-    quantiles = ", ".join(f"lo{i} + ({x} - floor({x})) * (hi{i} - lo{i})" for i, x in enumerate(positions))
-    return found.selectExpr("coalesce(n, 0) AS n", f"if(n > 0, array({quantiles}), NULL) AS quantiles")
+    values = df.select(F.col(column).cast("double").alias("v"))
+    if stage is None:
+        stage = any(node in df._jdf.queryExecution().optimizedPlan().toString() for node in ("Aggregate", "Join", "Window", "Generate", "Sort", "Repartition"))
+    n, found = order_statistics(written(values, "values") if stage else values, probabilities=probabilities)
+    quantiles = None
+    if n:
+        at = [(n - 1) * float(p) for p in probabilities]
+        quantiles = [found[math.floor(x)] + ((x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) if x != math.floor(x) else 0.0) for x in at]
+    return df.sparkSession.createDataFrame([(n, quantiles)], "n long, quantiles array<double>")
 
 
 def approximate_quantiles(

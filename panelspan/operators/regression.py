@@ -8,6 +8,7 @@ small table, so their cost does not depend on the size of the input.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,28 @@ def pair_moments(df: DataFrame, exposure: str, outcomes: Sequence[str], group: s
     })
 
 
+def merged_moments(stored: Sequence[DataFrame], group: str) -> DataFrame:
+    """Moments of all rows behind several moment tables, without those rows.
+
+    Sums of squares add up with the squared distances of the parts' means from
+    the common mean, which keeps their precision.  A constant is noticed by
+    the extremes, as in ``pair_moments``.
+    """
+    every = reduce(DataFrame.unionByName, stored)
+    n, both = F.col("n"), Window.partitionBy("y_metric", group)
+    every = every.withColumns({
+        f"g{v}": F.when(F.min(f"{v}_min").over(both) == F.max(f"{v}_max").over(both), F.col(f"m{v}"))
+        .otherwise(F.sum(n * F.col(f"m{v}")).over(both) / F.sum(n).over(both)) for v in "xy"})
+    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
+    return every.groupBy("y_metric", group).agg(
+        F.sum(n).alias("n"), F.max("gx").alias("mx"), F.max("gy").alias("my"),
+        F.sum(F.col("sxx") + n * dx * dx).alias("sxx"), F.sum(F.col("syy") + n * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + n * dx * dy).alias("sxy"),
+        F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"),
+        F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"),
+    )
+
+
 def with_inference(fits: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Turn (coef, se, df) into t, p and a confidence interval.
 

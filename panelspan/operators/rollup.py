@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelspan.functions.guarded import field, group_total, portion
 from panelspan.functions.text import id_prefix
 from panelspan.operators.crosswalk import code_of
+from panelspan.operators.quality import Watch
 
 #: More groups than this and the totals are no longer treated as a dimension.
 BROADCAST_GROUPS = 10_000
@@ -33,6 +34,7 @@ def rollup_by_crosswalk(
     area: str = "code_amc",
     code: str = "muni_code",
     unique_ids: bool = False,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Sum counts per area through an (area, code) crosswalk.
 
@@ -40,13 +42,18 @@ def rollup_by_crosswalk(
     Unless ids are known to be unique the counts are first summed per code, so
     the join sees one row per code however hot a code is.  The join carries no
     hint: the crosswalk grows with the geographies, so its size decides.
+    ``watch`` observes the codes on their way: as ``rows`` their pairs with an
+    area, as ``unmatched`` those without one.
     """
     coded = df.select(
         code_of(df, identifier, crosswalk, code).alias(code), *[field(c) for c in counts]
     )
     if not unique_ids:
         coded = rollup(coded.where(F.col(code).isNotNull()), [code], counts)
-    return rollup(coded.join(crosswalk.select(area, code), code), [area], counts)
+    if watch is None:
+        return rollup(coded.join(crosswalk.select(area, code), code), [area], counts)
+    joined = watch(coded.join(crosswalk.select(area, code), code, "left"), unmatched=F.col(area).isNull())
+    return rollup(joined.where(F.col(area).isNotNull()), [area], counts)
 
 
 def rollup_by_prefix(

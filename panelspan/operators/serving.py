@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.functions.text import count_text, percent_text, plain_text
-from panelspan.operators.quantiles import QUARTILE_LABELS, exact_quantiles, quantile_bins
+from panelspan.operators.quantiles import QUARTILE_LABELS, QUARTILES, quantile_bins
+from panelspan.operators.ranking import Ranked
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,21 @@ def panel_slice(
     return panel
 
 
+def slice_batch(panel: DataFrame, selections: DataFrame, name: str = "selection") -> DataFrame:
+    """Rows of many slices at once, each with its selection's name.
+
+    ``selections`` has ``name`` and the slice columns; level and type are
+    required, a NULL group_id takes every group; unnamed selections are left out.  Both required columns are
+    folders of the store: the join prunes them at run time by what the
+    selections ask for.  Selections carry no hint: their measured size decides.
+    """
+    # naming the selections also tells the optimizer that they are few, which is what lets it prune folders by them
+    have, want = panel.alias("have"), selections.where(F.col(name) > "").alias("want")
+    same = (F.col("have.geography_level") == F.col("want.geography_level")) & (F.col("have.group_type") == F.col("want.group_type")) \
+        & (F.col("want.group_id").isNull() | (F.col("have.group_id") == F.col("want.group_id")))
+    return have.join(want, same).select(F.col(f"want.{name}").alias(name), "have.*")
+
+
 def group_choices(panel: DataFrame, level: str, group_type: str | None = None) -> DataFrame:
     rows = panel_slice(panel, level, group_type=group_type)
     return rows.select("group_id", "group_label").distinct().orderBy("group_label", "group_id")
@@ -160,17 +176,19 @@ class Contrast:
 
 def quartile_comparison(
     panel: DataFrame, exposure: str, required: Sequence[str], contrasts: Sequence[Contrast],
-    labels: Sequence[str] = QUARTILE_LABELS, accuracy: int = 10_000,
+    labels: Sequence[str] = QUARTILE_LABELS,
 ) -> DataFrame:
     """Mean of each sector column per exposure bin, with the bin's row count.
 
-    One grouped aggregation produces all means, which are then unpivoted from
-    the few result rows.
+    The panel is evaluated once, into rows stored in the exposure's order;
+    breaks are rows at known ranks of it.  One grouped aggregation over the
+    stored rows produces all means, which are then unpivoted from the few
+    result rows.
     """
-    cases = complete_cases(panel, [exposure, *required])
-    binned = quantile_bins(
-        cases, exposure, exact_quantiles(cases, exposure, accuracy=accuracy), labels
-    )
+    wanted = dict.fromkeys([exposure, *(c for contrast in contrasts for c in contrast.columns.values())])
+    ranked = Ranked(complete_cases(panel, [exposure, *required]).select(*wanted), exposure)
+    breaks = panel.sparkSession.createDataFrame([ranked.quantiles(QUARTILES)], "n long, quantiles array<double>")
+    binned = quantile_bins(ranked.rows, exposure, breaks, labels)
     means = binned.groupBy("quartile").agg(
         F.count("*").alias("n"),
         *[F.avg(c).alias(f"{i}_{sector}")

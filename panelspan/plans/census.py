@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from panelspan.functions.text import id_code, id_prefix
 from panelspan.operators import compare, crosswalk as xw, naming, panels, regression, reshape, rollup
 from panelspan.operators.panels import ExactLayout, Group, Level, PrefixLayout
+from panelspan.operators.quality import FlowQuality
 from panelspan.operators.serving import Contrast, Metric, quartile_comparison
 from panelspan.sources import export, store
-from panelspan.sources.tables import lookup_table
+from panelspan.sources.tables import lookup_table, reuse_or_build
 
 # --------------------------------------------------------------------------
 # Name prefixes, patterns and dictionaries of the 1872 tables.
@@ -274,7 +276,9 @@ PLAN_1920 = CensusPlan(LAYOUT_1920, "code_muni_1920", "nommun20")
 STATE_IDS = ("code_state", "abbrev_state", "name_state")
 
 
-def census_panels(table: DataFrame, lookup: DataFrame, plan: CensusPlan) -> dict[str, DataFrame]:
+def census_panels(
+    table: DataFrame, lookup: DataFrame, plan: CensusPlan, quality: FlowQuality | None = None, year: str = "",
+) -> dict[str, DataFrame]:
     """All panels of one census: long, wide and the dashboard with national shares.
 
     ``table`` is the wide census table, ``lookup`` one row per municipality:
@@ -287,6 +291,10 @@ def census_panels(table: DataFrame, lookup: DataFrame, plan: CensusPlan) -> dict
     else:
         kept = panels.empty_rows_dropped(matched, [c for c in NON_EMPTY_1920 if c in matched.columns])
     muni_ids = [plan.code, plan.name, "name_muni_map", *STATE_IDS]
+    kept_once = kept                        # one of the tables made from it counts its rows
+    if quality:
+        lost = xw.attach_geography(with_code, lookup, plan.code, watch=quality.stage(f"census {year}: geography"))[1]
+        kept_once = quality.watch(kept, f"census {year}: kept")
     by_state = rollup.rollup(kept, list(STATE_IDS), plan.counts(table.columns))
 
     muni = panels.group_panel(kept, muni_ids, plan.layout)
@@ -300,7 +308,7 @@ def census_panels(table: DataFrame, lookup: DataFrame, plan: CensusPlan) -> dict
     out = {
         "unmatched": lost.select(plan.code, plan.name),
         "dashboard_panel": rollup.with_national_shares(dashboard, shares, group_count=groups),
-        "mun_sector_wide": reshape.wide_panel(kept, muni_ids, plan.layout),
+        "mun_sector_wide": reshape.wide_panel(kept_once, muni_ids, plan.layout),
         "state_sector_wide": reshape.wide_panel(by_state, STATE_IDS, plan.layout),
     }
     if plan.status:
@@ -310,14 +318,17 @@ def census_panels(table: DataFrame, lookup: DataFrame, plan: CensusPlan) -> dict
     return out
 
 
-def comparison_panels(census_1872: DataFrame, census_1920: DataFrame, crosswalk: DataFrame) -> dict[str, DataFrame]:
+def comparison_panels(
+    census_1872: DataFrame, census_1920: DataFrame, crosswalk: DataFrame, quality: FlowQuality | None = None,
+) -> dict[str, DataFrame]:
     """Comparable-area and state panels with all change metrics."""
     counts_1872 = naming.with_prefix(census_1872.columns, LAYOUT_1872.count_prefixes)
     counts_1920 = naming.starting_with(census_1920.columns, COMPARED_STEMS_1920)
     ident = "muni_malha_id"
+    watch = {year: quality.stage(f"comparison {year}: areas of codes") if quality else None for year in ("1872", "1920")}
     areas = compare.two_period_panel(
-        (rollup.rollup_by_crosswalk(census_1872, ident, crosswalk, counts_1872), LAYOUT_1872, "1872"),
-        (rollup.rollup_by_crosswalk(census_1920, ident, crosswalk, counts_1920), LAYOUT_1920, "1920"),
+        (rollup.rollup_by_crosswalk(census_1872, ident, crosswalk, counts_1872, watch=watch["1872"]), LAYOUT_1872, "1872"),
+        (rollup.rollup_by_crosswalk(census_1920, ident, crosswalk, counts_1920, watch=watch["1920"]), LAYOUT_1920, "1920"),
         "code_amc",
     )
     parents = xw.majority_parent(census_1872, ident, crosswalk, id_prefix(F.col(ident)))
@@ -342,30 +353,45 @@ def regression_tables(panel: DataFrame, names: DataFrame) -> dict[str, DataFrame
     return {"regression_results": by_state, "regression_results_national": national}
 
 
+def area_crosswalk(spark: SparkSession, folder: str, raw: Callable[[], DataFrame], **settings: object) -> DataFrame:
+    """Exploded crosswalk of these settings (such as start and end year), built from code lists at the first call only."""
+    return reuse_or_build(spark, folder, "crosswalk", settings, lambda: xw.explode_crosswalk(raw()))
+
+
 def build_all(
     spark: SparkSession, census_1872: DataFrame, census_1920: DataFrame,
-    lookup_1872: DataFrame, lookup_1920: DataFrame, crosswalk: DataFrame, out: str,
+    lookup_1872: DataFrame, lookup_1920: DataFrame, crosswalk: DataFrame | Callable[[], DataFrame], out: str,
 ) -> dict[str, str]:
     """Run both flows and store every table under ``out``; returns the paths.
 
+    ``crosswalk`` is exploded, or a function that gives its code lists: then
+    the exploded table is kept under ``out`` and reused by later builds.
     Later stages read the stored comparison panel, so lineage is cut by a
-    written table and a lost executor never repeats the whole flow.
+    written table and a lost executor never repeats the whole flow.  The table
+    ``flow_quality`` holds what was counted on the way.
     """
     paths: dict[str, str] = {}
+    quality = FlowQuality()
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         paths[name] = f"{out.rstrip('/')}/{name}"
-        store.write_panel(df, paths[name])
+        store.write_panel(quality.watch(df, f"table {name}"), paths[name])
         return store.read_panel(spark, paths[name])
 
-    for suffix, table, lookup, plan in (
-        ("", census_1872, lookup_1872, PLAN_1872), ("_1920", census_1920, lookup_1920, PLAN_1920),
+    if not isinstance(crosswalk, DataFrame):
+        crosswalk = area_crosswalk(spark, out.rstrip("/"), crosswalk, start=1872, end=1920)
+    for suffix, table, lookup, plan, year in (
+        ("", census_1872, lookup_1872, PLAN_1872, "1872"), ("_1920", census_1920, lookup_1920, PLAN_1920, "1920"),
     ):
-        for name, df in census_panels(table, lookup, plan).items():
+        for name, df in census_panels(table, lookup, plan, quality, year).items():
             keep(name + suffix, df)
-    compared = {n: keep(n, df) for n, df in comparison_panels(census_1872, census_1920, crosswalk).items()}
+    panels_ = comparison_panels(census_1872, census_1920, crosswalk, quality)
+    compared = {n: keep(n, df) for n, df in panels_.items()}
     for name, df in regression_tables(compared["transformation_panel"], compared_states(spark)).items():
         keep(name, df)
+    report = quality.report(spark)
+    paths["flow_quality"] = f"{out.rstrip('/')}/flow_quality"
+    store.write_panel(report, paths["flow_quality"])
     return paths
 
 

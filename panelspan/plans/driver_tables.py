@@ -9,12 +9,16 @@ sector, quantities are the counts.  Areas group customers by key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspan.functions.guarded import quoted
 from panelspan.operators import compare, crosswalk as xw, naming, panels, regression, rollup
 from panelspan.operators.panels import ExactLayout, Group, Level, PrefixLayout
+from panelspan.operators.quality import FlowQuality
 from panelspan.plans.census import LAYOUT_1872, sector_columns
 from panelspan.sources.tables import read_table
 
@@ -59,7 +63,7 @@ def _count(name: str, *conditions: str) -> Column:
     return F.expr(f"cast(count_if({' AND '.join(conditions)}) as double) AS {quoted(name)}")
 
 
-def wide_orders(orders: DataFrame) -> DataFrame:
+def wide_orders(orders: DataFrame, categories: Sequence[str] = PRIORITIES) -> DataFrame:
     """Wide counts per customer.
 
     The shuffle carries totals and the finest cells (priority x status x sex);
@@ -72,14 +76,14 @@ def wide_orders(orders: DataFrame) -> DataFrame:
     finest = orders.groupBy(F.col("o_custkey").alias("muni_id")).agg(
         _count("soma_g_almas", "true"), _count("soma_l_almas", FREE), _count("soma_e_almas", ENSLAVED),
         _count("soma_g_sabemlereescrever", LITERATE),
-        *[_count(f"soma_g_{p}", f"o_orderpriority = '{p}'") for p in PRIORITIES],
+        *[_count(f"soma_g_{p}", f"o_orderpriority = '{p}'") for p in categories],
         *[_count(f"{prefix}_{p}", f"o_orderpriority = '{p}'", status, sex)
-          for prefix, status, sex in cells for p in PRIORITIES],
+          for prefix, status, sex in cells for p in categories],
     )
     coarser = {"soma_l": ("h_livres", "m_livres"), "soma_e": ("h_escr", "m_escr")}
     return finest.selectExpr("*", *[
         " + ".join(quoted(f"{part}_{p}") for part in parts) + " AS " + quoted(f"{prefix}_{p}")
-        for prefix, parts in coarser.items() for p in PRIORITIES
+        for prefix, parts in coarser.items() for p in categories
     ])
 
 
@@ -224,14 +228,18 @@ def _compared(first: DataFrame, second: DataFrame, key: str, missing_key_matches
         (first, ORDER_LAYOUT, BEFORE), (second, PERIOD_LAYOUT, AFTER), key, YEARS, missing_key_matches)
 
 
-def area_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Comparison of both periods per area, with the area's majority state."""
-    every, customer = orders(spark, sf), read_table(spark, sf, "customer")
+def area_panel(spark: SparkSession, sf: str, quality: FlowQuality | None = None, places: str = "true") -> DataFrame:
+    """Comparison of both periods per area, with the area's majority state.
+
+    ``places`` limits the customers that have an area.
+    """
+    every, customer = orders(spark, sf), read_table(spark, sf, "customer").where(places)
     crosswalk = area_crosswalk(customer)
     a, b = first_period(every), second_period(every)
+    watch = [quality.stage(f"{name} period: areas of codes") if quality else None for name in ("first", "second")]
     compared = _compared(
-        rollup.rollup_by_crosswalk(a, "muni_id", crosswalk, count_columns(a, ORDER_LAYOUT), unique_ids=True),
-        rollup.rollup_by_crosswalk(b, "muni_id", crosswalk, count_columns(b, PERIOD_LAYOUT), unique_ids=True),
+        rollup.rollup_by_crosswalk(a, "muni_id", crosswalk, count_columns(a, ORDER_LAYOUT), unique_ids=True, watch=watch[0]),
+        rollup.rollup_by_crosswalk(b, "muni_id", crosswalk, count_columns(b, PERIOD_LAYOUT), unique_ids=True, watch=watch[1]),
         "code_amc",
     )
     return compared.join(majority_states(customer), "code_amc", "left")
@@ -257,6 +265,32 @@ def prefix_panel(spark: SparkSession, sf: str) -> DataFrame:
 EXPOSURE = f"enslaved_share_{BEFORE}"
 
 
+def keyed_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Comparison per last two digits of the customer key, one of which counts as missing in both periods."""
+    every = orders(spark, sf)
+    key = F.expr("nullif(cast(muni_id % 25 AS string), '7')").alias("state_code")
+    a, b = first_period(every), second_period(every)
+    return _compared(
+        rollup.rollup(a, [key], count_columns(a, ORDER_LAYOUT)), rollup.rollup(b, [key], count_columns(b, PERIOD_LAYOUT)),
+        "state_code", missing_key_matches=True,
+    )
+
+
+#: As many categories as the first census has occupations.
+FULL = tuple(f"k{i:02}" for i in range(38))
+FULL_LAYOUT = replace(
+    ORDER_LAYOUT, broad=FULL, not_working=FULL[30:],
+    occupations=tuple(Group(k, k, "agriculture" if i < 15 else "manufacturing" if i < 22 else "services", (k,)) for i, k in enumerate(FULL)),
+    agriculture=FULL[:15], manufacturing=FULL[15:22],
+)
+
+
+def full_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide counts per customer in all 38 categories and seven prefixes: 266 columns besides the totals."""
+    category = "concat('k', lpad(cast(cast(o_totalprice AS bigint) % 38 AS string), 2, '0'))"
+    return wide_orders(orders(spark, sf).withColumn("o_orderpriority", F.expr(category)), FULL)
+
+
 def moments(spark: SparkSession, sf: str) -> DataFrame:
     return regression.pair_moments(area_panel(spark, sf), EXPOSURE, compare.OUTCOMES, "state_code")
 

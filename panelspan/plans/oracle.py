@@ -127,15 +127,17 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
 
 
-def _group_rows(source: str, keys: str, kinds: tuple[str, ...]) -> str:
+def _group_rows(
+    source: str, keys: str, kinds: tuple[str, ...], groups: Iterable[tuple[str, ...]] = GROUPS, context: dict[str, str] = CONTEXT,
+) -> str:
     """One SELECT per group over a grouped source, stacked."""
     blocks = []
     if "Occupation" in kinds:
-        for gid, label, sector, cat in GROUPS:
+        for gid, label, sector, cat in groups:
             counts = _panel_aggregates(f"cat = '{cat}'")
             blocks.append(
                 f"SELECT {keys}, 'Occupation' AS group_type, '{gid}' AS group_id, '{label}' AS group_label, "
-                f"'{sector}' AS sector, {_select(CONTEXT)}, {_select(counts)} FROM {source} GROUP BY {keys}")
+                f"'{sector}' AS sector, {_select(context)}, {_select(counts)} FROM {source} GROUP BY {keys}")
     if "Sector" in kinds:
         agriculture, manufacturing = _panel_aggregates(AGRICULTURE), _panel_aggregates(MANUFACTURING)
         every = _panel_aggregates("true")
@@ -516,6 +518,38 @@ SHORT_VALUES = [
 STATE_FIT_SELECT = f"SELECT state_code, y_metric, n_amc, {rounded(FIT_VALUES)} FROM inferred"
 
 
+# The same orders in 38 categories.
+FULL_GROUPS = [(f"k{i:02}", f"k{i:02}", "agriculture" if i < 15 else "manufacturing" if i < 22 else "services", f"k{i:02}") for i in range(38)]
+FULL_FACT = FACT.replace("o_orderpriority AS cat", "'k' || lpad(CAST(CAST(trunc(o_totalprice) AS BIGINT) % 38 AS VARCHAR), 2, '0') AS cat")
+FULL_ROWS = _with_shares(_group_rows(
+    "fact", "muni_id", ("Occupation",), FULL_GROUPS, {k: v.replace("cat <> '5-LOW'", "cat < 'k30'") for k, v in CONTEXT.items()}))
+# Areas of three quarters of the customers, as the quality report's flow has them.
+KNOWN = "c_custkey % 4 <> 3"
+KNOWN_AREA = AREA.replace("FROM fact JOIN customer ON muni_id = c_custkey", f"FROM fact JOIN customer ON muni_id = c_custkey WHERE {KNOWN}") \
+    .replace("FROM customer GROUP BY", f"FROM customer WHERE {KNOWN} GROUP BY")
+
+
+def _flow_quality() -> str:
+    def codes(period: str, when: str) -> str:
+        return "".join(
+            f"SELECT '{period} period: areas of codes' AS stage, '{measure}' AS measure, count(DISTINCT o_custkey) AS n "
+            f"FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE {when}{condition} UNION ALL "
+            for measure, condition in (("rows", ""), ("unmatched", f" AND ({KNOWN}) IS NOT TRUE")))
+    fits = f"{KNOWN_AREA}, {LONG}, " + STATE_FITS.split(f"{LONG},", 1)[1]
+    return (f"WITH RECURSIVE {fits} " + codes("first", "o_orderdate < TIMESTAMP '1998-01-01'") + codes("second", "o_orderdate >= TIMESTAMP '1998-01-01'")
+            + "SELECT 'areas', 'rows', count(*) FROM area UNION ALL SELECT 'areas', 'without_state', count(*) FROM area WHERE state_code IS NULL "
+            "UNION ALL SELECT 'state models', 'rows', count(*) FROM inferred UNION ALL SELECT 'state models', 'significant', count(*) FROM inferred WHERE p_value < 0.05 "
+            "UNION ALL SELECT 'national models', 'rows', 2 * count(*) FROM (SELECT y_metric FROM long GROUP BY y_metric "
+            "HAVING count(*) >= 10 AND min(x) < max(x) AND min(y) < max(y))")
+
+
+def _distinct_rollup() -> str:
+    levels = {"nation": "CAST(n_nationkey AS VARCHAR)", "region": "CAST(n_regionkey AS VARCHAR)", "all": "'all'"}
+    return " UNION ALL ".join(
+        f"SELECT '{level}' AS level, {key} AS id, count(DISTINCT l_partkey) AS parts, true AS estimate_is_near "
+        f"FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY {key}" for level, key in levels.items())
+
+
 def statements() -> dict[str, str]:
     context_rates = {k: div(a, b) for k, (a, b) in RATES.items()}
     line_literacy = {"literacy_rate_population": div("pop_literate", "pop_total")}
@@ -527,6 +561,11 @@ def statements() -> dict[str, str]:
         SELECT state_code FROM area WHERE mfg_share_log_ratio IS NOT NULL AND enslaved_share_a IS NOT NULL
         GROUP BY state_code HAVING count(*) >= 5 AND min(enslaved_share_a) < max(enslaved_share_a)
         AND min(mfg_share_log_ratio) < max(mfg_share_log_ratio))) AS named"""
+    forest = f"""WITH RECURSIVE {STATE_FITS}
+            SELECT y_metric, state_code, n_name || ' (n=' || n_amc || ')' AS label, {r('coef', 'coef')},
+                   p_value < 0.05 AS significant,
+                   CAST(row_number() OVER (PARTITION BY y_metric ORDER BY coef, state_code, y_metric) AS INTEGER) AS position
+            FROM inferred LEFT JOIN nation ON state_code = CAST(n_nationkey AS VARCHAR)"""
     return {
         "wide_counts": f"WITH {WIDE} SELECT muni_id, {rounded(WIDE_COLUMNS)} FROM wide",
         "denominators": f"WITH {FACT} SELECT muni_id, {rounded([*CONTEXT, *RATES])} FROM (SELECT *, "
@@ -535,6 +574,7 @@ def statements() -> dict[str, str]:
                               f"{_select(line_literacy)} FROM (SELECT muni_id, {_select(LINE_CONTEXT)} FROM line GROUP BY muni_id))",
         "occupation_panel": _panel("Occupation"),
         "sector_panel": _panel("Sector"),
+        "panel_store_update": _panel("Sector"),
         "sector_panel_exact": f"WITH {LINES} SELECT muni_id, {PANEL_TEXTS}, {rounded(LINE_VALUES)} "
                               f"FROM ({_line_rows('line', 'muni_id')})",
         "parent_rollup": f"WITH {FACT}, {PLACES} SELECT {STATE_KEYS}, {rounded(WIDE_COLUMNS)} FROM (SELECT {STATE_KEYS}, "
@@ -551,6 +591,20 @@ def statements() -> dict[str, str]:
         "sector_wide_exact": _wide_panel(_line_rows("line", "muni_id"), LINES, "muni_id", SECTORS, LINE_MEASURES),
         "occupation_wide": _wide_panel(_with_shares(_group_rows("fact", "muni_id", ("Occupation",))), FACT,
                                        "muni_id", [g[0] for g in GROUPS], WIDE_MEASURES),
+        "occupation_panel_full": f"WITH {FULL_FACT} SELECT muni_id, {PANEL_TEXTS}, {rounded(PANEL_VALUES)} FROM ({FULL_ROWS})",
+        "occupation_wide_full": _wide_panel(FULL_ROWS, FULL_FACT, "muni_id", [g[0] for g in FULL_GROUPS], WIDE_MEASURES),
+        "category_dictionary": """
+            WITH parts AS (SELECT concat_ws(' ', p_name, p_brand, p_type) AS description, count(*) AS parts FROM part GROUP BY 1),
+            patterns AS (SELECT unnest(string_split(p_name, ' ')) AS pattern FROM part UNION SELECT p_brand FROM part)
+            SELECT pattern, CAST(sum(parts) AS BIGINT) AS parts, count(*) AS descriptions
+            FROM patterns JOIN parts ON contains(description, pattern) WHERE pattern <> '' GROUP BY pattern""",
+        "crosswalk_cache": "SELECT c_custkey % 300 AS code_amc, CAST(c_custkey AS VARCHAR) AS muni_code FROM customer",
+        "flow_quality": _flow_quality(),
+        "distinct_rollup": _distinct_rollup(),
+        "missing_keys": "WITH " + _compared("state_code", "SELECT CASE WHEN muni_id % 25 = 7 THEN '-' ELSE CAST(muni_id % 25 AS VARCHAR) END AS state_code, * FROM fact")
+        + f""" SELECT nullif(state_code, '-') AS state_code, coalesce(n_name, 'Unit ' || nullif(state_code, '-'), 'Unknown') AS geography_name,
+            {rounded(('pop_total_a', 'pop_total_b', *OUTCOMES))}
+            FROM compared LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 1) ON state_code = CAST(n_nationkey AS VARCHAR)""",
         "normalised_names": f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS doc_code, {_folded('text')} AS folded FROM documents",
         "category_groups": f"""SELECT l_returnflag, group_id, {r('sum(l_quantity)', 'n_total')}
             FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -589,11 +643,8 @@ def statements() -> dict[str, str]:
         "fe_regression": _national_fits(
             f"{WITHIN_FITS}, fits AS (SELECT * FROM within)",
             f"SELECT model, y_metric, n_obs, {rounded(FIT_VALUES)} FROM inferred"),
-        "regression_table": f"""WITH RECURSIVE {STATE_FITS}
-            SELECT y_metric, state_code, n_name || ' (n=' || n_amc || ')' AS label, {r('coef', 'coef')},
-                   p_value < 0.05 AS significant,
-                   CAST(row_number() OVER (PARTITION BY y_metric ORDER BY coef, state_code, y_metric) AS INTEGER) AS position
-            FROM inferred LEFT JOIN nation ON state_code = CAST(n_nationkey AS VARCHAR)""",
+        "regression_table": forest,
+        "regression_refresh": forest,
         "national_table": _national_fits(
             f"{POOLED_FITS}, {WITHIN_FITS}, fits AS (SELECT * FROM pooled UNION ALL SELECT * FROM within)",
             f"""SELECT model, y_metric, {LABEL_CASE} AS label, {r('coef', 'coef')}, p_value < 0.05 AS significant,
@@ -635,6 +686,18 @@ def statements() -> dict[str, str]:
         "top15_change": f"""WITH {AREA} SELECT CAST(code_amc AS VARCHAR) AS unit,
             CAST(round_even(mfg_share_log_ratio, 4) AS VARCHAR) AS metric FROM area
             WHERE mfg_share_log_ratio IS NOT NULL ORDER BY mfg_share_log_ratio DESC, code_amc LIMIT 15""",
+        "top15_state_change": "WITH " + _compared(
+            "state_code", "SELECT substr(CAST(muni_id AS VARCHAR), 1, 2) AS state_code, * FROM fact")
+        + """ SELECT state_code AS unit, CAST(round_even(mfg_share_log_ratio, 4) AS VARCHAR) AS metric FROM compared
+            WHERE mfg_share_log_ratio IS NOT NULL ORDER BY mfg_share_log_ratio DESC, state_code LIMIT 15""",
+        "regression_map": f"""WITH RECURSIVE {STATE_FITS}
+            SELECT state_code AS code, n_regionkey AS shape, y_metric, n_amc, {r('coef', 'map_value')}, true AS is_diverging
+            FROM inferred JOIN nation ON state_code = CAST(n_nationkey AS VARCHAR) WHERE y_metric = 'mfg_share_change_pp' AND n_nationkey <> 3""",
+        "slice_batch": f"""WITH {PANEL} SELECT r_name AS selection, geography_level, group_type, group_id, geography_id,
+            {rounded(('n_total', 'share_of_national_occupations'))}
+            FROM panel JOIN region ON geography_level = CASE WHEN r_regionkey % 2 = 0 THEN 'State' ELSE 'Municipality' END
+              AND group_type = CASE WHEN r_regionkey < 3 THEN 'Occupation' ELSE 'Sector' END
+              AND group_id = coalesce(CASE r_regionkey WHEN 0 THEN 'urgent' WHEN 1 THEN 'medium' WHEN 3 THEN 'manufacturing' END, group_id)""",
         "metric_domain": f"""WITH {AREA} SELECT true AS diverging, {r('-max(abs(mfg_share_change_pp))', 'low')},
             {r('max(abs(mfg_share_change_pp))', 'high')}, 'mfg_share_change_pp' AS metric FROM area
             UNION ALL SELECT false, {r('min(literacy_rate_b)', 'low')}, {r('max(literacy_rate_b)', 'high')},

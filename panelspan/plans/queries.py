@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,11 @@ from pyspark.sql import types as T
 
 from panelspan.functions.guarded import quoted
 from panelspan.functions.text import folded, id_code
-from panelspan.operators import crosswalk as xw, naming, panels, quantiles, regression, reshape, rollup, serving
+from panelspan.operators import compare, crosswalk as xw, dictionary, naming, panels, quantiles, regression, reshape, rollup, serving, sketches
+from panelspan.operators.quality import FlowQuality
 from panelspan.plans import census, driver_tables as b
-from panelspan.session import shared_folder
 from panelspan.sources import export, store
+from panelspan.sources.stage import fresh_path, written
 from panelspan.sources.tables import read_table
 
 DIGITS = 6
@@ -137,6 +137,17 @@ def occupation_wide(spark, sf):
         b.order_counts(spark, sf), ["muni_id"], b.ORDER_LAYOUT, (panels.OCCUPATION,)))
 
 
+@query
+def occupation_panel_full(spark, sf):
+    """All 38 groups in seven prefixes, as wide as the first census."""
+    return tidy(panels.occupation_panel(b.full_counts(spark, sf), ["muni_id"], b.FULL_LAYOUT))
+
+
+@query
+def occupation_wide_full(spark, sf):
+    return tidy(reshape.wide_panel(b.full_counts(spark, sf), ["muni_id"], b.FULL_LAYOUT, (panels.OCCUPATION,)))
+
+
 # ---- names -----------------------------------------------------------------
 
 @query
@@ -161,6 +172,17 @@ def category_groups(spark, sf):
     return tidy(joined.groupBy("l_returnflag", "group_id").agg(F.sum("quantity").alias("n_total")))
 
 
+@query
+def category_dictionary(spark, sf):
+    """Parts per word or brand that their description contains; the patterns are a table."""
+    parts = read_table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("description"))
+    names = read_table(spark, sf, "part", columns=["p_name", "p_brand"])
+    patterns = names.select(F.explode(F.split("p_name", " ")).alias("pattern")).union(names.select("p_brand"))
+    found = dictionary.contained(parts, "description", patterns, "pattern")
+    per_value = parts.groupBy(F.col("description").alias("value")).agg(F.count("*").alias("parts"))
+    return found.join(per_value, "value").groupBy("pattern").agg(F.sum("parts").alias("parts"), F.count("*").alias("descriptions"))
+
+
 @query
 def state_lookup(spark, sf):
     """Fixed state table joined to the customers' nations, unmatched kept."""
@@ -195,6 +217,44 @@ def crosswalk_rollup(spark, sf):
         counts, "muni_id", crosswalk, b.count_columns(counts, b.ORDER_LAYOUT)))
 
 
+@query
+def crosswalk_cache(spark, sf):
+    """The exploded crosswalk of a configuration: built by the first call, read by the second."""
+    folder, settings = fresh_path(spark, "crosswalk-cache"), {"start": 1872, "end": 1920}
+    census.area_crosswalk(spark, folder, lambda: b.crosswalk_lists(spark, sf), **settings)
+    return census.area_crosswalk(spark, folder, lambda: b.crosswalk_lists(spark, sf).limit(0), **settings)
+
+
+@query
+def flow_quality(spark, sf):
+    """What the jobs of the comparison flow counted on their way; a quarter of the customers has no area."""
+    quality = FlowQuality()
+    panel = b.area_panel(spark, sf, quality, "c_custkey % 4 <> 3")
+    panel = written(quality.watch(panel, "areas", without_state=F.col("state_code").isNull()), "areas")
+    moments = regression.pair_moments(panel, b.EXPOSURE, compare.OUTCOMES, "state_code")
+    by_state = quality.watch(regression.group_fits(moments, "state_code"), "state models", significant=F.col("p_value") < 0.05)
+    written(by_state, "state-models")
+    written(quality.watch(regression.national_fits(moments, "state_code"), "national models"), "national-models")
+    return quality.report(spark)
+
+
+@query
+def distinct_rollup(spark, sf):
+    """Distinct parts sold per nation, region and in all, exactly, and whether merged sketches come close."""
+    lines = read_table(spark, sf, "lineitem", columns=["l_partkey", "l_suppkey"]).distinct()
+    nations = read_table(spark, sf, "nation", columns=["n_nationkey", "n_regionkey"])
+    placed = lines.join(read_table(spark, sf, "supplier", columns=["s_suppkey", "s_nationkey"]), F.col("l_suppkey") == F.col("s_suppkey")) \
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    finest = written(sketches.distinct_sketches(placed, ["n_nationkey", "n_regionkey"], "l_partkey"), "sketches")
+    keys = {"nation": F.col("n_nationkey").cast("string"), "region": F.col("n_regionkey").cast("string"), "all": F.lit("all")}
+    exact = placed.select("l_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("id")) for k, c in keys.items()])).alias("at")) \
+        .groupBy("at.level", "at.id").agg(F.count_distinct("l_partkey").alias("parts"))
+    merged = reshape.stack([
+        sketches.estimated(sketches.merged_sketches(finest, [F.lit(k).alias("level"), c.alias("id")])) for k, c in keys.items()])
+    near = F.abs(F.col("estimate") - F.col("parts")) <= F.greatest(F.col("parts") * sketches.error_bound(), F.lit(1))
+    return exact.join(merged, ["level", "id"]).select("level", "id", "parts", near.alias("estimate_is_near"))
+
+
 def _label_crosswalk(spark, sf):
     return read_table(spark, sf, "labels").select(
         F.col("quality").alias("code_amc"), F.col("doc_id").alias("muni_code"))
@@ -239,6 +299,15 @@ def state_two_period(spark, sf):
     return tidy(b.prefix_panel(spark, sf))
 
 
+@query
+def missing_keys(spark, sf):
+    """Two periods with a missing key in both, and names that fall back to the code where the lookup has none."""
+    named = b.state_names(spark, sf).where("state_code % 4 <> 1")
+    panel = b.keyed_periods(spark, sf).join(named, "state_code", "left")
+    name = F.coalesce("state_name", F.concat(F.lit("Unit "), F.col("state_code")), F.lit("Unknown"))
+    return tidy(panel.select("state_code", name.alias("geography_name"), f"pop_total_{b.BEFORE}", f"pop_total_{b.AFTER}", *compare.OUTCOMES))
+
+
 # ---- regression ------------------------------------------------------------
 
 @query
@@ -264,7 +333,11 @@ def fe_regression(spark, sf):
 @query
 def regression_table(spark, sf):
     """State fits of every metric, named, flagged and ranked."""
-    fits = regression.group_fits(b.moments(spark, sf), "state_code")
+    return _forest(spark, sf, b.moments(spark, sf))
+
+
+def _forest(spark, sf, moments):
+    fits = regression.group_fits(moments, "state_code")
     named = fits.join(b.state_names(spark, sf), "state_code", "left")
     label = F.format_string("%s (n=%d)", F.col("state_name"), F.col("n_amc"))
     table = regression.forest_table(named, ["y_metric"], label)
@@ -281,6 +354,14 @@ def national_table(spark, sf):
     return table.select("model", "y_metric", "label", "coef", "significant", "position")
 
 
+@query
+def regression_refresh(spark, sf):
+    """As ``regression_table``, from stored moments of half the areas merged with those of the other half."""
+    panel = written(b.area_panel(spark, sf).select("code_amc", "state_code", b.EXPOSURE, *compare.OUTCOMES), "areas")
+    halves = [written(regression.pair_moments(panel.where(f"code_amc % 2 = {half}"), b.EXPOSURE, compare.OUTCOMES, "state_code"), "moments") for half in (0, 1)]
+    return _forest(spark, sf, regression.merged_moments(halves, "state_code"))
+
+
 @query
 def scatter_data(spark, sf):
     panel = b.area_panel(spark, sf)
@@ -368,6 +449,37 @@ def top15_change(spark, sf):
     return serving.change_top_table(view, "code_amc", metric)
 
 
+@query
+def top15_state_change(spark, sf):
+    """The same table over states."""
+    panel = b.prefix_panel(spark, sf)
+    metric = serving.registered(census.change_registry(b.BEFORE, b.AFTER), "mfg_share_log_ratio", panel)
+    return serving.change_top_table(serving.metric_view(panel, metric), "state_code", metric)
+
+
+@query
+def regression_map(spark, sf):
+    """State coefficients of one outcome for the drawable states."""
+    fits = regression.group_fits(b.moments(spark, sf), "state_code")
+    shapes = read_table(spark, sf, "nation").where("n_nationkey <> 3").select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_regionkey").alias("shape"))
+    view = serving.regression_map(fits, shapes, "mfg_share_change_pp")
+    return tidy(view.select("code", "shape", "y_metric", "n_amc", "map_value", "is_diverging"))
+
+
+@query
+def slice_batch(spark, sf):
+    """Five slices of the stored panel at once, one per region."""
+    path = fresh_path(spark, "panel-store")
+    store.write_panel(b.order_panel(spark, sf), path)
+    selections = read_table(spark, sf, "region").selectExpr(
+        "r_name AS selection", "if(r_regionkey % 2 = 0, 'State', 'Municipality') AS geography_level",
+        "if(r_regionkey < 3, 'Occupation', 'Sector') AS group_type",
+        "CASE r_regionkey WHEN 0 THEN 'urgent' WHEN 1 THEN 'medium' WHEN 3 THEN 'manufacturing' END AS group_id")
+    rows = serving.slice_batch(store.read_panel(spark, path), selections)
+    return tidy(rows.select("selection", "geography_level", "group_type", "group_id", "geography_id", "n_total", "share_of_national_occupations"))
+
+
 @query
 def metric_domain(spark, sf):
     domains = [
@@ -404,8 +516,20 @@ def json_records(spark, sf):
 @query
 def panel_store(spark, sf):
     """The panel written to the store; a slice read back from it."""
-    path = f"{shared_folder(spark)}/panel-store-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "panel-store")
     store.write_panel(b.order_panel(spark, sf), path)
     rows = serving.panel_slice(store.read_panel(spark, path), "Municipality", "services", panels.SECTOR)
     return tidy(rows.select("geography_level", "group_type", "group_id", "geography_id", "n_total",
                             "share_of_all_occupations", "share_of_national_occupations"))
+
+
+@query
+def panel_store_update(spark, sf):
+    """Counts of earlier orders stored, later ones added to the folders they touch; the sector panel of the result."""
+    every, folder = b.orders(spark, sf), F.pmod("muni_id", F.lit(8)).alias("part")
+    halves = [b.wide_orders(every.where(when)) for when in (f"o_orderdate < {b.CUT}", f"o_orderdate >= {b.CUT}")]
+    first, second = [half.select("*", folder) for half in halves]
+    path, counts = fresh_path(spark, "count-store"), [c for c in halves[0].columns if c != "muni_id"]
+    store.write_panel(first, path, ["part"], ["muni_id"])
+    store.update_counts(spark, path, second, ["muni_id"], "part", counts)
+    return tidy(panels.sector_panel(store.read_panel(spark, path).drop("part"), ["muni_id"], b.ORDER_LAYOUT))

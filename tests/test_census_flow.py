@@ -48,8 +48,9 @@ def stored(spark, tmp_path_factory):
     crosswalk = tables["second"].select(
         F.floor(F.col("muni_malha_id") / 2).alias("code_amc"),
         F.col("muni_malha_id").cast("string").alias("muni_code"))
+    lists = crosswalk.where("muni_code <> '1300001'").groupBy("code_amc").agg(F.concat_ws(", ", F.collect_list("muni_code")).alias("list_code_muni_2010"))
     paths = c.build_all(spark, tables["first"], tables["second"], lookup("code_muni_1872", 1872),
-                        lookup("code_muni_1920", 1920), crosswalk, f"{base}/build")
+                        lookup("code_muni_1920", 1920), lambda: lists, f"{base}/build")
     c.export_all(spark, paths, f"{base}/docs")
     return {name: spark.read.parquet(path) for name, path in paths.items()}, f"{base}/docs", base
 
@@ -63,10 +64,33 @@ def test_sizes(stored):
         "unmatched_1920": (1, 2), "dashboard_panel_1920": ((40 + 6) * 3, 38),
         "mun_sector_wide_1920": (40, 6 + 1 + 12), "state_sector_wide_1920": (6, 3 + 1 + 12),
         "transformation_panel": (20, 42), "state_transformation_panel": (5, 41),
-        "regression_results": (0, 10), "regression_results_national": (22, 9),
+        "regression_results": (0, 10), "regression_results_national": (22, 9), "flow_quality": (24, 3),
     }
 
 
+def test_quality_of_the_flow(stored):
+    tables, _, _ = stored
+    counts = {(r.stage, r.measure): r.n for r in tables["flow_quality"].collect()}
+    assert counts["census 1872: geography", "rows"] == 40 and counts["census 1872: geography", "unmatched"] == 1
+    assert counts["census 1872: kept", "rows"] == 39 and counts["census 1920: kept", "rows"] == 40
+    assert counts["comparison 1872: areas of codes", "unmatched"] == 1 and counts["comparison 1872: areas of codes", "rows"] == 40
+    assert counts["comparison 1920: areas of codes", "rows"] == 41
+    for name, df in tables.items():
+        if name != "flow_quality":
+            assert counts[f"table {name}", "rows"] == df.count(), name
+
+
+def test_crosswalk_is_built_once(spark, tmp_path):
+    built = []
+
+    def raw():
+        built.append(1)
+        return spark.createDataFrame([(1, "a, b"), (2, "c")], "code_amc long, list_code_muni_2010 string")
+
+    for start, times in ((1872, 1), (1872, 1), (1900, 2)):
+        assert c.area_crosswalk(spark, str(tmp_path), raw, start=start, end=1920).count() == 3 and len(built) == times
+
+
 def test_state_universes_differ(stored):
     """Panels drop unmatched rows, the comparison uses every row by id prefix."""
     tables, _, _ = stored

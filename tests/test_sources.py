@@ -1,5 +1,7 @@
 import json
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from helpers import rows
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspan.operators.serving import panel_slice
 from panelspan.sources import export, store
-from panelspan.sources.tables import lookup_table, read_table, reuse_or_build
+from panelspan.sources.tables import lookup_table, publish, read_table, reuse_or_build
 
 
 def lines(path):
@@ -39,11 +41,53 @@ def test_build_once(spark, tmp_path):
     for config, times in (({"a": 1}, 1), ({"a": 1}, 1), ({"a": 2}, 2)):
         assert reuse_or_build(spark, str(tmp_path), "crosswalk", config, build).count() == 4
         assert len(built) == times
-    # A write that never finished is not reused.
-    for folder in os.listdir(tmp_path):
-        os.remove(f"{tmp_path}/{folder}/_SUCCESS")
-    reuse_or_build(spark, str(tmp_path), "crosswalk", {"a": 1}, build)
-    assert len(built) == 3
+
+
+def test_a_failed_build_leaves_nothing_behind(spark, tmp_path):
+    with pytest.raises(Exception):
+        reuse_or_build(spark, str(tmp_path), "t", {}, lambda: spark.range(4).select(F.raise_error(F.lit("broken")).alias("x")))
+    assert reuse_or_build(spark, str(tmp_path), "t", {}, lambda: spark.range(4)).count() == 4
+
+
+def test_one_of_two_builders_wins(spark, tmp_path):
+    """Both find nothing, both build; the second to finish reads what the first published."""
+    ready = threading.Barrier(2)
+
+    def build(n):
+        def frame():
+            ready.wait(60)
+            return spark.range(n)
+        return reuse_or_build(spark, str(tmp_path), "t", {"a": 1}, frame).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(build, (4, 5)))
+    assert found[0] == found[1] and found[0] in (4, 5)
+    assert len(os.listdir(tmp_path)) == 1
+    assert len(os.listdir(tmp_path / os.listdir(tmp_path)[0])) > 1 and not any(n.startswith(".t") for n in os.listdir(tmp_path / os.listdir(tmp_path)[0]))
+
+
+def test_publishing_never_replaces(spark, tmp_path):
+    for n in (1, 2):
+        spark.range(n).write.parquet(f"{tmp_path}/aside{n}")
+    assert publish(spark, f"{tmp_path}/aside1", f"{tmp_path}/t") and not publish(spark, f"{tmp_path}/aside2", f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1 and os.listdir(tmp_path) == ["t"]
+    with pytest.raises(Exception):
+        publish(spark, f"{tmp_path}/missing", f"{tmp_path}/other")
+
+
+def test_update_rewrites_touched_folders_only(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    first = spark.range(20).selectExpr("id", "id % 4 AS part", "1D AS n", "if(id = 1, NULL, 2D) AS `m-x y`")
+    store.write_panel(first, path, ["part"], ["id"])
+    before = {p: os.listdir(f"{path}/{p}") for p in os.listdir(path) if p.startswith("part=")}
+    more = spark.createDataFrame([(1, 1, 5.0, 7.0), (1, 1, 1.0, 1.0), (101, 1, 3.0, 4.0)], "id long, part long, n double, `m-x y` double")
+    store.update_counts(spark, path, more, ["id"], "part", ["n", "m-x y"])
+    after = {p: os.listdir(f"{path}/{p}") for p in os.listdir(path) if p.startswith("part=")}
+    assert {p for p in after if after[p] != before.get(p)} == {"part=1"}
+    found = {r.id: (r.n, r["m-x y"]) for r in store.read_panel(spark, path).collect()}
+    assert len(found) == 21 and found[1] == (7.0, 8.0) and found[101] == (3.0, 4.0) and found[5] == (1.0, 2.0)
+    store.update_counts(spark, path, more.limit(0), ["id"], "part", ["n", "m-x y"])
+    assert store.read_panel(spark, path).count() == 21
 
 
 def test_columnar_document_keeps_places(spark, tmp_path):
