@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspan.llm import common
+from panelspan.operators.ranking import Ranked
 
 BLOCK = 1024
 CHUNK = 1024                # anchors of a chunk
@@ -195,20 +196,10 @@ def blocks(points: DataFrame, every: int = 50) -> DataFrame:
     return sorted_.mapInArrow(cut, "block long, at int, size int, label int, vec_id long, v array<long>, low array<long>, high array<long>, near_id array<long>, near_score array<long>")
 
 
-def _chunked(anchors: DataFrame, n: int) -> DataFrame:
-    """Adds ``chunk``: anchors in the blocks' order, at most ``CHUNK`` of one vector length each."""
-    names = anchors.columns
-
-    def number(batches):
-        chunk = TaskContext.get().partitionId() << 24
-        for group in _groups(batches, ["size"], 2 * CHUNK):
-            for a in range(0, group.num_rows, CHUNK):
-                table = group.slice(a, CHUNK)
-                yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names), pa.array(np.full(table.num_rows, chunk))], [*names, "chunk"])
-                chunk += 1
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in anchors.schema)
-    return anchors.repartitionByRange(max(1, math.ceil(n / (4 * CHUNK))), "size", "aid").sortWithinPartitions("size", "aid").mapInArrow(number, kinds + ", chunk long")
+def _chunked(anchors: DataFrame) -> DataFrame:
+    """Adds ``chunk``: anchors in the blocks' order, at most ``CHUNK`` of one vector length each, however they are partitioned."""
+    number = F.floor((F.col("place") - 1) / CHUNK)
+    return Ranked(anchors, "aid").with_rank("place").withColumn("chunk", F.shiftleft(F.col("size").cast("long"), 40) + number).drop("place")
 
 
 def _needed(anchors: DataFrame, zones: DataFrame, chosen) -> DataFrame:
@@ -297,12 +288,11 @@ def mine(vectors: DataFrame, every: int = 50) -> DataFrame:
     n_zones = zones.count()
     anchors = candidates.where(f"vec_id % {every} = 0").withColumn("aid", F.col("block") * 2048 + F.col("at")) \
         .select("aid", "size", "label", "vec_id", "v", "near_id", "near_score")
-    n = anchors.count()
-    if not n:
+    if not anchors.limit(1).count():
         return spark.createDataFrame([], _OUT)
     parts = math.ceil(n_zones / ZONES)
     zones = zones.withColumn("part", F.col("size").cast("long") * parts + F.pmod(F.xxhash64("block"), F.lit(parts)))    # of one length each
-    anchors = common.staged(_chunked(anchors, n), "anchors")
+    anchors = common.staged(_chunked(anchors), "anchors")
 
     def positives(least, most, same, aid, block, near):
         floor = np.array([x[-1] if len(x) == POSITIVES else -_FAR for x in near])
