@@ -16,33 +16,37 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.sources.stage import written
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_LABELS = ("Q1 (lowest)", "Q2", "Q3", "Q4 (highest)")
-#: Bits left after each scan.  A histogram has at most 2**16, then 2**20 cells per cell looked into.
-LEVELS = (48, 28, 8, 0)
+#: Bits left after each scan: a histogram has at most 2**20 cells, for each cell looked into.
+LEVELS = (44, 24, 4, 0)
 #: Cells with no more rows than this are resolved to single values at once.
 DIRECT = 1 << 20
 _INFINITE = 2047 << 52
 _NAN = (1 << 63) - 1
 
 
-def ordered_bits(value: str) -> str:
-    """SQL for the order-preserving long of a double: its bits, negated for negative values; NaN is the greatest.
+def with_bits(values: DataFrame) -> DataFrame:
+    """(v, bits): the order-preserving long of a double, its bits negated for negative values; NaN is the greatest.
 
     Both zeros are 0.  The exponent comes from ``log2`` and is corrected by
     comparing with the exact powers on both sides, so every step is exact.
+    Each step is a projection of its own, so that none is computed twice.
     """
-    size = f"abs({value})"
-    about = f"greatest(least(coalesce(floor(log2({size})), -1022), 1023), -1022)"
-    exponent = f"({about} + if({size} >= 2 * pow(2D, {about}), 1, 0) - if({about} > -1022 AND {size} < pow(2D, {about}), 1, 0))"
-    bits = f"(({exponent} + 1022) * {1 << 52}L + cast({size} / pow(2D, {exponent}) * {float(1 << 52)}D AS bigint))"
-    return (f"CASE WHEN isnan({value}) THEN {_NAN}L WHEN {value} = double('infinity') THEN {_INFINITE}L "
-            f"WHEN {value} = double('-infinity') THEN {-_INFINITE}L WHEN {value} < 0 THEN -{bits} ELSE {bits} END")
+    return (
+        values.selectExpr("v", "abs(v) AS size")
+        .selectExpr("v", "size", "greatest(least(coalesce(floor(log2(size)), -1022), 1023), -1022) AS about")
+        .selectExpr("v", "size", "about", "pow(2D, about) AS power")
+        .selectExpr("v", "size", "about + if(size >= 2 * power, 1, 0) - if(about > -1022 AND size < power, 1, 0) AS exponent")
+        .selectExpr("v", f"(exponent + 1022) * {1 << 52}L + try_cast(size / pow(2D, exponent) * {float(1 << 52)}D AS bigint) AS finite")
+        .selectExpr("v", f"CASE WHEN isnan(v) THEN {_NAN}L WHEN v = double('infinity') THEN {_INFINITE}L "
+                         f"WHEN v = double('-infinity') THEN {-_INFINITE}L WHEN v < 0 THEN -finite ELSE finite END AS bits")
+    )
 
 
 def double_of(bits: int) -> float:
@@ -70,7 +74,7 @@ def order_statistics(values: DataFrame, ranks: Sequence[int] | None = None, prob
     quantile's position.  One row per wanted rank reaches the driver after a
     scan.
     """
-    keyed = values.where("v IS NOT NULL").selectExpr("v", f"{ordered_bits('v')} AS bits")
+    keyed = with_bits(values.where("v IS NOT NULL"))
     cells = [(-_NAN - 1, _NAN, 0)]                                 # least and greatest long, rows before
     wanted: dict[int, int] = {}
     found: dict[int, float] = {}
@@ -78,23 +82,21 @@ def order_statistics(values: DataFrame, ranks: Sequence[int] | None = None, prob
     for shift in LEVELS:
         shift = 0 if single else shift
         looked = keyed if n is None else keyed.where(" OR ".join(f"({_within(a, b)})" for a, b, _ in cells))
-        cell = F.shiftright("bits", shift)
-        histogram = looked.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"))
+        histogram = looked.groupBy(F.shiftright("bits", shift).alias("cell")).agg(F.count("*").alias("rows"))
         if n is None:                                              # one cell: everything
-            histogram = histogram.withColumn("of", F.lit(0)).withColumn("base", F.lit(0).cast("long"))
+            histogram = histogram.selectExpr("cell", "rows", "0 AS of", "0L AS base")
         else:
-            low = F.shiftleft("cell", shift)
-            of = reduce(lambda c, k: c.when(low.between(cells[k][0], cells[k][1]), k), range(len(cells)), F.when(F.lit(False), 0))
-            histogram = histogram.withColumn("of", of).withColumn("base", F.element_at(F.array(*[F.lit(c[2]).cast("long") for c in cells]), F.col("of") + 1))
-        upto = F.col("base") + F.sum("rows").over(Window.partitionBy("of").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-        counted = histogram.select("cell", "rows", upto.alias("upto"))
+            of = " ".join(f"WHEN shiftleft(cell, {shift}) BETWEEN {a}L AND {b}L THEN {k}" for k, (a, b, _) in enumerate(cells))
+            base = ", ".join(f"{before}L" for _, _, before in cells)
+            histogram = histogram.selectExpr("cell", "rows", f"CASE {of} END AS of").selectExpr("*", f"array({base})[of] AS base")
+        counted = histogram.selectExpr("cell", "rows", "base + sum(rows) OVER (PARTITION BY of ORDER BY cell ROWS UNBOUNDED PRECEDING) AS upto")
         if n is None:
-            total = F.max("upto").over(Window.partitionBy())
-            places = [f"cast(floor((n - 1) * {float(p)!r}D) AS bigint), cast(ceil((n - 1) * {float(p)!r}D) AS bigint)" for p in probabilities]
-            asked = "array_distinct(array(" + ", ".join([*places, *[f"{r}L" for r in ranks or ()]]) + "))"
-            counted = counted.withColumn("n", total).withColumn("asked", F.expr(asked))
+            places = [f"cast({f}((n - 1) * {float(p)!r}D) AS bigint)" for p in probabilities for f in ("floor", "ceil")]
+            asked = ", ".join([*places, *[f"{r}L" for r in ranks or ()]])
+            counted = counted.selectExpr("*", "max(upto) OVER () AS n")
         else:
-            counted = counted.withColumn("n", F.lit(n)).withColumn("asked", F.array(*[F.lit(r).cast("long") for r in wanted]))
+            counted, asked = counted.selectExpr("*", f"{n}L AS n"), ", ".join(f"{r}L" for r in wanted)
+        counted = counted.selectExpr("*", f"array_distinct(array({asked})) AS asked")
         hit = counted.selectExpr("cell", "rows", "upto", "n", "filter(asked, r -> r >= upto - rows AND r < upto) AS here").where("size(here) > 0")
         rows = hit.collect()
         if not rows:

@@ -60,7 +60,7 @@ def test_bits_keep_the_order_of_doubles(spark):
     any_bits = [struct.unpack("<d", struct.pack("<q", int(b)))[0] for b in rng.integers(-2**63, 2**63 - 1, 20_000)]
     powers = [2.0**e * f for e in range(-1074, 1024) for f in (1.0, 1 + 2**-52, 1 - 2**-53) if 2.0**e * f < math.inf]
     values = [*any_bits, *powers, *[-p for p in powers], 0.0, -0.0, math.inf, -math.inf, math.nan, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
-    got = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", f"{q.ordered_bits('v')} AS bits").collect()
+    got = q.with_bits(spark.createDataFrame([(v,) for v in values], "v double")).collect()
     assert len(got) == len(values) and all(r.bits == bits_of(r.v) for r in got)
     assert all(q.double_of(r.bits) == r.v for r in got if r.v == r.v)
 
