@@ -2,7 +2,7 @@
 
 The vocabulary's own library encodes every distinct word once per worker process; texts are cut into words with numpy
 (letters, digits, other signs, each with one leading space, and white space) and their ids are gathered from the words
-seen so far.  Texts with an apostrophe (contractions) or characters beyond Latin go through the library whole.  Words
+seen so far.  Texts with an apostrophe (contractions), characters beyond Latin or an added token's content go through the library whole.  Words
 are recognised by a 64-bit hash.
 """
 
@@ -64,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # texts that hold one of the library's added tokens go through it whole
+        self.added = [t.content.encode("utf-8") for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.model = self.whole.model
         self.size = self.whole.get_vocab_size()
         self.alphabet, self.kinds = _alphabet(), _kinds()
@@ -145,6 +146,12 @@ class Encoder:
         blank = np.flatnonzero(part[:-1] == 0xC2)
         odd_at = np.concatenate([odd_at, blank[np.isin(part[blank + 1], [0x85, 0xA0])]])
         odd = np.zeros(n, bool)
+        raw = part.tobytes() if self.added else b""
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                odd[np.searchsorted(offsets - offsets[0], at, side="right") - 1] = True
+                at = raw.find(content, at + 1)
         odd[np.searchsorted(offsets - offsets[0], odd_at, side="right") - 1] = True
         plain = np.flatnonzero(~odd & (length > 0))
         counts = np.zeros(n, np.int64)

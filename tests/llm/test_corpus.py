@@ -1,17 +1,20 @@
 """Corpus operators against brute force on small tables with the awkward cases in them."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from panelspan.llm import (
     components, decontaminate, html_extract, langid, line_dedup, minhash, packing, secret_scan, suffix_dedup, token_files, tokens, vector_links)
+from panelspan.session import shared_folder
 
 ODD = [(1, "a b c d e f g"), (2, None), (3, ""), (4, "   \n \t "), (1, "a b c d e f g"), (None, "x y z"), (7, "é" * 3000 + " 日本 it's")]
 SCHEMA = "doc_id long, text string, row long, spans string, bucket int"
@@ -86,6 +89,26 @@ def test_line_dedup(spark, random_rows):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and out.count() == len(random_rows)
 
 
+def test_lines_of_repeated_doc_ids(spark):
+    """Lines at the same place are not earlier than each other; extra columns may have any name."""
+    similar = [" ".join(["a b c d e f g h i j".split()[k] for k in range(10) if k != gone]) for gone in range(3)]
+    rows = [(1, similar[0]), (1, similar[1]), (1, similar[2]), (2, similar[0] + "\nother line here"), (0, "x y")]
+    docs = spark.createDataFrame([(i, t, "r", 2, "g") for i, t in rows], "doc_id long, text string, _row string, _gone int, numbers string")
+    assert sorted(r.n_removed for r in line_dedup.summary(docs).collect()) == [0, 0, 0, 0, 1]
+    out = line_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.text for r in out.collect()) == sorted([*similar, "other line here", "x y"])
+
+
+def test_nothing_staged_is_left(spark, random_rows):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    line_dedup.deduplicated(documents(spark, random_rows)).count()
+    minhash.groups(documents(spark, random_rows)).count()
+    left = set(os.listdir(folder)) - before
+    assert sorted(n.rsplit("-", 1)[0] for n in left if not n.startswith(".")) == ["panelspan-groups", "panelspan-line-removals"]
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(8)
     line = lambda: rng.choice(["", " ", "\t"]) + " ".join(rng.choice(["All", "all", "rights", "reserved.", "Menu", "top", "é"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 9])))
@@ -216,12 +239,12 @@ def test_wrappers_are_no_boilerplate():
     assert html_extract.extract("<article><p>a <math><mi>x</mi></math> b <label>c</label><p><span class=ad>z</span>d<form><label>mail</label></form></article>") == "a x b c\n\nd"
 
 
-def test_packing(spark, random_rows):
-    encoder = tokens.encoder(tokens.default_vocabulary())
+def test_packing(spark, random_rows, library):
+    random_rows = random_rows + MARKED
     got = packing.pack(documents(spark, random_rows)).collect()
     ids = {}
     for i, t in random_rows:
-        ids.setdefault(i, []).append([*encoder.whole.encode(t or "", add_special_tokens=False).ids, 0])
+        ids.setdefault(i, []).append([*library.encode(t or "", add_special_tokens=False).ids, 0])
     places = {}
     for r in got:
         assert any(zlib.crc32(np.array(x[r.start: r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and len(x) == r.doc_tokens for x in ids[r.doc_id])
@@ -246,26 +269,53 @@ def test_cuts_are_optimal():
         assert cost == best[int(places[-1])]
 
 
-def test_token_files(spark, random_rows):
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers library by itself, as a user would load it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+MARKED = [(91, "end <|endoftext|> of"), (92, "<|endoftext|>"), (93, "a<|endoftext|><|endoftext|>b it's"), (94, "<|endoftext"), (95, "|> <|endof text|>")]
+
+
+def test_token_files(spark, random_rows, library):
+    random_rows = random_rows + MARKED
     values = np.array([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7], np.uint32)
     assert (token_files.decode(*token_files.encode(values), 9) == values).all()
-    encoder, start = tokens.encoder(tokens.default_vocabulary()), 0
-    want = []
+    start, want = 0, []
     for i, t in sorted(random_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = [*encoder.whole.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     same([tuple(r) for r in token_files.round_trip(documents(spark, random_rows)).collect()], want)
 
 
-def test_words_are_cut_like_the_librarys():
+def test_files_follow_each_other(spark, tmp_path, monkeypatch):
+    """In ascending doc_id order within and across the files, by their names."""
+    monkeypatch.setattr(token_files, "BLOCK", 300)
+    rows = [(i, f"text {i} " * (i % 50)) for i in random.Random(1).sample(range(10**6), 900)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        token_files.write(documents(spark, rows, 6), str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = sorted((tmp_path / "t" / "blocks").glob("part-*.parquet"))
+    assert len(files) > 3
+    blocks = [b for f in files for b in pq.read_table(f).to_pylist()]
+    assert [i for b in blocks for i in b["doc_ids"]] == sorted(i for i, _ in rows)
+    assert [b["first"] for b in blocks] == [0, *np.cumsum([sum(b["counts"]) for b in blocks])[:-1].tolist()]
+
+
+def test_words_are_cut_like_the_librarys(library):
     encoder = tokens.encoder(tokens.default_vocabulary())
-    texts = ["", "a  b", "  x", "x  ", "\n\n a\t\tb \n", "it's 'sup ''s", "a1 b2²½ ª", "  ", "日本 x", "a\r\n b", "...!? . x_y --", "ñ€x", "<|endoftext|> a", "x y", "a \u0085 b", "\x1c a\x00"]
+    texts = ["", "a  b", "  x", "x  ", "\n\n a\t\tb \n", "it's 'sup ''s", "a1 b2²½ ª", "  ", "日本 x", "a\r\n b", "...!? . x_y --", "ñ€x", "<|endoftext|> a", *(t for _, t in MARKED), "x y", "a \u0085 b", "\x1c a\x00"]
     offsets, data = np.cumsum([0, *(len(t.encode()) for t in texts)]), np.frombuffer("".join(texts).encode(), np.uint8)
     ids, counts, _ = encoder.encode(data, offsets)
     ends = np.cumsum(counts)
     for t, a, b in zip(texts, ends - counts, ends):
-        assert ids[a:b].tolist() == encoder.whole.encode(t, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_languages(spark):
