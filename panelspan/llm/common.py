@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspan.session import shared_folder
+from panelspan.sources.stage import file_system, fresh_path
 
 _SHIPPED: set[str] = set()
 
@@ -36,24 +35,47 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[DataFrame]] = []
+
+
+def staged(frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``frame`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs its running tasks only, never a finished stage.
+    Cuts the lineage: a lost executor costs its running tasks only, never a finished stage.  The write's own shuffle files
+    are dropped as soon as it ends.  Within ``scratch`` the table goes at the end of the block, with ``keep`` it outlives it.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/panelspan-{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    schema = frame.schema
-    del frame
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished queries now, instead of whenever the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = fresh_path(spark, f"panelspan-{name}")
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._staged = path
+    scope = len(_SCOPES) - (2 if keep else 1)
+    if scope >= 0:
+        _SCOPES[scope].append(out)
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for frame in frames:
+        system, target = file_system(frame.sparkSession, frame._staged)
+        system.delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged in the block are deleted at its end: whatever leaves it must be staged with ``keep``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop(*_SCOPES.pop())
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +103,20 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+_HELD = 1 << 22             # powers that a worker keeps; longer tables go with the text they were made for
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLES["up"]) < n:
+    tables = _TABLES
+    if len(tables["up"]) < n:
+        tables = {}
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             table = np.full(max(n, 1 << 20), base, dtype=np.uint64)
             table[0] = 1
-            _TABLES[key] = np.cumprod(table)
-    return _TABLES["up"][:n], _TABLES["down"][:n]
+            tables[key] = np.cumprod(table)
+        if n <= _HELD:
+            _TABLES.update(tables)
+    return tables["up"][:n], tables["down"][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

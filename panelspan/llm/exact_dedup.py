@@ -18,13 +18,11 @@ Rows of files added after the stream ended belong to the next call.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspan.llm import common
-from panelspan.session import shared_folder
+from panelspan.sources.stage import fresh_path
 
 SHA256 = "sha2(text, 256)"
 _STATE = "spark.sql.streaming.stateStore."
@@ -67,7 +65,7 @@ def remember(spark: SparkSession, path: str, state: str, digest: str = SHA256, f
 
 def deduplicate(spark: SparkSession, path: str, digest: str = SHA256, state: str | None = None, files: int | None = None) -> DataFrame:
     """One row per row of ``path``: doc_id, digest, keep_id, group_size, kept and, for members of a group, text."""
-    state = state or f"{shared_folder(spark)}/panelspan-state-{uuid.uuid4().hex}"
+    state = state or fresh_path(spark, "panelspan-state")
     if not spark.read.parquet(path).limit(1).count():
         return spark.createDataFrame([], "doc_id long, digest string, keep_id long, group_size long, kept boolean, text string")
     shared = common.staged(remember(spark, path, state, digest, files).where("n > 1").select("digest", F.col("locator").alias("holder")), "holders")

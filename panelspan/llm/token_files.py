@@ -12,7 +12,6 @@ doc_id comes first; an empty table gives empty files; texts of any length are en
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspan.llm import common, tokens
-from panelspan.session import shared_folder
+from panelspan.sources.stage import fresh_path
 
 BLOCK = 500_000             # ids of a block, unless one document has more
 
@@ -84,7 +83,9 @@ def _tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), part)), pa.array(np.zeros(len(used), np.int64)), pa.array(used), pa.array(seen[used]), empty], NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.orderBy("doc_id", "text").mapInArrow(run, "part long, at long, doc_id long, n long, ids binary")
+    # ranges are found from ids and a hash, so no texts travel to the driver; rows of one doc_id lie in order of that hash
+    order = ["doc_id", F.xxhash64("text")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, "part long, at long, doc_id long, n long, ids binary")
 
 
 NAMES = ["part", "at", "doc_id", "n", "ids"]
@@ -126,7 +127,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
         if rows:
             yield block()
 
-    held.where("ids is not null").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    # staged files are read in any order; the files of the format follow each other
+    coded = held.where("ids is not null").mapInArrow(run, BLOCK_SCHEMA)
+    coded.repartitionByRange("first").sortWithinPartitions("first").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    common.drop(held)
 
 
 BLOCKS = ["first", "doc_ids", "counts", "control", "data"]
@@ -159,6 +163,6 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write token files into the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/panelspan-tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "panelspan-tokens")
     write(docs, path, vocabulary)
     return read(spark, path)
