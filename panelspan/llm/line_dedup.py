@@ -14,8 +14,8 @@ other earlier lines.  Every candidate is verified on the whole sets, in which 64
 hashes stand for the words.
 
 Defined results: null texts stay null, empty texts have no lines; a null doc_id comes before all others; repeated rows
-are judged alike and not earlier than each other; lines of any length are compared whole; ties do not occur, as places
-differ; an empty table stays empty; other columns are kept as they are.
+are judged alike, and of lines at the same place (same doc_id and number) none is earlier than another, so such lines
+stay unless an earlier place has a similar one; lines of any length are compared whole; an empty table stays empty; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -76,22 +76,23 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     return prefixes.selectExpr("class", "id", "n", "bits", "posexplode(rare) as (position, word)")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The later class of each pair (a, b) that is similar."""
+def _verified(parts: list[DataFrame], classes: DataFrame) -> DataFrame:
+    """The later class of each pair (a, b) that is similar; of lines at the same place (of repeated doc_ids) neither is later."""
     # written first, so that its measured size decides how the words are fetched, once for both sides of the pairs
-    pairs = common.staged(pairs, "line-candidates")
+    pairs = common.staged(reduce(DataFrame.unionByName, parts).distinct(), "line-candidates")
+    common.drop(*parts)
     wanted = common.staged(pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct(), "line-wanted")
     lines = common.staged(classes.select("class", "place", "words").join(wanted, "class", "left_semi"), "line-words")
+    common.drop(wanted)
     pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}), "a") \
         .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "words": "words_b"}), "b")
-    counted = pairs.selectExpr("if(place_a > place_b, a, b) a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
+    counted = pairs.where("place_a <> place_b").selectExpr("if(place_a > place_b, a, b) a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
     return counted.where(_OVERLAP).select("a").distinct()
 
 
-def _by_parts(pairs: Callable[[str], DataFrame]) -> DataFrame:
-    """Distinct pairs (a, b) over all words, a share of the words at a time, so that only that share's shuffles lie on disk."""
-    parts = [common.staged(pairs(f"pmod(word, {PARTS}) = {i}").select("a", "b").distinct(), "line-pairs") for i in range(PARTS)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+def _by_parts(pairs: Callable[[str], DataFrame]) -> list[DataFrame]:
+    """Pairs (a, b) over all words, a share of the words at a time, so that only that share's shuffles lie on disk."""
+    return [common.staged(pairs(f"pmod(word, {PARTS}) = {i}").select("a", "b").distinct(), "line-pairs") for i in range(PARTS)]
 
 
 #: Length, position and bitmap filters: no pair that they drop can be similar.  Words in only one of two lines are at
@@ -139,16 +140,21 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without the lines to remove; all rows and columns stay."""
-    gone = common.staged(removals(docs), "line-removals")
-    keyed = docs.withColumn("_row", F.expr("xxhash64(doc_id, text)"))
-    joined = keyed.join(gone.withColumnsRenamed({"row": "_gone_row", "numbers": "_gone"}), F.col("_row") == F.col("_gone_row"), "left")
-    kept = F.expr(r"case when _gone is null then text else array_join(filter(split(text, '\n'), (line, i) -> not array_contains(_gone, i)), '\n') end")
-    return joined.select(*(kept.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    gone = _removed_lines(docs)
+    # the document travels as one struct, whatever its columns are called
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.expr("xxhash64(doc_id, text)").alias("row"))
+    kept = F.expr(r"case when numbers is null then doc.text else array_join(filter(split(doc.text, '\n'), (line, i) -> not array_contains(numbers, i)), '\n') end")
+    return keyed.join(gone, "row", "left").select(*(kept.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
+
+
+def _removed_lines(docs: DataFrame) -> DataFrame:
+    with common.scratch():
+        return common.staged(removals(docs), "line-removals", keep=True)
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the remaining text)."""
-    gone = common.staged(removals(docs), "line-removals")
+    gone = _removed_lines(docs)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", "xxhash64(doc_id, text) row")
     left = r"array_join(filter(split(text, '\n'), (line, i) -> not array_contains(numbers, i)), '\n')"
     return rows.join(gone, "row", "left").selectExpr(

@@ -184,6 +184,11 @@ def _alone(texts: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, node, class_id (smallest doc_id of its group), class_size and kept."""
+    with common.scratch():
+        return common.staged(_groups(docs, least), "groups", keep=True)
+
+
+def _groups(docs: DataFrame, least: float) -> DataFrame:
     sketches = common.staged(sketched(docs), "sketches")
     nodes = sketches.where("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "bands")).alias("s")) \
         .select("node", "s.doc_id", F.explode("s.bands").alias("bucket"))
