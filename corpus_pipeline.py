@@ -43,5 +43,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.staged(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_staged"):
+            common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

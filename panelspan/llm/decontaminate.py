@@ -28,8 +28,8 @@ from panelspan.llm import common
 
 WORDS = 10
 BLOCK_WINDOWS = 200_000
-SHARD_WORDS = 1_000_000     # indexed words of a shard
-SHARD_BYTES = 24 << 20      # text of a shard
+SHARD_WORDS = 250_000       # indexed words of a shard
+SHARD_BYTES = 6 << 20       # text of a shard
 SAMPLE = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -203,7 +203,8 @@ class Shard:
         text = np.searchsorted(offsets - offsets[0], low, side="right") - 1
         numbers = windows.numbers(hashes)
         first = (offsets - offsets[0])[text]
-        self.parts.append((numbers, text + self.texts, low - first, high - first))
+        # one text is below 2 GB, a shard's texts and a block's words are few
+        self.parts.append(tuple(x.astype(np.int32) for x in (numbers, text + self.texts, low - first, high - first)))
         self.rows.append(rows)
         self.texts += len(offsets) - 1
         self.known += int(np.count_nonzero(numbers))
@@ -216,6 +217,7 @@ class Shard:
     def results(self, windows: Windows):
         """Rows, words per text, (text, item) pairs, and removal spans as (text, first word, end, first byte, end)."""
         numbers, text, low, high = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        self.parts = []
         window, first = occurrences(windows, numbers, text)
         change = np.zeros(len(numbers) + 1, np.int64)
         np.add.at(change, first, 1)
