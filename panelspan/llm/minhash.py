@@ -7,8 +7,8 @@ Jaccard similarity.  Arrivals later than a text's last filled slot cannot matter
 
 Texts with equal shingles are one node.  Slots are grouped into bands, and within each band's buckets the node of the
 smallest doc_id is compared with the others by the exact probability Jaccard similarity.  After linking, pairs of a
-bucket that are still in different components are compared too, unless their shingles that nobody else has already rule
-them out, so no similar pair that shares a bucket is missed.
+bucket that are still in different components are compared too, in tiles, unless their shingles that nobody else has
+already rule them out, so no similar pair that shares a bucket is missed.
 
 Defined results: null, empty and blank texts link with nothing; repeated rows belong together; a null doc_id is a
 document like others but never the kept one of a group that has an id; texts are shingled whole; an empty table gives
@@ -29,6 +29,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5         # a pair of similarity 0.8 meets in a bucket with probability 0.9999
 
+TILE = 4 << 20              # bytes of text on one side of a unit of comparison
+
 _PIECE = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -182,6 +184,91 @@ def _alone(texts: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.sum("share").alias("alone"))
 
 
+def _tiles(rows: DataFrame, name: str) -> DataFrame:
+    """Per bucket the number of tiles of about ``TILE`` bytes that its texts need."""
+    return rows.groupBy("bucket").agg(F.ceil(F.sum("bytes") / TILE).cast("int").alias(name))
+
+
+def _across(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of one bucket and different components, other than with the bucket's center.
+
+    The nodes outside a bucket's main component are set against all its nodes in tiles of bounded size.  Within a pair of
+    tiles, a node's shingles are looked up among those of the other tile at once: the similarity is at most the sum of
+    the smaller shares of common shingles, and only pairs whose sum reaches ``least`` are computed exactly.  A pair that
+    shares several buckets is judged in the first of them.
+    """
+    sizes = texts.select("node", F.octet_length("text").alias("bytes"))
+    every = open_.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    rows = common.staged(open_.join(every, "node").join(sizes, "node"), "across")
+    rest = rows.where("component <> main")
+    tiles = _tiles(rest, "rest_tiles").join(_tiles(rows, "tiles"), "bucket")
+    columns = ["bucket", "i", "j", "kind", "node", "component", "center", "main", "buckets"]
+
+    def placed(side: DataFrame, kind: int, own: str, other: str) -> DataFrame:
+        mine, across = ("i", "j") if kind == 0 else ("j", "i")
+        dealt = side.join(tiles, "bucket").withColumn(mine, F.pmod(F.xxhash64("node", F.lit(kind)), F.col(own)).cast("int"))
+        return dealt.withColumn(across, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).withColumn("kind", F.lit(kind)).select(*columns)
+
+    units = placed(rest, 0, "rest_tiles", "tiles").unionByName(placed(rows, 1, "tiles", "rest_tiles")).join(texts, "node")
+    keys = ["bucket", "i", "j"]
+
+    def compare(batches):
+        for table in common.whole_groups(batches, keys, 256):
+            table = table.combine_chunks()
+            fresh = np.ones(table.num_rows, bool)
+            fresh[1:] = np.any([np.diff(np.array(table.column(k))) != 0 for k in keys], axis=0)
+            ends = np.append(np.flatnonzero(fresh), table.num_rows).tolist()
+            for low, high in zip(ends[:-1], ends[1:]):
+                a, b = _similar(table.slice(low, high - low), least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = units.repartition(*keys).sortWithinPartitions(*keys, "kind").select(*columns, "text")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _similar(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of a unit: rows of kind 0 against those of kind 1."""
+    kind, node, component, center, main = (np.array(table.column(c)) for c in ("kind", "node", "component", "center", "main"))
+    cut = int(np.searchsorted(kind, 1))
+    none = np.empty(0, np.int64)
+    if cut in (0, len(kind)):
+        return none, none
+    bucket = table.column("bucket")[0].as_py()
+    lists = table.column("buckets").combine_chunks()
+    width = np.diff(np.array(lists.offsets))
+    buckets = np.full((len(kind), int(width.max())), np.iinfo(np.int64).max)
+    buckets[np.arange(buckets.shape[1]) < width[:, None]] = np.array(lists.flatten())
+    offsets, data = common.utf8(table.column("text"))
+    owner, element, weight = [], [], []
+    for low, high in common.slices(offsets, _PIECE):
+        text, e, w = shingles(data, offsets[low: high + 1])
+        owner.append(text + low)
+        element.append(e)
+        weight.append(w.astype(float))
+    owner, element, weight = (np.concatenate(x) for x in (owner, element, weight))
+    share = weight / np.bincount(owner, weights=weight, minlength=len(kind))[owner]
+    first = np.searchsorted(owner, np.arange(len(kind) + 1))
+    below = first[cut]
+    order = np.argsort(element[below:], kind="stable") + below                     # the other tile's shingles, by hash
+    hashes = element[order]
+    out_a, out_b = [], []
+    for x in range(cut):
+        mine = slice(first[x], first[x + 1])
+        a, b = np.searchsorted(hashes, element[mine]), np.searchsorted(hashes, element[mine], side="right")
+        at = order[common.ranges(a, b)]
+        bound = np.bincount(owner[at] - cut, weights=np.minimum(share[at], np.repeat(share[mine], b - a)), minlength=len(kind) - cut)
+        y = np.flatnonzero(bound >= least - 1e-9) + cut
+        y = y[(component[y] != component[x]) & (node[y] != center[x]) & (node[x] != center[x]) & ((component[y] == main[x]) | (node[x] < node[y]))]
+        if len(y):
+            common_ = np.where(np.isin(buckets[y], buckets[x][: width[x]]), buckets[y], np.iinfo(np.int64).max)
+            y = y[common_.min(axis=1) == bucket]
+        y = [k for k in y if similarity((element[mine], weight[mine]), (element[first[k]: first[k + 1]], weight[first[k]: first[k + 1]])) >= least - 1e-12]
+        out_a += [node[x]] * len(y)
+        out_b += [node[k] for k in y]
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, node, class_id (smallest doc_id of its group), class_size and kept."""
     with common.scratch():
@@ -198,7 +285,8 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     shared = common.staged(shared, "shared")
     wanted = shared.select("node", "doc_id").distinct()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string"))
-    texts = common.staged(_with_nodes(own.join(wanted, "doc_id")).dropDuplicates(["node"]), "texts")
+    # merged whatever the sizes, so that a small table shows what a large one needs
+    texts = common.staged(_with_nodes(own.join(wanted.hint("merge"), "doc_id")).dropDuplicates(["node"]), "texts")
     stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = common.staged(_verified(stars, texts, least), "links")
     found = components(links)
@@ -208,12 +296,8 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = common.staged(placed.join(split.select("bucket", F.col("main.component").alias("main")), "bucket"), "open")
     alone = common.staged(_alone(texts.join(open_.select("node").distinct(), "node", "left_semi")), "alone")
-    open_ = open_.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
-    x = open_.where("component <> main").selectExpr("bucket", "node a", "component of_a", "center", "alone p")
-    y = open_.selectExpr("bucket", "node b", "component of_b", "main", "alone q")
-    can_reach = f"1 / (1 / (1 - p) + q / (1 - q)) >= {least - 1e-9} and 1 / (1 / (1 - q) + p / (1 - p)) >= {least - 1e-9}"
-    across = x.join(y, "bucket").where(f"of_a <> of_b and a <> center and b <> center and (of_b = main or a < b) and p < {1 - least + 1e-9} and q < {1 - least + 1e-9} and {can_reach}")
-    more = common.staged(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, least), "links")
+    open_ = open_.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0.0)) < 1 - least + 1e-9)
+    more = common.staged(_across(common.staged(open_, "reachable"), texts, least), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     placed = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -227,4 +311,4 @@ def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without later near copies: of each group the one with the smallest doc_id stays, repeated rows once; all columns stay."""
     kept = groups(docs, least).where("kept").select("doc_id").distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi").distinct()
+    return docs.join(kept.hint("merge"), same, "left_semi").distinct()
