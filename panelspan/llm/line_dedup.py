@@ -82,10 +82,11 @@ def _verified(parts: list[DataFrame], classes: DataFrame) -> DataFrame:
     pairs = common.staged(reduce(DataFrame.unionByName, parts).distinct(), "line-candidates")
     common.drop(*parts)
     wanted = common.staged(pairs.selectExpr("inline(array(struct(a as class), struct(b as class)))").distinct(), "line-wanted")
-    lines = common.staged(classes.select("class", "place", "words").join(wanted, "class", "left_semi"), "line-words")
+    lines = common.staged(classes.select("class", "place", "words").join(wanted.hint("merge"), "class", "left_semi"), "line-words")
     common.drop(wanted)
-    pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}), "a") \
-        .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "words": "words_b"}), "b")
+    # merged whatever the sizes, here and below, so that a small table shows what a large one needs
+    pairs = pairs.join(lines.withColumnsRenamed({"class": "a", "place": "place_a", "words": "words_a"}).hint("merge"), "a") \
+        .join(lines.withColumnsRenamed({"class": "b", "place": "place_b", "words": "words_b"}).hint("merge"), "b")
     counted = pairs.where("place_a <> place_b").selectExpr("if(place_a > place_b, a, b) a", "size(words_a) n_a", "size(words_b) n_b", "size(array_intersect(words_a, words_b)) overlap")
     return counted.where(_OVERLAP).select("a").distinct()
 
@@ -117,7 +118,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .where(f"a <> b and {_FITS}")
 
     first = common.staged(_verified(_by_parts(stars), classes), "line-matches")
-    rest = common.staged(prefixes.join(first.withColumnRenamed("a", "class"), "class", "left_anti"), "line-rest")
+    rest = common.staged(prefixes.join(first.withColumnRenamed("a", "class").hint("merge"), "class", "left_anti"), "line-rest")
 
     def others(part: str) -> DataFrame:
         x = _entries(rest).where(part).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
@@ -132,9 +133,9 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def removals(docs: DataFrame) -> DataFrame:
     """row (hash of a document's id and text) and numbers (its lines to remove), for documents that lose lines."""
     classes, similar = similar_classes(docs)
-    rules = classes.join(similar.withColumnRenamed("a", "class").withColumn("similar", F.lit(True)), "class", "left") \
+    rules = classes.join(similar.withColumnRenamed("a", "class").withColumn("similar", F.lit(True)).hint("merge"), "class", "left") \
         .where("similar or occurrences > 1").selectExpr("class", "place", "coalesce(similar, false) similar")
-    gone = _lines(docs).join(rules, "class").where("similar or place.id <> id or place.number <> number")
+    gone = _lines(docs).join(rules.hint("merge"), "class").where("similar or place.id <> id or place.number <> number")
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 
 
@@ -144,7 +145,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # the document travels as one struct, whatever its columns are called
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.expr("xxhash64(doc_id, text)").alias("row"))
     kept = F.expr(r"case when numbers is null then doc.text else array_join(filter(split(doc.text, '\n'), (line, i) -> not array_contains(numbers, i)), '\n') end")
-    return keyed.join(gone, "row", "left").select(*(kept.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
+    return keyed.join(gone.hint("merge"), "row", "left").select(*(kept.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def _removed_lines(docs: DataFrame) -> DataFrame:
@@ -157,6 +158,6 @@ def summary(docs: DataFrame) -> DataFrame:
     gone = _removed_lines(docs)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", "xxhash64(doc_id, text) row")
     left = r"array_join(filter(split(text, '\n'), (line, i) -> not array_contains(numbers, i)), '\n')"
-    return rows.join(gone, "row", "left").selectExpr(
+    return rows.join(gone.hint("merge"), "row", "left").selectExpr(
         "doc_id", r"cast(if(text = '', 0, size(split(text, '\n'))) as long) n_lines", "cast(coalesce(size(numbers), 0) as long) n_removed",
         f"sha2(if(numbers is null, text, {left}), 256) kept_sha256")
