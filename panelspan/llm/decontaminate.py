@@ -273,6 +273,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, size: int, last: str) -> Data
     """One pass per block of windows over rows that also hold the hits so far; the last one finishes them as ``last`` says."""
     common.ship(docs.sparkSession)
     at, columns = docs.columns.index("text"), len(docs.columns)
+    spare = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))       # no column begins so
+    held = [spare + "hits", spare + "items"]
 
     def run(batches, windows, final):
         for rows, n_words, pairs, spans in _scan(batches, at, windows):
@@ -292,7 +294,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, size: int, last: str) -> Data
                 n_hit = np.bincount(spans[:, 0], weights=spans[:, 2] - spans[:, 1], minlength=n).astype(np.int64)
                 made = pa.RecordBatch.from_arrays([own[0], pa.array(n_words), pa.array(n_hit), items, hits], ["doc_id", "n_words", "n_hit", "items", "hits"])
             else:
-                made = pa.RecordBatch.from_arrays([*own, hits, items], [*names, "_hits", "_items"])
+                made = pa.RecordBatch.from_arrays([*own, hits, items], [*names, *held])
             yield made
 
     blocks = window_blocks(benchmark, size)
@@ -301,7 +303,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, size: int, last: str) -> Data
     finished = plain if last == "cut" else f"doc_id long, n_words long, n_hit long, items array<long>, hits {HITS}"
     while now is not None:
         following = next(blocks, None)
-        schema = finished if following is None else f"{plain}, _hits {HITS}, _items array<long>"
+        schema = finished if following is None else f"{plain}, {held[0]} {HITS}, {held[1]} array<long>"
         docs = docs.mapInArrow(functools.partial(run, windows=now, final=following is None), schema)
         now = following
     return docs

@@ -24,7 +24,7 @@ from panelspan.llm import common
 
 UNKNOWN = "und"
 PROFILE_SIZE = 300
-_LIMIT = 0x32000            # beyond the last letter of Unicode
+_LIMIT = 0x34000            # beyond the last letter of Unicode, within 18 bits
 _TABLE: list[np.ndarray] = []
 
 

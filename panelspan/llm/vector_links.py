@@ -43,6 +43,12 @@ def rotations(size: int, count: int) -> np.ndarray:
     return np.concatenate(made)
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the largest component is divided out first, so squares neither overflow nor vanish."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
 def plan(n: int, least: float = LEAST) -> tuple[int, int]:
     """Bits per band and bands for ``n`` vectors."""
     bits = max(6, math.ceil(math.log2(max(n, 2))) - SPARE)
@@ -115,7 +121,7 @@ def links(vectors: DataFrame, least: float = LEAST) -> DataFrame:
             for d in np.unique(size):
                 mine = np.flatnonzero(size == d)
                 vector = np.array(lists.take(pa.array(mine)).flatten()).reshape(len(mine), d)
-                codes = band_codes(vector / np.linalg.norm(vector, axis=1)[:, None], bits, bands)
+                codes = band_codes(units(vector), bits, bands)
                 key = common.mix((codes + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + common.mix((np.arange(bands) * 65536 + d).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(mine)), pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))], ["node", "keys"])
@@ -144,7 +150,7 @@ def links(vectors: DataFrame, least: float = LEAST) -> DataFrame:
                 if high - low < 2:
                     continue
                 vector = np.array(lists.slice(low, high - low).flatten()).reshape(high - low, -1)
-                unit = vector / np.linalg.norm(vector, axis=1)[:, None]
+                unit = units(vector)
                 tile = columns["tile"][low:high]
                 order = np.argsort(tile, kind="stable")
                 unit, node, copies = unit[order], columns["node"][low:high][order], columns["copies"][low:high][order]
