@@ -395,27 +395,33 @@ def build_all(
     return paths
 
 
-def export_all(spark: SparkSession, paths: dict[str, str], out: str) -> None:
-    """JSON exports of the stored tables."""
+def export_all(spark: SparkSession, paths: dict[str, str], out: str, layout: str = export.DOCUMENT) -> None:
+    """JSON exports of the stored tables.
+
+    The published files are one document each, which one task writes; with
+    ``export.STRIPES`` many tasks write the columnar ones, with
+    ``export.CHUNKS`` all are lines of bounded length.
+    """
+    records = export.DOCUMENT if layout == export.DOCUMENT else export.CHUNKS
     read = {name: store.read_panel(spark, path) for name, path in paths.items()}
     key = ["geography_level", "geography_id", "group_type", "group_id"]
     short = {long: name for name, long in export.SHORT_NAMES.items()}
     order = [short[k] for k in key]
     base = out.rstrip("/")
     export.write_columnar_json(
-        export.short_panel(read["dashboard_panel"], export.STATUS_MEASURES), f"{base}/panel_1872.json", order, layout=export.DOCUMENT)
+        export.short_panel(read["dashboard_panel"], export.STATUS_MEASURES), f"{base}/panel_1872.json", order, layout=layout)
     export.write_columnar_json(
-        export.short_panel(read["dashboard_panel_1920"], export.PLAIN_MEASURES), f"{base}/panel_1920.json", order, layout=export.DOCUMENT)
+        export.short_panel(read["dashboard_panel_1920"], export.PLAIN_MEASURES), f"{base}/panel_1920.json", order, layout=layout)
     export.write_columnar_json(
         export.change_export(read["transformation_panel"], ["code_amc", "state_code"]),
-        f"{base}/transformation_amc.json", ["code_amc"], layout=export.DOCUMENT)
+        f"{base}/transformation_amc.json", ["code_amc"], layout=layout)
     named = read["state_transformation_panel"].join(F.broadcast(compared_states(spark)), "state_code", "left")
     export.write_columnar_json(
         export.change_export(named, ["state_code", "state_name"]),
-        f"{base}/transformation_state.json", ["state_code"], layout=export.DOCUMENT)
+        f"{base}/transformation_state.json", ["state_code"], layout=layout)
     export.write_record_json(
         read["regression_results"].select("state_code", "state_name", "y_metric", "n_amc", *export.FIT_EXPORT),
-        f"{base}/regression_state.json", ["y_metric", "state_code"], layout=export.DOCUMENT)
+        f"{base}/regression_state.json", ["y_metric", "state_code"], layout=records)
     export.write_record_json(
         read["regression_results_national"].select("model", "y_metric", "n_obs", *export.FIT_EXPORT),
-        f"{base}/regression_national.json", ["y_metric", "model"], layout=export.DOCUMENT)
+        f"{base}/regression_national.json", ["y_metric", "model"], layout=records)

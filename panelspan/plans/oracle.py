@@ -561,6 +561,8 @@ def statements() -> dict[str, str]:
         SELECT state_code FROM area WHERE mfg_share_log_ratio IS NOT NULL AND enslaved_share_a IS NOT NULL
         GROUP BY state_code HAVING count(*) >= 5 AND min(enslaved_share_a) < max(enslaved_share_a)
         AND min(mfg_share_log_ratio) < max(mfg_share_log_ratio))) AS named"""
+    comparison = (f"WITH {AREA} SELECT CAST(code_amc AS VARCHAR) AS code_amc, state_code, "
+                  + ", ".join(r(f"round_even({c}, 6)", c) for c in EXPORTED) + " FROM area")
     forest = f"""WITH RECURSIVE {STATE_FITS}
             SELECT y_metric, state_code, n_name || ' (n=' || n_amc || ')' AS label, {r('coef', 'coef')},
                    p_value < 0.05 AS significant,
@@ -704,8 +706,8 @@ def statements() -> dict[str, str]:
             'literacy_rate_b' FROM area""",
         "short_names": f"WITH {PANEL} SELECT " + ", ".join(f"{v} AS {k}" for k, v in SHORT.items())
                        + f", {rounded(SHORT_VALUES)} FROM panel",
-        "json_columns": f"WITH {AREA} SELECT CAST(code_amc AS VARCHAR) AS code_amc, state_code, "
-                        + ", ".join(r(f"round_even({c}, 6)", c) for c in EXPORTED) + " FROM area",
+        "json_columns": comparison,
+        "json_document": comparison,
         "json_records": f"WITH RECURSIVE {STATE_FITS} SELECT state_code, y_metric, n_amc, "
                         f"{rounded(('coef', 'se', 'ci_lower', 'ci_upper', 'p_value'))} FROM inferred",
         "panel_store": f"""WITH {PANEL} SELECT geography_level, group_type, group_id, geography_id,

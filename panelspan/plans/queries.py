@@ -504,6 +504,15 @@ def json_columns(spark, sf):
     return tidy(export.columns_back(documents, out.schema))
 
 
+@query
+def json_document(spark, sf):
+    """One document of the comparison, written in stripes by many tasks, read back into rows."""
+    out = export.change_export(b.area_panel(spark, sf), ["code_amc", "state_code"], b.BEFORE, b.AFTER)
+    path = fresh_path(spark, "document")
+    export.write_striped_json(out, path, ["code_amc"], chunk_rows=40)
+    return tidy(export.striped_rows(spark, path, out.schema))
+
+
 @query
 def json_records(spark, sf):
     """Record JSON of the state fits, read back into rows."""

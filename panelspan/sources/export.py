@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspan.functions.guarded import field
+from panelspan.sources.stage import written
 
 CHUNK_ROWS = 50_000
 _JSON = {"ignoreNullFields": "false"}
@@ -90,7 +91,7 @@ def record_arrays(
     return grouped.select("part", "chunk", F.to_json("rows", _JSON).alias("json"))
 
 
-DOCUMENT, CHUNKS = "document", "chunks"
+DOCUMENT, CHUNKS, STRIPES = "document", "chunks", "stripes"
 
 
 def _layout(layout: str, chunk_rows: int) -> tuple[int, int | None]:
@@ -103,7 +104,10 @@ def _layout(layout: str, chunk_rows: int) -> tuple[int, int | None]:
 def write_columnar_json(
     df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS, layout: str = CHUNKS
 ) -> None:
-    """Text files in panel order: columnar documents of bounded length, one per line, or a single document."""
+    """Text files in panel order: columnar documents of bounded length, one per line, a document in stripes, or a single document."""
+    if layout == STRIPES:
+        write_striped_json(df, path, order_by, chunk_rows)
+        return
     documents = columnar_json(df, order_by, *_layout(layout, chunk_rows))
     documents.sort("part", "chunk").select("json").write.mode("overwrite").text(path)
 
@@ -186,3 +190,44 @@ def change_columns(before: str = "1872", after: str = "1920") -> list[str]:
 def change_export(panel: DataFrame, keys: Sequence[str], before: str = "1872", after: str = "1920") -> DataFrame:
     texts = [F.col(k).cast("string").alias(k) for k in keys]
     return panel.select(*texts, *change_columns(before, after))
+
+
+# ---- documents in stripes ---------------------------------------------------
+
+def write_striped_json(
+    df: DataFrame, path: str, order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS, digits: int = 6,
+) -> None:
+    """One columnar document written by many tasks: its columns in stripes, and a manifest that joins them.
+
+    ``path/stripes/column=<k>`` holds column k as text lines in panel order
+    over the files by name and the lines within them; a line is an object with
+    the stripe's number and its values.  ``path/manifest`` has a line per
+    column: its number and name, its stripes and values.  It is written last,
+    so a document without one is unfinished.  No task holds more than its range
+    of the rows.
+    """
+    out = rounded(df, digits)
+    chunks = written(_chunks(out, order_by, chunk_rows, None).groupBy("part", "chunk").agg(_ordered_rows().alias("rows")), "stripes")
+    stripe = (F.shiftleft(F.col("part"), 32) + F.col("chunk")).alias("stripe")
+    cells = [F.struct(F.lit(k).alias("column"), F.to_json(F.struct(stripe, F.transform("rows", _getter(c)).alias("values")), _JSON).alias("value"))
+             for k, c in enumerate(out.columns)]
+    stripes = chunks.select("part", "chunk", F.inline(F.array(*cells)))
+    ordered = stripes.repartitionByRange("column", "part", "chunk").sortWithinPartitions("column", "part", "chunk")
+    ordered.select("column", "value").write.mode("overwrite").partitionBy("column").text(f"{path}/stripes")
+    columns = F.array(*[F.struct(F.lit(k).alias("column"), F.lit(c).alias("name")) for k, c in enumerate(out.columns)])
+    sizes = chunks.agg(F.count("*").alias("stripes"), F.coalesce(F.sum(F.size("rows")), F.lit(0)).alias("values"))
+    sizes.select(F.inline(columns), "stripes", "values").sort("column").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def striped_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a striped document, in parallel: the stripes of one number belong together."""
+    manifest = spark.read.json(f"{path}/manifest").collect()
+    if not any(r["values"] for r in manifest):                     # no rows, no folders per column
+        return spark.createDataFrame([], schema)
+    names = {r["name"]: r["column"] for r in manifest}
+    lines = spark.read.text(f"{path}/stripes")
+    number = F.get_json_object("value", "$.stripe").cast("long")
+    columns = [F.max(F.when(F.col("column") == names[f.name], F.col("value"))).alias(f.name) for f in schema.fields]
+    wide = lines.groupBy(number.alias("_stripe")).agg(*columns)
+    parsed = [F.from_json(field(f.name), T.StructType([T.StructField("values", T.ArrayType(f.dataType))]))["values"].alias(f.name) for f in schema.fields]
+    return wide.select(F.arrays_zip(*parsed).alias("rows")).select(F.inline("rows"))

@@ -98,6 +98,27 @@ def test_columnar_document_keeps_places(spark, tmp_path):
         "k": ["a", "b", "c"], "n": [2, 1, None], "v": [None, 0.123457, 3.0], "f": [None, "true", "false"]}
 
 
+def test_striped_document_is_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "document")
+    df = spark.range(5000).selectExpr("id * 7919 % 5000 AS id", "if(id % 3 = 0, NULL, cast(id AS string)) AS `a b`", "id / 7 AS v").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export.write_columnar_json(df, path, ["id"], chunk_rows=64, layout=export.STRIPES)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    manifest = sorted((json.loads(line) for line in lines(f"{path}/manifest")), key=lambda m: m["column"])
+    assert [m["name"] for m in manifest] == ["id", "a b", "v"] and {m["values"] for m in manifest} == {5000}
+    document = {m["name"]: [v for line in lines(f"{path}/stripes/column={m['column']}") for v in json.loads(line)["values"]] for m in manifest}
+    assert document["id"] == list(range(5000)) and document["a b"].count(None) == 1667
+    assert sum(len([n for n in os.listdir(f"{path}/stripes/{c}") if n.startswith("part-")]) for c in os.listdir(f"{path}/stripes") if c.startswith("column=")) > 4
+    back = export.striped_rows(spark, path, df.schema)
+    want = {r.id: (r["a b"], round(r.v, 6)) for r in df.collect()}
+    assert {r.id: (r["a b"], r.v) for r in back.collect()} == want
+    assert [(document["a b"][i], document["v"][i]) for i in (0, 17, 4999)] == [want[i] for i in (0, 17, 4999)]
+    export.write_columnar_json(df.limit(0), path + "0", ["id"], layout=export.STRIPES)
+    assert export.striped_rows(spark, path + "0", df.schema).count() == 0
+
+
 def test_columnar_chunks_hold_every_row_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), (F.col("id") % 3).alias("m"))
     docs = export.columnar_json(df, ["id"], chunk_rows=64, partitions=3).orderBy("part", "chunk").collect()
