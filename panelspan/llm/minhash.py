@@ -6,7 +6,8 @@ on random slots and a slot keeps the shingle that arrived first.  Two texts agre
 Jaccard similarity.  Arrivals later than a text's last filled slot cannot matter, so a process ends there.
 
 Texts with equal shingles are one node.  Slots are grouped into bands, and within each band's buckets the node of the
-smallest doc_id is compared with the others by the exact probability Jaccard similarity.  After linking, pairs of a
+smallest doc_id is compared with the others by the exact probability Jaccard similarity, beginning with the one that a
+node meets most often and leaving out those that are then in its component already.  After linking, pairs of a
 bucket that are still in different components are compared too, in tiles, unless their shingles that nobody else has
 already rule them out, so no similar pair that shares a bucket is missed.
 
@@ -287,8 +288,15 @@ def _groups(docs: DataFrame, least: float) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("string"))
     # merged whatever the sizes, so that a small table shows what a large one needs
     texts = common.staged(_with_nodes(own.join(wanted.hint("merge"), "doc_id")).dropDuplicates(["node"]), "texts")
-    stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = common.staged(_verified(stars, texts, least), "links")
+    # first each node against the center it meets most often, then only centers that are still in other components
+    stars = common.staged(shared.where("node <> center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "stars")
+    nearest = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("most")).select("most.a", "b")
+    links = common.staged(_verified(nearest, texts, least), "links")
+    found = components(links)
+    label = lambda c: F.coalesce(f"component_{c}", c)
+    known = {c: found.withColumnsRenamed({"node": c, "component": f"component_{c}"}).hint("merge") for c in "ab"}
+    apart = stars.join(known["a"], "a", "left").join(known["b"], "b", "left").where(label("a") != label("b")).select("a", "b")
+    links = common.staged(links.unionByName(_verified(apart, texts, least)), "links")
     found = components(links)
     # buckets whose nodes are not all in one component: their pairs across components
     placed = shared.join(found, "node", "left").select("bucket", "node", "center", F.coalesce("component", "node").alias("component"))
