@@ -50,3 +50,23 @@ def test_bound_of_common_shares_holds():
         _, i, j = np.intersect1d(a[0], b[0], return_indices=True)
         bound = np.minimum(a[1][i] / a[1].sum(), b[1][j] / b[1].sum()).sum()
         assert minhash.similarity(a, b) <= bound + 1e-12
+
+
+def test_links_across_components_do_not_grow_with_the_square(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    # every node a component of its own, in two buckets, whose centers 59 and 58 were compared with all before
+    open_ = texts.selectExpr("node", "explode(array(struct(7L as bucket, 59L as center), struct(8L as bucket, 58L as center))) as b") \
+        .selectExpr("b.bucket", "node", "b.center", "node as component", "b.center as main")
+    found = [(r.a, r.b) for r in minhash._across(open_, texts, 0.8).collect()]
+    label = list(range(60))
+    for a, b in found:
+        label = [label[a] if x == label[b] else x for x in label]
+    assert len(set(label[:59])) == 1
+    assert len(found) == 58                                          # a forest, not the 1,711 pairs
