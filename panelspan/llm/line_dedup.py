@@ -10,7 +10,7 @@ share a word among their rarest ``n - ceil(4n/5) + 1``, have lengths within a fa
 positions that leave room for the needed overlap; a bitmap of each line's words bounds how many differ.  Lines of up to
 three different words can only match an equal set, so they share the hash of the whole set in place of a word.  Candidates come in two rounds, so that groups of copies do not pair up:
 first each line against the earliest line of every shared word, then only lines without a match so far against the
-other earlier lines.  Every candidate is verified on the whole sets, in which 64-bit
+other earlier lines, both from one shuffle of the entries.  Every candidate is verified on the whole sets, in which 64-bit
 hashes stand for the words.
 
 Defined results: null texts stay null, empty texts have no lines; a null doc_id comes before all others; repeated rows
@@ -31,16 +31,16 @@ from pyspark.sql.window import Window
 from panelspan.llm import common
 
 CELLS = 1 << 18
-PARTS = 4                   # shares of the words whose entries are shuffled one after the other
+PARTS = 3                   # shares of the words whose entries are shuffled one after the other
 
 _LINES = r"split(text, '\n')"
 _BLANKS = [r"'\t'", r"'\r'", "char(11)", "char(12)"]               # besides the space; splitting at one letter is the cheap case
 _SPACED = f"if({' or '.join(f'contains(line, {b})' for b in _BLANKS)}, translate(line, concat({', '.join(_BLANKS)}), '    '), line)"
 _WORDS = f"array_distinct(array_remove(transform(split(lower({_SPACED}), ' '), w -> xxhash64(w)), xxhash64('')))"
 # 256 bits, one per word, in four numbers, so that lines of some hundred words still differ in many
-_BITS = "struct(" + ", ".join(
-    f"aggregate(filter(words, w -> shiftright(w, 56) & 3 = {k}), 0L, (x, w) -> x | shiftleft(1L, cast(shiftright(w, 58) & 63 as int))) as b{k}" for k in range(4)) + ")"
-_DIFFERENT = " + ".join(f"bit_count(bits_a.b{k} ^ bits_b.b{k})" for k in range(4))
+_BITS = [f"aggregate(filter(words, w -> shiftright(w, 56) & 3 = {k}), 0L, (x, w) -> x | shiftleft(1L, cast(shiftright(w, 58) & 63 as int))) as b{k}" for k in range(4)]
+_BANKS = [f"b{k}" for k in range(4)]
+_DIFFERENT = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in _BANKS)
 _OVERLAP = "9 * overlap >= 4 * (n_a + n_b)"                      # Jaccard >= 4/5, in integers
 _NEEDED = "(4 * (n_a + n_b) + 8) div 9"
 
@@ -61,19 +61,19 @@ def _rarity(classes: DataFrame) -> bytes:
 
 
 def _prefixes(classes: DataFrame, rarity: bytes) -> DataFrame:
-    """Per class: its document, n (its words), bits (one of 256 per word, combined) and rare (its rarest words, rarest first, as integers)."""
+    """Per class: its document, n (its words), b0 to b3 (one bit of 256 per word, combined) and rare (its rarest words, rarest first, as integers)."""
     table = F.lit(bytearray(rarity))
     cell = lambda w: F.ascii(F.substring(table, (w.bitwiseAND(CELLS - 1) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
     # rarity in the high bits, the hash in the others
     ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(cell(w), 55).bitwiseOR(F.shiftrightunsigned(w, 9))))
-    rows = classes.withColumn("n", F.size("words")).withColumn("bits", F.expr(_BITS))
+    rows = classes.selectExpr("*", "size(words) n", *_BITS)
     rare = F.transform(F.slice(ordered, 1, F.expr("n - (4 * n + 4) div 5 + 1")), lambda w: F.hash(w))
     rare = F.when(F.col("n") <= 3, F.array(F.hash(ordered))).otherwise(rare)       # 3/4 is less than 4/5
-    return common.staged(rows.select("class", "place.id", "n", "bits", rare.alias("rare")), "line-prefixes")
+    return common.staged(rows.select("class", "place.id", "n", *_BANKS, rare.alias("rare")), "line-prefixes")
 
 
-def _entries(prefixes: DataFrame) -> DataFrame:
-    return prefixes.selectExpr("class", "id", "n", "bits", "posexplode(rare) as (position, word)")
+def _entries(prefixes: DataFrame, *more: str) -> DataFrame:
+    return prefixes.selectExpr("class", "id", "n", *_BANKS, *more, "posexplode(rare) as (position, word)")
 
 
 def _verified(parts: list[DataFrame], classes: DataFrame) -> DataFrame:
@@ -113,17 +113,22 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     word = Window.partitionBy("word")
 
     def stars(part: str) -> DataFrame:
-        centered = _entries(prefixes).where(part).withColumn("center", F.min(F.struct("id", "class", "n", "position", "bits")).over(word))
-        return centered.selectExpr("class a", "n n_a", "position i", "bits bits_a", "center.class b", "center.n n_b", "center.position j", "center.bits bits_b") \
+        centered = _entries(prefixes).where(part).withColumn("center", F.min(F.struct("id", "class", "n", "position", *_BANKS)).over(word))
+        return centered.selectExpr("class a", "n n_a", "position i", *(f"{b} {b}_a" for b in _BANKS), "center.class b", "center.n n_b", "center.position j", *(f"center.{b} {b}_b" for b in _BANKS)) \
             .where(f"a <> b and {_FITS}")
 
     first = common.staged(_verified(_by_parts(stars), classes), "line-matches")
-    rest = common.staged(prefixes.join(first.withColumnRenamed("a", "class").hint("merge"), "class", "left_anti"), "line-rest")
+    flagged = prefixes.join(first.selectExpr("a class", "1 matched").hint("merge"), "class", "left").withColumn("matched", F.expr("coalesce(matched, 0)"))
+    flagged = common.staged(flagged, "line-flagged")
+    common.drop(prefixes)
 
     def others(part: str) -> DataFrame:
-        x = _entries(rest).where(part).selectExpr("word", "class a", "n n_a", "position i", "bits bits_a", "id id_a")
-        y = _entries(prefixes).where(part).selectExpr("word", "class b", "n n_b", "position j", "bits bits_b", "id id_b")
-        return x.join(y, "word").where(f"a <> b and id_b <= id_a and {_FITS}")
+        # both sides have the same columns and no filter of their own, so that their entries are shuffled once
+        entries = _entries(flagged, "matched").where(part).selectExpr("word", "class", "n", "2 * position + matched as spot", *_BANKS, "id")
+        x, y = (entries.select("word", *(F.col(c).alias(f"{c}_{side}") for c in entries.columns[1:])) for side in "ab")
+        later = "class_a <> class_b and id_b <= id_a and (spot_a & 1) * (spot_b + 1) = 0"           # a is not matched yet
+        return x.join(y.hint("merge"), "word").where(f"{later} and {_FITS.replace('n_a - i', 'n_a - spot_a div 2').replace('n_b - j', 'n_b - spot_b div 2')}") \
+            .selectExpr("class_a a", "class_b b")
 
     # of two lines the later one is matched, whichever of them was looked for
     second = _verified(_by_parts(others), classes)

@@ -109,6 +109,25 @@ def test_nothing_staged_is_left(spark, random_rows):
     assert sorted(n.rsplit("-", 1)[0] for n in left if not n.startswith(".")) == ["panelspan-groups", "panelspan-line-removals"]
 
 
+def test_line_dedup_shuffles_entries_once(spark, monkeypatch):
+    plans, staged = [], line_dedup.common.staged
+
+    def watched(frame, name, keep=False):
+        if name == "line-pairs":
+            before = spark.conf.get("spark.sql.adaptive.enabled")
+            spark.conf.set("spark.sql.adaptive.enabled", "false")      # else empty results replace the plan
+            plans.append(frame.select("*")._jdf.queryExecution().executedPlan().toString())
+            spark.conf.set("spark.sql.adaptive.enabled", before)
+        return staged(frame, name, keep)
+
+    monkeypatch.setattr(line_dedup.common, "staged", watched)
+    rows = [(i, f"one two three four five six seven eight nine ten w{i}\nalone{i} a{i} b{i} c{i} d{i}") for i in range(6)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    seconds = [p for p in plans if "Join" in p]
+    assert len(seconds) == line_dedup.PARTS and all("ReusedExchange" in p for p in seconds)
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(8)
     line = lambda: rng.choice(["", " ", "\t"]) + " ".join(rng.choice(["All", "all", "rights", "reserved.", "Menu", "top", "é"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 9])))
