@@ -50,7 +50,8 @@ def staged(frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        frame.write.option("compression", "zstd").parquet(path)
+        # lists of hashed words hardly repeat within a file: a dictionary of them would be built in vain
+        frame.write.options(**{"compression": "zstd", "parquet.enable.dictionary#words.list.element": "false"}).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(frame.schema).parquet(path)

@@ -128,6 +128,42 @@ def test_line_dedup_shuffles_entries_once(spark, monkeypatch):
     assert len(seconds) == line_dedup.PARTS and all("ReusedExchange" in p for p in seconds)
 
 
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Lines on both sides of LONG, similarities on both sides of 4/5; the second round's shorter lines bring only words that reach them."""
+    plans, staged = [], line_dedup.common.staged
+
+    def watched(frame, name, keep=False):
+        if name == "line-pairs":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return staged(frame, name, keep)
+
+    monkeypatch.setattr(line_dedup.common, "staged", watched)
+    rng, rows = random.Random(5), []
+    words = [f"{'äW'[k % 2]}{k}" for k in range(400)]
+    for i in range(150):
+        line = rng.sample(words, rng.choice([5, 9, 30, 62, 66, 90, 160])) if i < 25 else list(rng.choice(rows)[1].split())
+        for _ in range(rng.randint(0, len(line) // 7)):
+            if rng.random() < 0.5:
+                line[rng.randrange(len(line))] = rng.choice(words)
+            elif rng.random() < 0.5:
+                del line[rng.randrange(len(line))]
+            else:
+                line.insert(rng.randrange(len(line)), rng.choice(words).upper())
+        rows.append((i, " ".join(line)))
+    seen, want, margins = [], {}, set()
+    for i, text in rows:
+        mine = frozenset(text.lower().split())
+        scores = [9 * len(mine & w) - 4 * (len(mine) + len(w)) for w in seen]
+        margins.update(scores)
+        want[i] = int(any(x >= 0 for x in scores))
+        seen.append(mine)
+    got = line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
+    assert 20 < sum(want.values()) < 130 and {-2, -1, 0, 1, 2} <= margins
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert joins and all("explode(if ((reach" in p for p in joins)
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(8)
     line = lambda: rng.choice(["", " ", "\t"]) + " ".join(rng.choice(["All", "all", "rights", "reserved.", "Menu", "top", "é"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 9])))
