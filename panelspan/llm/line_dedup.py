@@ -115,8 +115,8 @@ def _by_parts(pairs: Callable[[str], DataFrame], parts: int) -> list[DataFrame]:
 
 #: Length, position and bitmap filters: no pair that they drop can be similar, as similar lines differ in a ninth of their
 #: words at most.  Words in only one of two lines are at least as many as the bits in which they differ.
-_FITS = f"""n_b <= reach_a and n_a <= reach_b and 9 * bit_count(b1_a ^ b1_b) <= n_a + n_b
-            and (n_a <= {LONG} or n_b <= {LONG} or 9 * (bit_count(b0_a ^ b0_b) + bit_count(b0_a ^ b1_a ^ b0_b ^ b1_b)) <= n_a + n_b)"""
+_FITS = "n_b <= reach_a and n_a <= reach_b and 9 * bit_count(b1_a ^ b1_b) <= n_a + n_b"
+_FITS_LONG = f"(n_a <= {LONG} or n_b <= {LONG} or 9 * (bit_count(b0_a ^ b0_b) + bit_count(b0_a ^ b1_a ^ b0_b ^ b1_b)) <= n_a + n_b)"
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +134,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # and what this round does not see is left to the next
         centered = _entries(prefixes).where(f"reach >= n and {part}").withColumn("center", F.min(F.struct("id", "class", "n", "reach", *_BANKS)).over(word))
         sides = [f"{c} {c}_a" for c in ("n", "reach", *_BANKS)] + [f"center.{c} {c}_b" for c in ("n", "reach", *_BANKS)]
-        return centered.selectExpr("class a", "center.class b", *sides).where(f"a <> b and {_FITS}")
+        return centered.selectExpr("class a", "center.class b", *sides).where(f"a <> b and {_FITS} and {_FITS_LONG}")
 
     first = common.staged(_verified(_by_parts(stars, 1), classes), "line-matches")
     flagged = prefixes.join(first.selectExpr("a class", "1 matched").hint("shuffle_hash"), "class", "left").withColumn("matched", F.expr("coalesce(matched, 0)"))
@@ -149,7 +149,9 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         x, y = (side.select("word", *(F.col(c).alias(f"{c}_{name}") for c in entries.columns[1:])) for side, name in ((shorter, "a"), (entries, "b")))
         once = "(n_a < n_b or class_a < class_b)"
         later = "(id_a >= id_b and matched_a = 0 or id_b >= id_a and matched_b = 0)"                # the later one is not matched yet
-        return x.join(y.hint("merge"), "word").where(f"n_a <= n_b and {_FITS} and {once} and {later}").selectExpr("class_a a", "class_b b")
+        pairs = x.join(y.hint("merge"), "word").where(f"n_a <= n_b and {_FITS}")
+        # few pairs come so far: the other conditions stay out of the join, which reads all columns of its condition per pair
+        return pairs.selectExpr("class_a a", "class_b b", f"explode(if({_FITS_LONG} and {once} and {later}, array(0), array())) as kept")
 
     # of two lines the later one is matched, whichever of them was looked for
     second = _verified(_by_parts(others, PARTS), classes)
